@@ -193,6 +193,17 @@ def compact(*items: Column) -> Column:
     return F.array_compact(F.array(*items))
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once for ``body``, so a lambda does not evaluate it per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def zipped(types: dict[str, str], *arrays: Column) -> Column:
+    """Arrays zipped to structs with the given field names and types."""
+    fields = ",".join(f"{name}:{kind}" for name, kind in types.items())
+    return F.arrays_zip(*arrays).cast(f"array<struct<{fields}>>")
+
+
 def _fold(c: Column, pairs, regex: bool) -> Column:
     for old, new in pairs:
         c = F.regexp_replace(c, old, new) if regex else F.replace(c, F.lit(old), F.lit(new))
@@ -376,13 +387,8 @@ def join_fragments(parts: Column, kind: str = "sentence") -> Column:
 
 
 def text_chunks(c: Column, n: int = CHUNK_SIZE) -> Column:
-    """Array of (chunk_no, chunk) of ``n`` characters; the whole text is kept."""
-    starts = F.sequence(F.lit(0), F.floor((F.length(c) - 1) / n).cast("int"))
-    pieces = F.transform(
-        starts,
-        lambda i: F.struct(i.alias("chunk_no"), F.substr(c, i * n + 1, F.lit(n)).alias("chunk")),
-    )
-    return F.when(F.length(c) > 0, pieces).otherwise(F.array().cast("array<struct<chunk_no:int,chunk:string>>"))
+    """Array of pieces of ``n`` characters, cut in one pass; the whole text is kept."""
+    return all_matches(c, rf"(?s).{{1,{n}}}", 0)
 
 
 # --- math -------------------------------------------------------------------
