@@ -125,41 +125,46 @@ def read_glossary(files: DataFrame) -> DataFrame:
     )
 
 
-@udtf(
-    returnType="entry_id: int, parent_id: int, ordinal: int, level: int, title: string, "
+TOC_ENTRY = (
+    "entry_id: int, parent_id: int, ordinal: int, level: int, title: string, "
     "href: string, linked_title: boolean, child_count: int"
 )
-class FlattenToc:
-    """Nested TOC entries of one file in pre-order, as adjacency rows."""
-
-    def eval(self, content: str):
-        import xml.etree.ElementTree as ET
-
-        if not content:
-            return
-        try:
-            root = ET.fromstring(content)
-        except ET.ParseError:
-            return
-        pending = [(None, 0, i, e) for i, e in enumerate(root.findall("TocEntry"))][::-1]
-        entry_id = 0
-        while pending:
-            parent, level, ordinal, entry = pending.pop()
-            title = entry.get("Title") or entry.get("title") or "Untitled"
-            href = entry.get("Link") or entry.get("href") or None
-            children = entry.findall("TocEntry")
-            yield (
-                entry_id, parent, ordinal, level, title, href,
-                title == "[%=System.LinkedTitle%]", len(children),
-            )
-            pending.extend([(entry_id, level + 1, i, c) for i, c in enumerate(children)][::-1])
-            entry_id += 1
+
+
+def toc_reader():
+    """Table function: nested TOC entries of one file in pre-order, as adjacency rows.
+
+    Spark's XML reader has no recursive schema, so this is the one Python table
+    function of the library; it sees one file at a time.
+    """
+
+    class FlattenToc:
+        def eval(self, content: str):
+            import xml.etree.ElementTree as ET
+
+            try:
+                root = ET.fromstring(content or "")
+            except ET.ParseError:
+                return
+            pending = [(None, 0, i, e) for i, e in enumerate(root.findall("TocEntry"))][::-1]
+            entry_id = 0
+            while pending:
+                parent, level, ordinal, entry = pending.pop()
+                title = entry.get("Title") or entry.get("title") or "Untitled"
+                href = entry.get("Link") or entry.get("href") or None
+                children = entry.findall("TocEntry")
+                linked = title == "[%=System.LinkedTitle%]"
+                yield entry_id, parent, ordinal, level, title, href, linked, len(children)
+                pending.extend([(entry_id, level + 1, i, c) for i, c in enumerate(children)][::-1])
+                entry_id += 1
+
+    return udtf(FlattenToc, returnType=TOC_ENTRY)
 
 
 def read_toc(files: DataFrame) -> DataFrame:
     """TOC adjacency rows of every file: ``toc_path`` plus the flattened entry."""
     source = files.select(F.col("path").alias("toc_path"), "content")
-    rows = source.lateralJoin(FlattenToc(F.col("content").outer()))
+    rows = source.lateralJoin(toc_reader()(F.col("content").outer()))
     return rows.drop("content")
 
 
