@@ -192,13 +192,14 @@ def shortcuts(topics: DataFrame) -> DataFrame:
     """``path, form, pos, keys`` of keyboard shortcuts in text outside kbd, code and pre."""
     text = F.regexp_replace("html", r"(?is)<(kbd|code|pre)\b[^>]*>.*?</\1>", " ")
     text = F.regexp_replace(text, "<[^>]*>", "\u0001")
-    found = [
-        F.transform(
+
+    def keys_of(pattern, form):
+        return F.transform(
             all_matches(text, pattern, 0),
-            lambda k, i, form=form: F.struct(F.lit(form).alias("form"), i.alias("pos"), k.alias("keys")),
+            lambda k, i: F.struct(F.lit(form).alias("form"), i.alias("pos"), k.alias("keys")),
         )
-        for pattern, form in SHORTCUT_FORMS
-    ]
+
+    found = [keys_of(pattern, form) for pattern, form in SHORTCUT_FORMS]
     return topics.select("path", F.inline(F.concat(*found)))
 
 

@@ -63,20 +63,22 @@ def extract_links(
             forms = [(STRICT_ASCIIDOC_LINK, *forms[0][1:])] + forms[1:]
     item = "struct<form:int,pos:int,url:string,text:string>"
     arrays = [F.array().cast(f"array<{item}>")]
+
+    def shaped(numbered, number, with_text, fixed):
+        def shape(z, i):
+            shown = z["text"] if with_text else F.lit(fixed)
+            if fixed and with_text:
+                shown = F.coalesce(nonempty(shown), F.lit(fixed))
+            return F.struct(F.lit(number).alias("form"), i.alias("pos"), z["url"].alias("url"), shown.alias("text"))
+
+        return F.transform(numbered, shape).cast(f"array<{item}>")
+
     for number, (pattern, url_group, text_group, fixed) in enumerate(forms):
         urls = all_matches(F.col("line"), pattern, url_group)
         texts = all_matches(F.col("line"), pattern, text_group or url_group)
         numbered = zipped({"url": "string", "text": "string"}, urls, texts)
 
-        def shape(z, i, number=number, text_group=text_group, fixed=fixed):
-            shown = z["text"] if text_group else F.lit(fixed)
-            if fixed and text_group:
-                shown = F.coalesce(nonempty(shown), F.lit(fixed))
-            return F.struct(
-                F.lit(number).alias("form"), i.alias("pos"), z["url"].alias("url"), shown.alias("text")
-            )
-
-        arrays.append(F.transform(numbered, shape).cast(f"array<{item}>"))
+        arrays.append(shaped(numbered, number, bool(text_group), fixed))
     rows = lines(topics, text)
     return rows.select("path", "line_no", F.inline(F.concat(*arrays)))
 

@@ -252,13 +252,13 @@ def reference_variables(topics: DataFrame, defs: DataFrame, format: str = "ascii
 # --- missing references -----------------------------------------------------
 def missing_variables(topics: DataFrame, defs: DataFrame, text: str = "text") -> DataFrame:
     """``path, line_no, form, pos, name, context`` of references with no definition."""
-    found = [
-        F.transform(
+    def names_of(form, pattern):
+        return F.transform(
             all_matches(F.col("line"), pattern),
-            lambda n, i, form=form: F.struct(F.lit(form).alias("form"), i.alias("pos"), trim_ws(n).alias("name")),
+            lambda n, i: F.struct(F.lit(form).alias("form"), i.alias("pos"), trim_ws(n).alias("name")),
         )
-        for form, pattern in enumerate(MISSING_FORMS)
-    ]
+
+    found = [names_of(form, pattern) for form, pattern in enumerate(MISSING_FORMS)]
     rows = lines(topics, text).select(
         "path", "line_no", trim_ws(F.col("line")).alias("context"), F.inline(F.concat(*found))
     )
