@@ -329,21 +329,28 @@ def _written(spark, d):
     keep = ~P.skip_rewrite(F.col("link")) & (F.col("link") != "") & ~F.col("link").startswith("data:")
     path = F.col("path")
     out = F.concat(P.dirname(path), F.lit("/"), P.stem(path), F.lit(".adoc"))
-    mapping = topics.select(out.alias("mapped"), path.alias("old_path"), out.alias("value"), path.alias("ord"))
+    kind = F.col("doc_id") % 3
+    mapped = (
+        F.when(kind == 0, F.concat(F.lit("dooc-"), F.col("doc_id").cast("string"), F.lit(".htm")))
+        .when(kind == 1, F.concat(P.stem(path), F.lit(".html")))
+        .otherwise(F.concat(P.stem(path), F.lit(".adoc")))
+    )
+    mapping = topics.select(mapped.alias("mapped"), path.alias("old_path"), out.alias("value"), path.alias("ord"))
     return found.filter(keep).distinct(), mapping
 
 
 WRITTEN = f"""{LINK_CTES},
 written as (select distinct link from (select {extract('url', '^([^#]*)')} as link from links)
  where not starts_with(link, 'http') and not starts_with(link, 'mailto:') and link <> '' and not starts_with(link, 'data:')),
-mapping as (select ({dirname('path')}) || '/' || {stem('path')} || '.adoc' as mapped, path as old_path, path as ord from topics)"""
+mapping as (select ({dirname('path')}) || '/' || {stem('path')} || '.adoc' as value, path as old_path, path as ord,
+ case doc_id % 3 when 0 then 'dooc-' || doc_id || '.htm' when 1 then {stem('path')} || '.html' else {stem('path')} || '.adoc' end as mapped from topics)"""
 
 
 @query(
     "fuzzy_paths",
     WRITTEN
     + f""", keyed as (select link, {sub('lower(link)', '[^a-z0-9]')} as a from written),
- keyed_map as (select mapped as value, ord, {sub('lower(mapped)', '[^a-z0-9]')} as b from mapping),
+ keyed_map as (select value, ord, {sub('lower(mapped)', '[^a-z0-9]')} as b from mapping),
  firsts as (select b, min(ord) as ord, arg_min(value, ord) as value from keyed_map group by b),
  scored as (select a, value, ord, case when a = b then 1.0 when contains(a, b) or contains(b, a) then 0.8
   else cast(greatest(length(a), length(b)) - levenshtein(a, b) as double) / greatest(length(a), length(b)) end as score
@@ -360,8 +367,8 @@ def fuzzy_paths(spark, d):
     "contained_paths",
     WRITTEN
     + f""", lf as (select link, unnest([link, {sub('link', '(?i)[.]adoc$')}, {sub('link', '(?i)[.]adoc$', '.htm')}, {stem('link')}]) as a from written),
- rf as (select mapped, ord, unnest([old_path, {sub('old_path', '(?i)[.]htm$', '.adoc')}, {stem('old_path')} || '.adoc', {stem('old_path')}]) as b from mapping)
- select link, arg_min(mapped, ord) as value from (select distinct * from lf), (select distinct * from rf)
+ rf as (select value, ord, unnest([old_path, {sub('old_path', '(?i)[.]htm$', '.adoc')}, {stem('old_path')} || '.adoc', {stem('old_path')}]) as b from mapping)
+ select link, arg_min(value, ord) as value from (select distinct * from lf), (select distinct * from rf)
  where a <> '' and b <> '' and (contains(a, b) or contains(b, a)) group by link""",
 )
 def contained_paths(spark, d):
