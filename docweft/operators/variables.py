@@ -17,6 +17,7 @@ from docweft.functions.text import (
 )
 from docweft.operators import matching
 from docweft.operators.lines import lines
+from docweft.session import cut
 
 # --- fixed values -----------------------------------------------------------
 # A variable element, empty or with text, and a span that carries the attribute.
@@ -277,8 +278,8 @@ def suggest_variables(missing: DataFrame, defs: DataFrame, n: int = 3) -> DataFr
     known = defs.groupBy("name").agg(F.min("ord").alias("ord")).select(
         F.col("name").alias("known"), "ord", F.lower("name").alias("b")
     )
-    left, right = wanted.select("a").distinct(), known.select("b").distinct()
-    inside = matching.containment_pairs(left, right)
+    left, right = cut(wanted.select("a").distinct()), cut(known.select("b").distinct())
+    inside = cut(matching.containment_pairs(left, right))
     rest = left.join(inside.select("a").distinct(), "a", "left_anti")
     pairs = inside.unionByName(matching.within_two_edits(rest, right))
     top = (
