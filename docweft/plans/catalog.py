@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["link_queries", "quality_queries", "markup_queries"]
+MODULES = ["link_queries", "quality_queries", "markup_queries", "corpus_queries"]
 
 
 def load():
