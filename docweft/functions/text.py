@@ -377,13 +377,20 @@ def tokens(c: Column) -> Column:
 
 
 def join_fragments(parts: Column, kind: str = "sentence") -> Column:
-    """Join trimmed fragments, with no space before closing punctuation."""
-    kept = F.filter(F.transform(parts, trim_ws), lambda s: s != "")
-    if kind == "paragraph":
-        return F.array_join(kept, "\n\n")
-    return F.regexp_replace(F.array_join(kept, "\u0000"), r"\x00(?=[.,;:!?)\]}])", "").transform(
-        lambda s: F.replace(s, F.lit("\u0000"), F.lit(" "))
-    )
+    """Join trimmed fragments, with no space before closing punctuation.
+
+    A separator stands only between neighbours that are both not empty.
+    """
+    def glue(trimmed):
+        following = F.concat(F.slice(trimmed, F.lit(2), F.size(trimmed)), F.array(F.lit("")))
+
+        def piece(current, after):
+            gap = F.lit("\n\n") if kind == "paragraph" else F.when(after.rlike(r"^[.,;:!?)\]}]"), "").otherwise(" ")
+            return F.when((current == "") | (after == ""), current).otherwise(F.concat(current, gap))
+
+        return F.array_join(F.zip_with(trimmed, following, piece), "")
+
+    return F.when(F.size(parts) == 1, F.get(parts, F.lit(0))).otherwise(let(F.transform(parts, trim_ws), glue))
 
 
 def text_chunks(c: Column, n: int = CHUNK_SIZE) -> Column:

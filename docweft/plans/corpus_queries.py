@@ -516,6 +516,12 @@ def toc_links_rewritten(spark, d):
     return links.rewrite_toc_links(rows, mapping).select("path", "url", "new_url")
 
 
+def _xml_escaped(c):
+    for mark, text in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+        c = f"replace({c}, {q(mark)}, {q(text)})"
+    return c
+
+
 # --- text functions ---------------------------------------------------------
 SENTENCE_CUT = f"string_split({sub('text', '([.!?])' + T.SPACE + '+([A-Z])', chr(92) + '1' + chr(1) + chr(92) + '2')}, chr(1))"
 
@@ -656,6 +662,41 @@ def decoded_urls(spark, d):
     return rows.select("page_id", "raw", T.decode_url(F.col("raw")).alias("decoded"))
 
 
+FRAGMENTS = f"list_transform(string_split(text, ' '), lambda s: {trim('s')})"
+
+
+@query(
+    "fragments_joined",
+    f"""select doc_id, case when len(string_split(text, ' ')) = 1 then text else array_to_string(list_transform(range(1, len(f) + 1), lambda i: f[i] ||
+  case when f[i] = '' or coalesce(f[i + 1], '') = '' or regexp_matches(coalesce(f[i + 1], ''), '^[.,;:!?)' || chr(93) || '}}]') then '' else ' ' end), '') end as joined,
+ {_xml_escaped('text')} as escaped, replace(text, chr(92), chr(92) || chr(92)) as slashed from (select doc_id, text, {FRAGMENTS} as f from documents)""",
+)
+def fragments_joined(spark, d):
+    c = F.col("text")
+    return view(spark, d, "documents").select(
+        "doc_id", T.join_fragments(F.split(c, " ")).alias("joined"), T.escape(c).alias("escaped"),
+        T.escape(c, "backslash").alias("slashed"),
+    )
+
+
+@query(
+    "link_forms",
+    ctes("topics") + f""" select path, '../' || {stem('path')} || '.md#a' as up, {stem('path')} || '.md' as near, regexp_replace(replace(path, 'Content/', ''), '[.]htm$', '.md') || '#b' as deep,
+ '../../' || path as by_depth, '../Images/' || {stem('path')} || '.png' as toc_image from topics""",
+)
+def link_forms(spark, d):
+    path = F.col("path")
+    name = P.stem(path)
+    return view(spark, d, "topics").select(
+        "path",
+        P.writerside_link(F.concat(F.lit("../"), name, F.lit(".html#a"))).alias("up"),
+        P.writerside_link(F.concat(F.lit("./"), name, F.lit(".htm"))).alias("near"),
+        P.writerside_link(F.concat(path, F.lit("#b"))).alias("deep"),
+        P.image_path(F.concat(F.lit("../"), path), F.lit(2)).alias("by_depth"),
+        P.image_path(F.concat(F.lit("../../../Images/"), name, F.lit(".png")), style="toc").alias("toc_image"),
+    )
+
+
 @query("math_notation")
 def math_notation(spark, d):
     text = F.concat(F.col("text"), F.lit("\n$E = mc^2$ and H<sub>2</sub>O, 3.0 × 10^8 $$a+b$$"))

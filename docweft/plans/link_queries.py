@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docweft.functions import paths as P
 from docweft.functions import text as T
-from docweft.operators import images, links
+from docweft.operators import images, links, snippets
 from docweft.plans.derived import view
 from docweft.plans.sqltext import (
     basename,
@@ -412,11 +412,6 @@ def image_resolution(spark, d):
 SNIP = r'(?i)<MadCap:snippet(?:Block|Text)\b[^<>]*\ssrc="([^"]*)"'
 
 
-def _snippet_refs(topics):
-    rows = topics.select("path", F.posexplode(T.all_matches(F.col("html"), SNIP)).alias("pos", "src"))
-    return rows
-
-
 @query(
     "snippet_resolution",
     ctes("topics", "files")
@@ -430,10 +425,31 @@ def _snippet_refs(topics):
  select path, cast(pos as integer) as pos, src, found from refs left join hit using (path, pos)""",
 )
 def snippet_resolution(spark, d):
-    refs = _snippet_refs(view(spark, d, "topics"))
+    refs = snippets.snippet_refs(view(spark, d, "topics"))
     return images.resolve_snippets(refs, view(spark, d, "files")).select("path", "pos", "src", "found")
 
 
+SNIPPET_PIECES = f"string_split({sub('html', '(?i)(<MadCap:snippet(?:Block|Text)' + chr(92) + 'b[^<>]*/>)', chr(1) + chr(92) + '1' + chr(1))}, chr(1))"
+
+
+@query(
+    "snippets_inlined",
+    ctes("topics", "files")
+    + f""", p as (select path, unnest({SNIPPET_PIECES}) as piece, generate_subscripts({SNIPPET_PIECES}, 1) as i from topics),
+ c as (select *, {extract('piece', '(?i)^<[^<>]*' + chr(92) + 'ssrc=' + chr(34) + '([^' + chr(34) + ']*)' + chr(34))} as src from p),
+ f as (select c.*, s.path as found from c left join files s on i % 2 = 0 and s.path = 'Content/Resources/Snippets/' || {sub(sub('src', '^([.][.]/)+'), '^(Resources/)?Snippets/')} and ends_with(s.path, '.flsnp'))
+ select path, string_agg(case when i % 2 = 1 then piece when found is null then {q(snippets.MISSING_OPEN)} || src || {q(snippets.MISSING_CLOSE)}
+  when contains(piece, 'snippetBlock') then {q(snippets.BLOCK_OPEN)} || '<p>Body ' || found || '</p>' || {q(snippets.BLOCK_CLOSE)} else '<p>Body ' || found || '</p>' end, '' order by i) as html from f group by path""",
+)
+def snippets_inlined(spark, d):
+    path = F.col("path")
+    bodies = view(spark, d, "files").filter(path.endswith(".flsnp")).select(
+        "path",
+        F.concat(F.lit("<html><head><title>s</title></head><body><p>Body "), path, F.lit("</p></body></html>")).alias("content"),
+    )
+    return snippets.inline_snippets(view(spark, d, "topics"), bodies)
+
+
 def _target_sql():
     low = "lower(src)"
     whens = " ".join(
