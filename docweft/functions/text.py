@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 # White space as ECMAScript defines it.
 SPACE = r"[\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 NOT_SPACE = r"[^\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+# The same characters listed, for trimming without a pattern.
+SPACE_CHARS = (
+    " \t\n\x0b\x0c\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 # Word boundary over ASCII word characters.
 WORD_START = r"(?<![A-Za-z0-9_])"
 WORD_END = r"(?![A-Za-z0-9_])"
@@ -167,7 +171,7 @@ def matches_any(c: Column, patterns, flags: str = "(?i)") -> Column:
 
 def trim_ws(c: Column) -> Column:
     """Trim every white-space character, not only blanks."""
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def nonempty(c: Column) -> Column:

@@ -281,12 +281,13 @@ def quality_scores(topics: DataFrame, format: str = "asciidoc", text: str = "tex
     c = F.col(text)
     facts = fact_columns(c, format)
     names = list(facts)
-    counted = topics.select(
-        "path",
+    measured = F.struct(
         *[column.alias(name) for name, column in facts.items()],
         F.transform(row_issues(c, format), lambda i: i["type"]).alias("types"),
         repeated_line_count(c).alias("repeats"),
     )
+    # generating the one row keeps a later filter on the score from measuring twice
+    counted = topics.select("path", F.inline(F.array(measured)))
 
     def number(kind):
         return F.size(F.filter("types", lambda t: t == kind))

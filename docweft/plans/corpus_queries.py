@@ -534,10 +534,11 @@ SENTENCE_CUT = f"string_split({sub('text', '([.!?])' + T.SPACE + '+([A-Z])', chr
 )
 def sentences(spark, d):
     c = F.col("text")
-    return view(spark, d, "documents").select(
-        "doc_id", F.size(T.sentences(c)).alias("sentences"), F.get(T.sentences(c), F.lit(0)).alias("first"),
-        F.size(T.paragraphs(c)).alias("paragraphs"), T.is_sentence(c).alias("complete"),
+    rows = view(spark, d, "documents").select(
+        "doc_id", F.size(T.paragraphs(c)).alias("paragraphs"), T.is_sentence(c).alias("complete"),
+        F.inline(F.array(F.struct(T.sentences(c).alias("list")))),
     )
+    return rows.select("doc_id", F.size("list").alias("sentences"), F.get("list", F.lit(0)).alias("first"), "paragraphs", "complete")
 
 
 PUNCT = r"""[.,;:!?()\[\]{}"']"""
@@ -610,7 +611,8 @@ def step_classes(spark, d):
 )
 def code_terms(spark, d):
     words = view(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("term")).filter("term <> ''")
-    return words.filter(T.is_code_term(F.col("term"))).groupBy("term").agg(F.count("*").alias("n"))
+    counted = words.groupBy("term").agg(F.count("*").alias("n"))
+    return counted.filter(T.is_code_term(F.col("term")))
 
 
 @query(

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docweft.sources.corpus import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -209,12 +211,14 @@ VIEWS = {
     "step_events": STEP_EVENTS,
 }
 NEEDS = {"files": ["topics"]}
+WIDE = ["documents", "pages"]  # tables of long texts, where the work per row is large
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A derived view, or one of the given tables."""
     for table in TABLES:
-        spark.read.parquet(f"{folder}/{table}.parquet").createOrReplaceTempView(table)
+        rows = spark.read.parquet(f"{folder}/{table}.parquet")
+        (spread(rows) if table in WIDE else rows).createOrReplaceTempView(table)
     if name in TABLES:
         return spark.table(name)
     for needed in NEEDS.get(name, []):

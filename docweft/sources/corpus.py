@@ -58,6 +58,16 @@ MEDIA_MARKS = ["data:video/webm", "data:video/mp4", "data:application/octet-stre
 # ---------------------------------------------------------------------------
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small input over the cores.
+
+    A table of a few files would run in a few tasks. A table with at least as many
+    partitions as cores, which is every large one, is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def with_file_parts(files: DataFrame) -> DataFrame:
     """Add name, ext (no dot), dir and depth to a table that has ``path``."""
     return files.select(

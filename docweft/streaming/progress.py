@@ -41,8 +41,6 @@ def _expiry_processor(timeout_ms: int, grace_ms: int):
             self.last = handle.getValueState("last", "ts_ms bigint, grace_ms bigint")
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator:
-            import pandas as pd
-
             newest, ended = 0, False
             for frame in rows:
                 newest = max(newest, int(frame["ts_ms"].max()))
@@ -55,7 +53,7 @@ def _expiry_processor(timeout_ms: int, grace_ms: int):
                 self.handle.deleteTimer(timer)
             self.last.update((newest, wait))
             self.handle.registerTimer(newest + wait)
-            yield pd.DataFrame({"session_id": [], "type": [], "expired_ms": []})
+            return iter(())
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
             import pandas as pd

@@ -434,7 +434,6 @@ def test_glossary(spark):
     appendix = [r["line"] for r in glossary.render_glossary(g, "appendix").orderBy("sort_key").collect()]
     assert "Activity, Task::" in appendix
     used = glossary.glossary_usage(topics(spark, "<MadCap:glossaryTerm>task</MadCap:glossaryTerm> <MadCap:glossaryTerm>x</MadCap:glossaryTerm>"), g)
-    assert rows(used, "term", "id") == [("task", "g1"), ("x", None)] if None else used.count() == 2
     assert {r["term"]: r["id"] for r in used.collect()} == {"task": "g1", "x": None}
 
 
@@ -524,7 +523,8 @@ def test_blocks(spark):
     text = blocks.assemble_topics(blocks.render_blocks(b)).first()["text"]
     assert text == "== T\n\nWARNING: w\n\n* a b\n\n----\nx\n----\n\np"
     packed = blocks.chunk_blocks(b, 30).orderBy("block_no").collect()
-    assert [r["chunk_no"] for r in packed] == [0, 1, 1, 2, 2] or len({r["chunk_no"] for r in packed}) > 1
+    assert [r["chunk_no"] for r in packed] == sorted(r["chunk_no"] for r in packed)
+    assert packed[0]["chunk_no"] == 0 and packed[-1]["chunk_no"] > 0
 
 
 def test_outcome(spark):
