@@ -202,6 +202,15 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def own_key(key: Column, by: Column) -> Column:
+    """Join key where a missing key becomes one of the row's own.
+
+    Rows without a key match nothing; spread over ``by`` they do not pile up in one
+    partition of an outer join.
+    """
+    return F.coalesce(key, F.concat(F.lit("\u0000"), by.cast("string")))
+
+
 def zipped(types: dict[str, str], *arrays: Column) -> Column:
     """Arrays zipped to structs with the given field names and types."""
     fields = ",".join(f"{name}:{kind}" for name, kind in types.items())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docweft.functions import paths as P
-from docweft.functions.text import nonempty, slug, title_case, topic_title, trim_ws
+from docweft.functions.text import nonempty, own_key, slug, title_case, topic_title, trim_ws
 from docweft.operators import matching
 from docweft.operators.conditions import topic_instance
 from docweft.operators.links import first_existing
@@ -60,11 +60,13 @@ def with_ancestors(toc: DataFrame, max_level: int | None = None) -> DataFrame:
         F.col("toc_path"), F.col("entry_id").alias("_cur"), F.col("parent_id").alias("_next"),
         F.struct("title", "href", "ordinal").alias("_entry"),
     )
-    rows = toc.select("*", F.col("parent_id").alias("_cur"), F.array().cast(ANCESTOR).alias("ancestors"))
+    # a finished row takes a key of its own below zero, so roots do not pile up
+    own = -F.col("entry_id") - 1
+    rows = toc.select("*", F.coalesce("parent_id", own).alias("_cur"), F.array().cast(ANCESTOR).alias("ancestors"))
     for _ in range(max_level):
         rows = rows.join(parents, ["toc_path", "_cur"], "left").select(
             *toc.columns,
-            F.col("_next").alias("_cur"),
+            F.coalesce("_next", own).alias("_cur"),
             F.when(F.col("_entry").isNotNull(), F.concat(F.array("_entry"), F.col("ancestors")))
             .otherwise(F.col("ancestors"))
             .alias("ancestors"),
@@ -125,9 +127,8 @@ def resolve_linked_titles(toc: DataFrame, topics: DataFrame, root: str = "") ->
         F.coalesce(topic_title(F.col("html")), P.stem(F.col("path"))).alias("_title"),
     )
     prefix = root.rstrip("/") + "/" if root else ""
-    keyed = toc.withColumn(
-        "_path", F.when(F.col("title") == LINKED_TITLE, P.normalize(F.concat(F.lit(prefix), F.col("href"))))
-    )
+    wanted = F.when(F.col("title") == LINKED_TITLE, P.normalize(F.concat(F.lit(prefix), F.col("href"))))
+    keyed = toc.withColumn("_path", own_key(wanted, F.col("entry_id")))
     joined = keyed.join(titles, "_path", "left")
     columns = [c for c in toc.columns if c not in ("title", "linked_title")]
     return joined.select(
@@ -284,6 +285,8 @@ def topic_tree(toc: DataFrame, file_map: DataFrame, mapping=None) -> DataFrame:
         entry_id.alias("id"),
     )
     moved = file_map.select(F.col("old_path").alias("_file"), "new_path")
-    return rows.join(moved, "_file", "left").select(
+    moved = moved.withColumnRenamed("_file", "_key")
+    rows = rows.withColumn("_key", own_key(F.col("_file"), F.concat_ws("/", *columns) if columns else F.col("title")))
+    return rows.join(moved, "_key", "left").select(
         *columns, "title", F.coalesce("new_path", "_file").alias("topic_file"), "instance", "id"
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweft.functions import paths as P
-from docweft.functions.text import all_matches, nonempty, slug, topic_title, trim_ws, zipped
+from docweft.functions.text import all_matches, nonempty, own_key, slug, topic_title, trim_ws, zipped
 from docweft.operators import matching
 from docweft.operators.lines import lines
 
@@ -131,7 +131,9 @@ def resolve_links(links: DataFrame, files: DataFrame, format: str = "help-center
     keyed = links.withColumn("target", F.when(wanted, P.resolve_from(F.col("path"), written)))
     targets = keyed.filter(F.col("target").isNotNull()).select("target").distinct()
     found = first_existing(targets, link_candidates(F.col("target"), format), files, ["target"])
-    return keyed.join(found.withColumnRenamed("found", "resolved"), "target", "left")
+    found = found.select(F.col("target").alias("_key"), F.col("found").alias("resolved"))
+    rows = keyed.withColumn("_key", own_key(F.col("target"), F.col("path")))
+    return rows.join(found, "_key", "left").drop("_key")
 
 
 def validate_links(links: DataFrame, files: DataFrame, format: str = "help-center") -> DataFrame:
@@ -251,7 +253,8 @@ def rewrite_links(links: DataFrame, rename_map: DataFrame) -> DataFrame:
     url = F.col("url")
     bare = F.regexp_replace(P.url_path(url), r"^(\.\./)+", "")
     bare = F.regexp_replace(F.regexp_replace(bare, r"^\./", ""), "^user/", "")
-    keyed = links.withColumn("stem", F.when(~P.skip_rewrite(url), nonempty(link_stem(bare))))
+    stem = F.when(~P.skip_rewrite(url), nonempty(link_stem(bare)))
+    keyed = links.withColumn("stem", own_key(stem, F.col("out_path")))
     new_url = P.relative_path(F.col("out_path"), F.col("new_path"), P.url_anchor(url))
     return keyed.join(firsts, "stem", "left").select(
         *links.columns, F.when(F.col("new_path").isNotNull(), new_url).otherwise(url).alias("new_url")
@@ -330,11 +333,12 @@ def rewrite_toc_links(links: DataFrame, mapping: DataFrame, fuzzy: bool = False)
     """Add ``new_url`` by exact variant; ``fuzzy`` tries path similarity on the rest."""
     variants = variant_map(mapping)
     url = F.col("url")
-    keyed = links.withColumn("written", F.when(~P.skip_rewrite(url), P.url_path(url)))
+    written = F.when(~P.skip_rewrite(url), P.url_path(url))
+    keyed = links.withColumn("written", own_key(written, F.col("out_path")))
     hit = keyed.join(variants.select("written", "actual_path"), "written", "left")
     target = F.col("actual_path")
     if fuzzy:
-        rest = hit.filter(F.col("actual_path").isNull() & F.col("written").isNotNull())
+        rest = hit.filter(F.col("actual_path").isNull() & ~F.col("written").startswith("\u0000"))
         near = fuzzy_paths(rest.select(F.col("written").alias("link")), variants.select(
             F.col("written").alias("mapped"), F.col("actual_path").alias("value"), "ord"))
         hit = hit.join(near.select(F.col("link").alias("written"), "value"), "written", "left")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docweft.functions.text import nonempty, round_half_up
 
@@ -112,16 +113,31 @@ def active_sessions(state: DataFrame) -> DataFrame:
 def session_windows(events: DataFrame, gap: str = SESSION_TIMEOUT) -> DataFrame:
     """Spans of a session parted by a pause of ``gap``; the end of a span is its expiry.
 
-    Spark closes a span at a pause of at least the gap.
+    A span closes at a pause of at least the gap. In a batch, events are first
+    combined per session and time slot of one gap, whose events always belong
+    together; what is left per session is bounded by its duration, however many
+    events it has. A stream uses the built-in session window.
     """
-    w = F.session_window("ts", gap)
-    return events.groupBy("session_id", w).agg(F.count("*").alias("events"), F.max("ts").alias("last_update")).select(
-        "session_id",
-        F.col("session_window.start").alias("start_time"),
-        F.col("session_window.end").alias("expires_at"),
-        "last_update",
-        "events",
+    out = ["session_id", "start_time", "expires_at", "last_update", "events"]
+    if events.isStreaming:
+        w = F.session_window("ts", gap)
+        spans = events.groupBy("session_id", w).agg(F.count("*").alias("events"), F.max("ts").alias("last_update"))
+        return spans.select(
+            "session_id", F.col("session_window.start").alias("start_time"),
+            F.col("session_window.end").alias("expires_at"), "last_update", "events",
+        )
+    slots = events.groupBy("session_id", F.window("ts", gap)["start"].alias("slot")).agg(
+        F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n")
     )
+    order = Window.partitionBy("session_id").orderBy("slot")
+    pause = F.expr(f"INTERVAL {gap}")
+    before = F.lag("last").over(order)
+    opens = F.when(before.isNull() | (F.col("first") >= before + pause), 1).otherwise(0)
+    marked = slots.withColumn("opens", opens).withColumn("span", F.sum("opens").over(order))
+    spans = marked.groupBy("session_id", "span").agg(
+        F.min("first").alias("start_time"), F.max("last").alias("last_update"), F.sum("n").alias("events")
+    )
+    return spans.withColumn("expires_at", F.col("last_update") + pause).select(*out)
 
 
 def step_progress(steps: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docweft.functions.text import all_matches, let
 from docweft.operators.images import resolve_snippets
+from docweft.session import cut
 
 # --- fixed values -----------------------------------------------------------
 # A snippet element, empty or with content; the first group tells block from text.
@@ -45,8 +46,8 @@ def inline_snippets(topics: DataFrame, snippets: DataFrame, root: str = "") -> D
     references travel to the lookup; bodies come back per topic, where they are part
     of the output anyway.
     """
-    refs = snippet_refs(topics)
-    found = resolve_snippets(refs.select("path", "src").distinct(), snippets.select("path"), root)
+    refs = cut(snippet_refs(topics).select("path", "src").distinct())
+    found = resolve_snippets(refs, snippets.select("path"), root)
     bodies = snippets.select(F.col("path").alias("found"), body_of(F.col("content")).alias("body"))
     per_topic = (
         found.filter(F.col("found").isNotNull())

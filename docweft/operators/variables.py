@@ -169,14 +169,15 @@ def resolve_variables(refs: DataFrame, defs: DataFrame) -> DataFrame:
     return refs.join(resolve_names(refs, defs), "ref", "left")
 
 
-def _values_per_topic(topics: DataFrame, pairs: DataFrame) -> DataFrame:
+def _values_per_topic(topics: DataFrame, pairs_of) -> DataFrame:
     """Topics with ``values``: a map of the names used in that topic.
 
-    Only names travel; the map is bounded by the topic's own references.
+    References are cut out of the texts once and kept as a small table; only names
+    travel, and the map is bounded by the topic's own references.
     """
-    refs = variable_refs(topics).filter("form = 'madcap'").select("path", "ref").distinct()
+    refs = cut(variable_refs(topics).filter("form = 'madcap'").select("path", "ref").distinct())
     per_topic = (
-        refs.join(pairs, "ref")
+        refs.join(pairs_of(refs), "ref")
         .groupBy("path")
         .agg(F.map_from_entries(F.collect_list(F.struct("ref", "value"))).alias("values"))
     )
@@ -188,8 +189,7 @@ def flatten_variables(topics: DataFrame, defs: DataFrame) -> DataFrame:
 
     Text already inside the element wins when it has no dot.
     """
-    refs = variable_refs(topics).filter("form = 'madcap'")
-    joined = _values_per_topic(topics, resolve_names(refs, defs))
+    joined = _values_per_topic(topics, lambda refs: resolve_names(refs, defs))
     empty = F.create_map().cast("map<string,string>")
 
     def render(piece, i):
@@ -233,8 +233,7 @@ def reference_variables(topics: DataFrame, defs: DataFrame, format: str = "ascii
     """``path, html`` with references written as ``{attr-name}`` or ``<var name="…"/>``."""
     empty = F.create_map().cast("map<string,string>")
     if format == "asciidoc":
-        refs = variable_refs(topics).filter("form = 'madcap'")
-        topics = _values_per_topic(topics, reference_names(refs, defs))
+        topics = _values_per_topic(topics, lambda refs: reference_names(refs, defs))
     else:
         topics = topics.withColumn("values", empty)
 
@@ -263,10 +262,8 @@ def missing_variables(topics: DataFrame, defs: DataFrame, text: str = "text") ->
     rows = lines(topics, text).select(
         "path", "line_no", trim_ws(F.col("line")).alias("context"), F.inline(F.concat(*found))
     )
-    names = rows.select("name").distinct()
     known = defs.select("name").distinct()
-    unknown = names.join(known, "name", "left_anti")
-    return rows.join(unknown, "name", "left_semi").select("path", "line_no", "form", "pos", "name", "context")
+    return rows.join(known, "name", "left_anti").select("path", "line_no", "form", "pos", "name", "context")
 
 
 def suggest_variables(missing: DataFrame, defs: DataFrame, n: int = 3) -> DataFrame:

@@ -7,6 +7,8 @@ the checking engine. Whole tables and whole texts are used.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from docweft.sources.corpus import spread
@@ -214,9 +216,17 @@ NEEDS = {"files": ["topics"]}
 WIDE = ["documents", "pages"]  # tables of long texts, where the work per row is large
 
 
+def _tables(name: str) -> set[str]:
+    words = set(re.findall(r"\w+", VIEWS.get(name, name)))
+    found = {t for t in TABLES if t in words}
+    for needed in NEEDS.get(name, []):
+        found |= _tables(needed)
+    return found
+
+
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A derived view, or one of the given tables."""
-    for table in TABLES:
+    for table in sorted(_tables(name)):
         rows = spark.read.parquet(f"{folder}/{table}.parquet")
         (spread(rows) if table in WIDE else rows).createOrReplaceTempView(table)
     if name in TABLES:

@@ -26,6 +26,7 @@ from docweft.plans.sqltext import (
     sub,
     trim,
 )
+from docweft.session import cut
 
 QUERIES, ORACLES = {}, {}
 
@@ -86,7 +87,8 @@ results as (
 
 def _validated(spark, d):
     topics, files = view(spark, d, "topics"), view(spark, d, "files")
-    return links.validate_links(links.extract_links(topics, "help-center"), files, "help-center")
+    # links are a small table next to the texts: cut them out once, not once per use
+    return links.validate_links(cut(links.extract_links(topics, "help-center")), files, "help-center")
 
 
 def _group_counts():
@@ -315,7 +317,7 @@ from keyed left join firsts using (st)"""
 @query("link_rewrite", REWRITE)
 def link_rewrite(spark, d):
     topics = view(spark, d, "topics")
-    plan = links.plan_output_paths(topics, "asciidoc", rename=True)
+    plan = cut(links.plan_output_paths(topics, "asciidoc", rename=True))
     found = links.extract_links(topics, "help-center").join(plan, "path")
     mapping = plan.select(F.col("path").alias("old_path"), F.col("out_path").alias("new_path"), F.col("path").alias("ord"))
     return links.rewrite_links(found, mapping).select("path", "line_no", "form", "pos", "url", "new_url")
