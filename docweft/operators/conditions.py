@@ -10,7 +10,6 @@ from docweft.functions.text import (
     WORD_START,
     all_matches,
     any_of,
-    compact,
     trim_ws,
 )
 

@@ -111,15 +111,21 @@ def project_inventory(spark, d):
 
 @query(
     "preflight",
-    ctes("files") + f""", c as (select count(*) filter ({EXT} = 'flglo') as g, count(*) filter ({EXT} = 'flvar') as v, count(*) filter (starts_with(path, 'Content/')) as c,
+    f"""with files as (select 'Content/Images/part-' || p_partkey || case when p_size > 40 then '.flvar' else '.png' end as path from part),
+ c as (select count(*) filter ({EXT} = 'flglo') as g, count(*) filter ({EXT} = 'flvar') as v, count(*) filter (starts_with(path, 'Content/')) as c,
   count(*) filter (starts_with(path, 'Content/Resources/') or starts_with(path, 'Resources/')) as r,
-  count(*) filter ({HAS_BAD}) as x, count(*) filter (not {HAS_BAD} and {EXT} in ('html', 'htm')) as t from files where path not like '%.flglo')
- select cast(0 as integer) as ord, {q(runs.NO_GLOSSARY)} as warning from c where g = 0
- union all select 1, {q(runs.NO_VARIABLES)} from c where v = 0 union all select 1, {q(runs.NO_CONTENT_DIR)} from c where c = 0
- union all select 1, {q(runs.MOSTLY_OUTPUT)} from c where x > 0 and t < 5 union all select 1, {q(runs.NO_RESOURCES)} from c where r = 0""",
+  count(*) filter ({HAS_BAD}) as x, count(*) filter (not {HAS_BAD} and {EXT} in ('html', 'htm')) as t from files)
+ select warning, row_number() over (order by k) - 1 as ord from (
+ select 0 as k, {q(runs.NO_GLOSSARY)} as warning from c where g = 0
+ union all select 1, {q(runs.NO_VARIABLES)} from c where v = 0 union all select 2, {q(runs.NO_CONTENT_DIR)} from c where c = 0
+ union all select 3, {q(runs.MOSTLY_OUTPUT)} from c where x > 0 and t < 5 union all select 4, {q(runs.NO_RESOURCES)} from c where r = 0)""",
 )
 def preflight(spark, d):
-    return runs.preflight(view(spark, d, "files").filter("path not like '%.flglo'"))
+    suffix = F.when(F.col("p_size") > 40, ".flvar").otherwise(".png")
+    files = view(spark, d, "part").select(
+        F.concat(F.lit("Content/Images/part-"), F.col("p_partkey").cast("string"), suffix).alias("path")
+    )
+    return runs.preflight(files)
 
 
 @query(
@@ -472,7 +478,7 @@ def toc_from_files(spark, d):
 
 @query(
     "topic_tree",
-    ctes("toc", "topics") + f""", m as (select ({dirname('path')}) || '/' || {stem('path')} || '.md' as old, 'topics/' || {stem('path')} || '.md' as new from topics where doc_id % 2 = 0)
+    ctes("toc", "topics") + f""", m as (select ({dirname('path')}) || '/' || {stem('path')} || '.md' as old, 'topics/' || {stem('path')} || '.md' as new from topics)
  select toc_path, entry_id, title, coalesce(new, f) as topic_file, case when entry_id % 3 = 0 then 'beta' when entry_id % 3 = 1 then 'web' end as instance,
  lower({sub(sub("'" + "' || entry_id || ' x'", '[^a-zA-Z0-9_-]', '-'), '^([0-9])', 'id-' + chr(92) + '1')}) as id
  from (select *, {sub('href', '(?i)[.]html?$', '.md')} as f from toc) left join m on old = f""",
@@ -482,8 +488,7 @@ def topic_tree(spark, d):
     conditions = F.when(key % 3 == 0, F.array(F.lit("Unknown"), F.lit("Beta"))).when(key % 3 == 1, F.array(F.lit("WEB"))).otherwise(F.array())
     toc = _toc(spark, d).withColumn("conditions", conditions.cast("array<string>")).withColumn("id", F.concat(key.cast("string"), F.lit(" x")))
     path = F.col("path")
-    topics = view(spark, d, "topics").filter("doc_id % 2 = 0")
-    mapping = topics.select(
+    mapping = view(spark, d, "topics").select(
         F.concat(P.dirname(path), F.lit("/"), P.stem(path), F.lit(".md")).alias("old_path"),
         F.concat(F.lit("topics/"), P.stem(path), F.lit(".md")).alias("new_path"),
     )
@@ -656,11 +661,12 @@ def alt_texts(spark, d):
 
 @query(
     "decoded_urls",
-    "select page_id, replace(replace(url, 'http', 'h%20'), 'example', 'a+b') as raw, replace(replace(url, 'http', 'h '), 'example', 'a+b') as decoded from pages where not contains(url, '%')",
+    "select page_id, raw, case when regexp_matches(raw, '%([^0-9a-fA-F]|.[^0-9a-fA-F]|.?$)') then raw else url_decode(raw) end as decoded "
+    "from (select page_id, replace(replace(url, 'http', 'h%20'), 'example', 'a+b') as raw from pages)",
 )
 def decoded_urls(spark, d):
     raw = F.replace(F.replace("url", F.lit("http"), F.lit("h%20")), F.lit("example"), F.lit("a+b"))
-    rows = view(spark, d, "pages").filter(~F.contains("url", F.lit("%"))).select("page_id", raw.alias("raw"))
+    rows = view(spark, d, "pages").select("page_id", raw.alias("raw"))
     return rows.select("page_id", "raw", T.decode_url(F.col("raw")).alias("decoded"))
 
 
@@ -699,7 +705,32 @@ def link_forms(spark, d):
     )
 
 
-@query("math_notation")
+def _math(markup):
+    c = "(text || chr(10) || '$E = mc^2$ and H<sub>2</sub>O, 3.0 × 10^8 $$a+b$$')"
+    edge = T.SPACE + "*"
+    display, inline = rf"\$\${edge}([^$]*?[^$\s]){edge}\$\$", rf"\${edge}([^$]*?[^$\s]){edge}\$"
+    if markup == "asciidoc":
+        steps = [
+            (display, "\n[latexmath]\n++++\n\x01\\1\x01\n++++\n"), (inline, "latexmath:[\\1]"), ("\x01", "$$"),
+            ("(?i)<sub>(.*?)</sub>", "~\\1~"), ("(?i)<sup>(.*?)</sup>", "^\\1^"), (T.SCIENTIFIC, "\\1 × 10^\\2^"),
+        ]
+    else:
+        steps = [
+            (display, "\n\x01\n\\1\n\x01\n"), (inline, "$\\1$"), ("\x01", "$$"),
+            (T.SCIENTIFIC, "\\1 × 10<sup>\\2</sup>"),
+        ]
+    for pattern, mark in steps:
+        c = sub(c, pattern, mark)
+    return c
+
+
+MATH_FORMS = [r"\$[^$]+\$", r"(?is)<math[^>]*>.*?</math>", T.SCIENTIFIC, "(?i)<sub>.*?</sub>", "(?i)<sup>.*?</sup>", T.MATH_SYMBOLS]
+
+
+@query(
+    "math_notation",
+    f"select doc_id, ({' or '.join(rlike('text', p) for p in MATH_FORMS)}) as had_math, {_math('asciidoc')} as asciidoc, {_math('markdown')} as markdown from documents",
+)
 def math_notation(spark, d):
     text = F.concat(F.col("text"), F.lit("\n$E = mc^2$ and H<sub>2</sub>O, 3.0 × 10^8 $$a+b$$"))
     rows = view(spark, d, "documents")
@@ -709,6 +740,20 @@ def math_notation(spark, d):
     )
 
 
+def _entities():
+    c = "(text || ' &amp;lt;b&gt; &quot;x&quot; &#x41;&#xe9;')"
+    c = sub(c, "&amp;([a-zA-Z]+;)", "&" + chr(92) + "1")
+    for old, new in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x41;", "A"), ("&#xe9;", "é")):
+        c = f"replace({c}, {q(old)}, {q(new)})"
+    return c
+
+
+@query("decoded_entities", f"select doc_id, {_entities()} as decoded from documents")
+def decoded_entities(spark, d):
+    c = F.concat(F.col("text"), F.lit(" &amp;lt;b&gt; &quot;x&quot; &#x41;&#xe9;"))
+    return view(spark, d, "documents").select("doc_id", T.decode_entities(c).alias("decoded"))
+
+
 @query(
     "size_texts",
     """select o_orderkey, case when n >= 1048576 then regexp_replace(regexp_replace(printf('%.2f', round(n / 1048576.0, 2)), '0+$', ''), '[.]$', '') || ' MB'
@@ -721,12 +766,17 @@ def size_texts(spark, d):
 
 
 # --- progress ---------------------------------------------------------------
+def utc(c):
+    """Timestamp of a zone-free value read as UTC, whatever the session zone is."""
+    return F.concat(F.col(c).cast("string"), F.lit("Z")).cast("timestamp")
+
+
 def progress_events(spark, d):
     e = view(spark, d, "progress_events")
     data = F.struct(
         F.col("total_files").alias("totalFiles"), F.col("current_file").alias("currentFile"), "message", "error"
     )
-    return e.select("session_id", "type", F.col("ts").cast("timestamp").alias("ts"), "seq", data.alias("data"))
+    return e.select("session_id", "type", utc("ts").alias("ts"), "seq", data.alias("data"))
 
 
 STATE = (
@@ -812,7 +862,7 @@ def step_progress(spark, d):
  select report_id, step_id, status, case when b >= a then (epoch_us(b) // 1000) - (epoch_us(a) // 1000) end as duration_ms from s""",
 )
 def step_durations(spark, d):
-    rows = view(spark, d, "step_events").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = view(spark, d, "step_events").withColumn("ts", utc("ts"))
     return progress.step_durations(rows).select("report_id", "step_id", "status", "duration_ms")
 
 
@@ -821,9 +871,9 @@ def step_durations(spark, d):
     ctes("step_events") + ", r as (select report_id, max(ts) filter (status <> 'in_progress') as e from step_events group by 1) select report_id from r where e is null or e >= timestamp '2000-01-01' - interval 24 hours",
 )
 def recent_reports(spark, d):
-    steps = progress.step_durations(view(spark, d, "step_events").withColumn("ts", F.col("ts").cast("timestamp")))
+    steps = progress.step_durations(view(spark, d, "step_events").withColumn("ts", utc("ts")))
     reports = steps.groupBy("report_id").agg(F.max("end_time").alias("end_time"))
-    now = F.to_timestamp(F.lit("2000-01-01 00:00:00"))
+    now = F.to_timestamp(F.lit("2000-01-01 00:00:00Z"))
     return progress.recent_reports(reports, now).select("report_id")
 
 

@@ -550,7 +550,15 @@ def topics_assembled(spark, d):
     return blocks.assemble_topics(blocks.render_blocks(blocks.blocks(view(spark, d, "topics")), "markdown"))
 
 
-@query("chunks_of_blocks")
+@query(
+    "chunks_of_blocks",
+    BLOCKS.replace("with topics", "with recursive topics", 1)
+    + """, numbered as (select path, length(raw) as size, row_number() over (partition by path order by block_no) as n from kinds),
+ packed as (select path, n, size, 0 as chunk, size as used from numbered where n = 1
+  union all select b.path, b.n, b.size, case when p.used > 0 and p.used + b.size > 500 then p.chunk + 1 else p.chunk end,
+   case when p.used > 0 and p.used + b.size > 500 then b.size else p.used + b.size end from packed p join numbered b on b.path = p.path and b.n = p.n + 1)
+ select path, cast(chunk as integer) as chunk_no, count(*) as blocks, cast(sum(size) as bigint) as chars from packed group by path, chunk""",
+)
 def chunks_of_blocks(spark, d):
     packed = blocks.chunk_blocks(blocks.blocks(view(spark, d, "topics")), 500)
     return packed.groupBy("path", "chunk_no").agg(F.count("*").alias("blocks"), F.sum(F.length("raw")).alias("chars"))
@@ -570,41 +578,54 @@ def dropdowns(spark, d):
 
 
 # --- citations --------------------------------------------------------------
-@query(
-    "footnotes",
-    ctes("topics")
-    + f""", r as (select path, unnest({extract_all('html', citations.FOOTNOTE_REF)}) as id, generate_subscripts({extract_all('html', citations.FOOTNOTE_REF)}, 1) - 1 as pos from topics),
+AY = citations.AUTHOR_YEAR
+FOOTNOTES = f"""r as (select path, unnest({extract_all('html', citations.FOOTNOTE_REF)}) as id, generate_subscripts({extract_all('html', citations.FOOTNOTE_REF)}, 1) - 1 as pos from topics),
  b as (select path, id, arg_max(body, n) as body from (select path, unnest({extract_all('html', citations.FOOTNOTE_BODY)}) as id, unnest({extract_all('html', citations.FOOTNOTE_BODY, 2)}) as body,
   generate_subscripts({extract_all('html', citations.FOOTNOTE_BODY)}, 1) as n from topics) group by path, id)
  select path, cast(pos as integer) as pos, id, nullif({trim(sub(sub('body', '(?i)<(?:em|i)' + chr(92) + 'b[^>]*>(.*?)</(?:em|i)>', '*' + chr(92) + '1*'), '<[^>]+>'))}, '') as content,
-  case when body is null then 'Footnote reference ' || id || ' found but content missing' end as warning from r left join b using (path, id)""",
+  case when body is null then 'Footnote reference ' || id || ' found but content missing' end as warning from r left join b using (path, id)"""
+CITATIONS = f""" select path, 'inline' as type, cast(pos as integer) as pos, null as ref, a || ', ' || y as content, a as authors, y as year, null as journal, null as url, null as doi
+  from (select path, unnest({extract_all('html', AY)}) as a, unnest({extract_all('html', AY, 2)}) as y, generate_subscripts({extract_all('html', AY)}, 1) - 1 as pos from topics)
+ union all select path, 'reference', cast(pos as integer), 'ref_' || n, '[' || n || ']', null, null, null, null, null
+  from (select path, unnest({extract_all('html', citations.NUMBERED_REF)}) as n, generate_subscripts({extract_all('html', citations.NUMBERED_REF)}, 1) - 1 as pos from topics)
+ union all select path, 'bibliography', cast(pos as integer), null, c, array_to_string(string_split(nullif({extract('c', citations.AUTHORS)}, ''), ' and '), ';'),
+   nullif({extract('c', citations.JOURNAL, 6)}, ''), nullif({extract('c', citations.JOURNAL, 2)}, ''), nullif({extract('c', citations.URL)}, ''), nullif({extract('c', citations.DOI)}, '')
+  from (select path, {trim(sub(sub('raw', '<[^>]+>'), r'\s+', ' '))} as c, pos from (select path, unnest({extract_all('html', citations.BIBLIOGRAPHY_ENTRY)}) as raw, generate_subscripts({extract_all('html', citations.BIBLIOGRAPHY_ENTRY)}, 1) - 1 as pos from topics))"""
+
+
+@query(
+    "footnotes",
+    ctes("topics") + ", " + FOOTNOTES,
 )
 def footnotes(spark, d):
     return citations.link_footnotes(view(spark, d, "topics"))
 
 
-AY = citations.AUTHOR_YEAR
-
-
 @query(
     "citations",
-    ctes("topics")
-    + f""" select path, 'inline' as type, cast(pos as integer) as pos, null as ref, a || ', ' || y as content, a as authors, y as year, null as journal, null as url, null as doi
-  from (select path, unnest({extract_all('html', AY)}) as a, unnest({extract_all('html', AY, 2)}) as y, generate_subscripts({extract_all('html', AY)}, 1) - 1 as pos from topics)
- union all select path, 'reference', cast(pos as integer), 'ref_' || n, '[' || n || ']', null, null, null, null, null
-  from (select path, unnest({extract_all('html', citations.NUMBERED_REF)}) as n, generate_subscripts({extract_all('html', citations.NUMBERED_REF)}, 1) - 1 as pos from topics)
- union all select path, 'bibliography', cast(pos as integer), null, c, array_to_string(string_split(nullif({extract('c', citations.AUTHORS)}, ''), ' and '), ';'),
-   nullif({extract('c', citations.JOURNAL, 6)}, ''), nullif({extract('c', citations.JOURNAL, 2)}, ''), nullif({extract('c', citations.URL)}, ''), nullif({extract('c', citations.DOI)}, '')
-  from (select path, {trim(sub(sub('raw', '<[^>]+>'), r'\s+', ' '))} as c, pos from (select path, unnest({extract_all('html', citations.BIBLIOGRAPHY_ENTRY)}) as raw, generate_subscripts({extract_all('html', citations.BIBLIOGRAPHY_ENTRY)}, 1) - 1 as pos from topics))""",
+    ctes("topics") + CITATIONS,
 )
 def citation_rows(spark, d):
     rows = citations.citations(view(spark, d, "topics"))
     return rows.select("path", "type", "pos", "ref", "content", F.array_join("authors", ";").alias("authors"), "year", "journal", "url", "doi")
 
 
-@query("reference_section")
+NOTES = FOOTNOTES.replace(" select path, cast(pos", ", notes as (select path, cast(pos", 1) + ")"
+REFERENCES = (
+    ctes("topics") + ", " + NOTES + ", cites as (" + CITATIONS + """), listed as (
+  select path, 0 as grp, pos, content, cast(null as varchar) as authors, cast(null as varchar) as year, cast(null as varchar) as url, cast(null as varchar) as doi from notes where content is not null
+  union all select path, case type when 'inline' then 1 else 2 end, pos, content, authors, year, url, doi from cites where type <> 'reference'),
+ numbered as (select *, row_number() over (partition by path order by grp, pos) as n from listed)
+ select path, cast(n as integer) as ord, unnest(case when grp = 0 then ['[^cite_' || n || ']: ' || content, ''] else ['<a id="cite_' || n || '"></a>',
+   case when authors is not null and year is not null then '**' || replace(authors, ';', ', ') || '** (' || year || '). ' else '' end || content || coalesce(' DOI: ' || doi, '')
+   || coalesce(' Available at: [' || url || '](' || url || ')', ''), ''] end) as line from numbered
+ union all select path, 0, unnest(['## References', '']) from (select distinct path from listed)"""
+)
+
+
+@query("reference_section", REFERENCES)
 def reference_section(spark, d):
-    return citations.reference_section(view(spark, d, "topics"), "markdown")
+    return citations.reference_section(view(spark, d, "topics"), "markdown").drop("seq")
 
 
 SHORTCUTS = " union all ".join(
