@@ -11,6 +11,7 @@ from docweft.functions.text import nonempty, own_key, slug, title_case, topic_ti
 from docweft.operators import matching
 from docweft.operators.conditions import topic_instance
 from docweft.operators.links import first_existing
+from docweft.session import cut
 
 # --- fixed values -----------------------------------------------------------
 LINKED_TITLE = "[%=System.LinkedTitle%]"
@@ -147,11 +148,11 @@ def find_topic(entries: DataFrame, files: DataFrame) -> DataFrame:
     keys = entries.filter(F.col("href").isNotNull()).select("href").distinct()
     places = F.array(F.col("href"), *[F.concat(F.lit(r), F.col("href")) for r in TOPIC_ROOTS[1:]])
     direct = first_existing(keys, places, files, ["href"])
-    rest = keys.join(direct, "href", "left_anti").withColumn("a", F.lower(P.stem(F.col("href"))))
+    rest = cut(keys.join(direct, "href", "left_anti").withColumn("a", F.lower(P.stem(F.col("href")))))
     rank = F.lit(None).cast("int")
     for i, root in reversed(list(enumerate(SEARCH_ROOTS))):
         rank = F.when(F.col("path").startswith(root), i).otherwise(rank)
-    known = (
+    known = cut(
         files.select("path", F.lower(P.stem(F.col("path"))).alias("b"), rank.alias("root"))
         .filter(F.col("root").isNotNull())
         .groupBy("b")

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweft.functions import paths as P
-from docweft.functions.text import all_matches, nonempty, own_key, slug, topic_title, trim_ws, zipped
+from docweft.functions.text import all_matches, contains_any, nonempty, own_key, slug, topic_title, trim_ws, zipped
 from docweft.operators import matching
 from docweft.operators.lines import lines
+from docweft.session import cut
 
 # --- fixed values -----------------------------------------------------------
 # Link forms per format: pattern, url group, text group (0: none), fixed text.
@@ -29,6 +30,8 @@ LINK_FORMS = {
         ),
     ],
 }
+# What a line must hold to have a link at all.
+LINK_MARKS = {"markdown": ["]"], "asciidoc": [":"], "help-center": ["href=", "src="]}
 STRICT_ASCIIDOC_LINK = r"(link|xref|image::?):\s*([^\[\s]+)(?:\[([^\]]*)\])?"
 # Extensions a reference may carry and the one the output uses.
 CONVERTED = {
@@ -79,7 +82,7 @@ def extract_links(
         numbered = zipped({"url": "string", "text": "string"}, urls, texts)
 
         arrays.append(shaped(numbered, number, bool(text_group), fixed))
-    rows = lines(topics, text)
+    rows = lines(topics, text).filter(contains_any(F.col("line"), LINK_MARKS[family]))
     return rows.select("path", "line_no", F.inline(F.concat(*arrays)))
 
 
@@ -356,7 +359,7 @@ def fuzzy_paths(links: DataFrame, mapping: DataFrame) -> DataFrame:
 
     ``links`` has ``link``; ``mapping`` has ``mapped, value, ord``.
     """
-    keyed = links.select("link").distinct().withColumn("a", fuzzy_key(F.col("link")))
+    keyed = cut(links.select("link").distinct().withColumn("a", fuzzy_key(F.col("link"))))
     right = mapping.select(fuzzy_key(F.col("mapped")).alias("b"), "ord", "value")
     best = matching.best_similar(keyed.select("a"), right)
     return keyed.join(best, "a").select("link", "value", "score")
@@ -378,9 +381,9 @@ def match_contains(links: DataFrame, mapping: DataFrame) -> DataFrame:
     old_forms = F.array_distinct(
         F.array(old, F.regexp_replace(old, r"(?i)\.htm\z", ".adoc"), F.concat(P.stem(old), F.lit(".adoc")), P.stem(old))
     )
-    left = links.select("link").distinct().select("link", F.explode(link_forms).alias("a"))
+    left = cut(links.select("link").distinct().select("link", F.explode(link_forms).alias("a")))
     right = mapping.select("value", "ord", F.explode(old_forms).alias("b"))
-    firsts = right.groupBy("b").agg(F.min("ord").alias("ord"), F.min_by("value", "ord").alias("value"))
+    firsts = cut(right.groupBy("b").agg(F.min("ord").alias("ord"), F.min_by("value", "ord").alias("value")))
     pairs = matching.containment_pairs(left.select("a").distinct(), firsts.select("b"))
     per_form = pairs.join(firsts, "b").groupBy("a").agg(F.min(F.struct("ord", "value")).alias("m"))
     return (

@@ -248,6 +248,21 @@ def test_fuzzy(spark):
     assert half.count() == 0
 
 
+def test_toc_link_rewrite(spark):
+    mapping = spark.createDataFrame(
+        [("Content/03-1-a b.htm", "user/x/03-1-a b.adoc", "x/03-1-a-b.adoc", 1), ("c/d.htm", "y/d.adoc", "y/d.adoc", 2)],
+        "old_path string, toc_path string, actual_path string, ord int",
+    )
+    written = ["03-120a badoc.adoc#s", "03-1-ab.adoc", "D.adoc", "http://x", "#a", "far-away-thing.adoc"]
+    found = spark.createDataFrame([("y/index.adoc", w) for w in written], "out_path string, url string")
+    got = {r["url"]: r["new_url"] for r in links.rewrite_toc_links(found, mapping).collect()}
+    assert got["03-120a badoc.adoc#s"] == "../x/03-1-a-b.adoc#s"
+    assert got["03-1-ab.adoc"] == "../x/03-1-a-b.adoc"
+    assert got["D.adoc"] == "D.adoc" and got["http://x"] == "http://x" and got["#a"] == "#a"
+    near = {r["url"]: r["new_url"] for r in links.rewrite_toc_links(found, mapping, fuzzy=True).collect()}
+    assert near["D.adoc"] == "d.adoc" and near["far-away-thing.adoc"] == "far-away-thing.adoc"
+
+
 def test_matching_against_brute_force(spark):
     import random
 
