@@ -285,10 +285,10 @@ def test_matching_against_brute_force(spark):
     near = {(r["a"], r["b"]) for r in matching.within_two_edits(a, b).collect()}
     assert near == {(x, y) for x in left for y in right if distance(x, y) <= 2}
 
-    long_left = ["".join(rng.choice("abcdef") for _ in range(40)) for _ in range(20)]
+    long_left = ["".join(rng.choice("abcdef") for _ in range(rng.randint(13, 40))) for _ in range(40)]
     long_right = []
     for x in long_left:
-        i, j = sorted(rng.sample(range(40), 2))
+        i, j = sorted(rng.sample(range(len(x)), 2))
         long_right += [x[:i] + x[i + 1:], x[:i] + "z" + x[i:j] + x[j + 1:], x[:i] + "zz" + x[i:], x[:i] + "zzz" + x[i:]]
     a = spark.createDataFrame([(x,) for x in long_left], "a string")
     b = spark.createDataFrame([(x,) for x in long_right], "b string")
