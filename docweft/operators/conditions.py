@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +69,10 @@ OUTPUT_FILTERS = {
     "alpha": 'status="alpha"',
     "deprecated": 'status="deprecated"',
 }
+VOID_TAGS = {
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr",
+}
+REMOVED_MARK = "<!-- Removed content with MadCap conditions: {} -->"
 MAJOR_INSTANCES = ["web", "mobile", "desktop", "admin", "user"]
 # ---------------------------------------------------------------------------
 
@@ -224,6 +231,76 @@ def filter_elements(elems: DataFrame, include=None, exclude=None) -> DataFrame:
     return elems.filter(keeps(F.col("conditions"), include, exclude, F.col("conditioned")))
 
 
+def _subtree_remover(include: list[str], exclude: list[str]):
+    """Text function for :func:`remove_conditioned`: one pass over the tags of a topic."""
+    token = re.compile(r"<(/?)([A-Za-z][\w:.-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>")
+    named = {n: re.compile(rf"\s{n}\s*=\s*[\"']([^\"']*)[\"']", re.I) for n in CONDITION_ATTRIBUTES}
+    prefix = re.compile(r"^General\.", re.I), re.compile(r"^Default\.", re.I)
+
+    def tags_of(attributes: str):
+        found = [named[n].search(attributes) for n in CONDITION_ATTRIBUTES]
+        if not any(found):
+            return None
+        tags = []
+        for part in re.split("[,;]", " ".join(m.group(1) if m else "" for m in found)):
+            part = re.sub(r"^[\"']|[\"']$", "", part.strip())
+            for cut_off in prefix:
+                part = cut_off.sub("", part)
+            if part.strip():
+                tags.append(part.strip())
+        return tags
+
+    def removed(tags) -> bool:
+        missing = bool(include) and not any(t in include for t in tags)
+        return missing or any(t in exclude for t in tags)
+
+    def clean(html: str) -> str:
+        out, at, name, depth, start = [], 0, None, 0, 0
+        for m in token.finditer(html):
+            closing, tag, attributes = m.group(1), m.group(2).lower(), m.group(3)
+            alone = attributes.endswith("/") or tag in VOID_TAGS
+            if name is not None:
+                if tag == name and not alone:
+                    depth += -1 if closing else 1
+                if depth == 0:
+                    name, at = None, m.end()
+                continue
+            tags = None if closing else tags_of(attributes)
+            if tags is None or not removed(tags):
+                continue
+            out.append(html[at:m.start()])
+            out.append(REMOVED_MARK.format(", ".join(tags)))
+            at = start = m.end()
+            if not alone:
+                name, depth = tag, 1
+        if name is not None:  # never closed: drop the text up to the next tag only
+            following = html.find("<", start)
+            at = len(html) if following < 0 else following
+        out.append(html[at:])
+        return "".join(out)
+
+    return clean
+
+
+def remove_conditioned(topics: DataFrame, include=None, exclude=None) -> DataFrame:
+    """Topics whose conditioned elements are taken out with all they contain.
+
+    Run this before references are resolved. Nesting needs a scan with state, so the
+    text goes through a pandas function; topics without a condition attribute never do.
+    """
+    if not include and not exclude:
+        return topics
+    clean = _subtree_remover(list(include or []), list(exclude or []))
+
+    def apply(html: pd.Series) -> pd.Series:
+        return html.map(clean, na_action="ignore")
+
+    cleaner = F.pandas_udf(apply, "string")
+    marked = any_of(F.contains("html", F.lit(a)) for a in CONDITION_ATTRIBUTES)
+    has, rest = topics.filter(marked), topics.filter(~F.coalesce(marked, F.lit(False)))
+    return has.withColumn("html", cleaner("html")).unionByName(rest)
+
+
 def presets(spark: SparkSession) -> DataFrame:
     """Built-in presets: ``preset_id, name, exclude, include, is_built_in``."""
     rows = [(i, n, x, k, True) for i, n, x, k in PRESETS]

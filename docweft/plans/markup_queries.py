@@ -135,6 +135,23 @@ def condition_preset(spark, d):
     return conditions.apply_preset(elems, "production").select("path", "element_no", "tag", "text")
 
 
+def _removed(tag):
+    return q(conditions.REMOVED_MARK.split("{}")[0]) + f" || array_to_string({tag}, ', ') || " + q(conditions.REMOVED_MARK.split("{}")[1])
+
+
+@query(
+    "topics_filtered",
+    ctes("topics")
+    + f""", cut as (select path, html, {extract('html', '(?s)' + '<p' + chr(92) + 's[^<>]*conditions=[^<>]*>', 0)} as tag from topics),
+ parsed as (select *, case when tag <> '' then {parse_sql(BOTH)} else [] end as conds from cut),
+ spans as (select *, instr(html, tag) as a from parsed)
+ select path, case when tag <> '' and list_has_any(conds, ['Deprecated', 'Internal', 'Beta']) then html[1:a - 1] || {_removed('conds')} || html[a + instr(html[a:], '</p>') + 3:] else html end as html from spans""",
+)
+def topics_filtered(spark, d):
+    rows = view(spark, d, "topics").select("path", "html")
+    return conditions.remove_conditioned(rows, exclude=["Deprecated", "Internal", "Beta"])
+
+
 MAPPED = "list_filter(list_transform(conds, lambda c: case lower(c) " + " ".join(
     f"when {q(k)} then {q(v)}" for k, v in {**conditions.OUTPUT_FILTERS, "red": "review"}.items()
 ) + " end), lambda m: m is not null)"

@@ -93,6 +93,22 @@ def test_element_filter(spark):
     assert texts(conditions.apply_preset(e, "no-filter")) == ["plain", "d", "b", "i", "e"]
 
 
+def test_remove_conditioned(spark):
+    t = topics(
+        spark,
+        '<p>a</p><div data-mc-conditions="General.Old"><div>x<br>y</div><p>z</p></div><p>b</p>'
+        '<img madcap:conditions="Old"/><p madcap:conditions="New">c</p><li data-mc-conditions="Old">d<p>e</p>',
+        "<p>plain</p>",
+    )
+    got = {r["path"]: r["html"] for r in conditions.remove_conditioned(t, exclude=["Old"]).collect()}
+    mark = conditions.REMOVED_MARK.format("Old")
+    assert got["t0.htm"] == f'<p>a</p>{mark}<p>b</p>{mark}<p madcap:conditions="New">c</p>{mark}<p>e</p>'
+    assert got["t1.htm"] == "<p>plain</p>"
+    kept = conditions.remove_conditioned(t, include=["New"]).filter("path = 't0.htm'").first()["html"]
+    assert ">c</p>" in kept and "<p>a</p>" in kept and "x<br>" not in kept
+    assert conditions.remove_conditioned(t).count() == 2
+
+
 def test_presets(spark):
     assert conditions.presets(spark).count() == 6
     raw = spark.createDataFrame(
