@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,15 +30,44 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write a small intermediate table to the checkpoint folder and read it from there.
+def work_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that driver and executors share.
+
+    It is ``spark.checkpoint.dir`` of the session. Only a session on one machine may do
+    without: it gets a folder of its own, named in that setting from then on.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; what is written there goes when the session's JVM ends."""
+    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
-    Used where several later joins start from the same keys. The folder is the shared
-    one the cluster names; a private one is set only where none is named.
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write an intermediate table as Parquet to the shared folder and read it from there.
+
+    Later steps start from the files: nothing is computed twice and a lost executor
+    costs no more than its own tasks.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Store a small intermediate table that several later joins start from."""
+    return stored(df, "cut")
