@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docweft.llm import quality_rules
+from docweft.llm import chat_format, quality_rules
 from docweft.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,28 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         F.col("quality.kept").alias("kept"),
         F.round("quality.posterior", 6).alias("posterior"),
     )
+
+
+@query
+def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
+    turns = chat_format.distinct_turns(rows, "conv_id", "turn", "role", "text")
+    chosen = stored(chat_format.maximal(stored(chat_format.prefix_hashes(turns), "prefixes")), "chosen")
+    return chat_format.render(turns, chosen).select(
+        F.col("conv").alias("conv_id"), "n_turns", "copies", F.col("text").alias("rendered")
+    )
+
+
+ORACLE_SQL["op2_chat_format"] = f"""
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, count(*) AS n, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS l
+  FROM t GROUP BY conv_id
+),
+u AS (SELECT min(conv_id) AS conv_id, n, count(*) AS copies, l FROM c GROUP BY l, n),
+heads AS (SELECT DISTINCT l[1:k] AS head FROM (SELECT l, unnest(range(1, n)) AS k FROM u))
+SELECT conv_id, n AS n_turns, copies,
+  list_aggregate(list_transform(l, lambda x: '{chat_format.START}' || coalesce(x.role, '') || chr(10)
+    || coalesce(x.text, '') || '{chat_format.END}' || chr(10)), 'string_agg', '') AS rendered
+FROM u WHERE l NOT IN (SELECT head FROM heads)
+"""
