@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docweft.llm import chat_format, quality_rules, topk
+from docweft.llm import chat_format, quality_rules, topk, warc
 from docweft.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,42 @@ FROM u WHERE l NOT IN (SELECT head FROM heads)
 """
 
 
+@query
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages", "page_id", "url", "html")
+    records = warc.read_archives(warc.write_archives(pages), content=False)
+
+    def number(urn: str):
+        return F.substring_index(urn, ":", -1).try_cast("long")
+
+    return records.select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        number("refers_to").alias("refers_to"),
+    )
+
+
+DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+ORACLE_SQL["op9_warc"] = f"""
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body, sha1(encode(coalesce(html, '')))  AS hex FROM pages
+),
+d AS (
+  SELECT page_id, octet_length(body)::BIGINT AS payload_bytes,
+    list_aggregate(list_transform(range(32), lambda k: substr('{DIGITS}',
+      (bitstring_agg_value(hex, k)) + 1, 1)), 'string_agg', '') AS payload_digest
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = min(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> min(page_id) OVER w THEN min(page_id) OVER w END AS refers_to
+FROM d WINDOW w AS (PARTITION BY payload_digest)
+""".replace(
+    "bitstring_agg_value(hex, k)",
+    # five bits from place 5 k: they lie within two hexadecimal digits
+    "(('0x' || substr(hex || '0', 5 * k // 4 + 1, 2))::INTEGER // (2 ** (3 - 5 * k % 4))::INTEGER) % 32",
+)
+
+
 @query
 def op10_topk(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings", "vec_id", "embedding")
