@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docweft.llm import chat_format, quality_rules, topk, warc
+from docweft.llm import chat_format, quality_rules, token_files, topk, warc
 from docweft.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +63,20 @@ FROM u WHERE l NOT IN (SELECT head FROM heads)
 """
 
 
+@query
+def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    entries = token_files.write_shards(docs)
+    index, buckets = token_files.write_index(entries)
+    keys = docs.groupBy("doc_id").agg(F.count("*").alias("n")).select(
+        "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy")
+    )
+    found = token_files.lookup(keys, index, buckets)
+    return token_files.read_ids(
+        found, token_files.shard_list(entries), lambda x: zlib.crc32(x.astype("<u4").tobytes()), "long", "ids_crc32"
+    ).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 @query
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages", "page_id", "url", "html")
