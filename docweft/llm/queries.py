@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docweft.llm import chat_format, quality_rules, token_files, topk, warc
+from docweft.llm import chat_format, quality_rules, simhash, token_files, topk, warc
 from docweft.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,14 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     ).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    prints = stored(simhash.fingerprints(table(spark, folder, "documents", "doc_id", "text")), "prints")
+    return simhash.near_duplicates(prints).select(
+        "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
 @query
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages", "page_id", "url", "html")
