@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docweft.llm import chat_format, quality_rules, simhash, token_files, topk, warc
+from docweft.llm import chat_format, language, quality_rules, simhash, token_files, topk, warc
 from docweft.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,15 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang").withColumn("held_out", language.held_out(F.col("doc_id")))
+    model = language.fit(docs.filter(~F.col("held_out")))
+    return language.identify(docs.select("doc_id", "held_out", "text"), model).select(
+        "doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score")
+    )
+
+
 @query
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages", "page_id", "url", "html")
