@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docweft.llm import chat_format, language, quality_rules, simhash, token_files, topk, warc
+from docweft.llm import chat_format, language, packing, quality_rules, simhash, token_files, topk, warc
 from docweft.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,14 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     ).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents", "doc_id", "text")).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens", "sequence_id", "offset",
+    )
+
+
 @query
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     prints = stored(simhash.fingerprints(table(spark, folder, "documents", "doc_id", "text")), "prints")
