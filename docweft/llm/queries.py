@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from docweft.llm import chat_format, language, packing, quality_rules, simhash, token_files, topk, warc
+from docweft.llm import chat_format, language, licenses, packing, quality_rules, simhash, token_files, topk, warc
+from docweft.llm.columns import LOWER, UPPER
 from docweft.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +87,62 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    rows = licenses.scan(table(spark, folder, "documents", "doc_id", "text"))
+
+    def joined(labels):
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    starts = F.transform("places", lambda x: x["start"])
+    base = F.transform("places", lambda x: x["label"])
+    added = F.transform("matches", lambda x: x["label"])
+    best = F.coalesce(F.array_max(F.transform("matches", lambda x: x["containment"])), F.lit(0.0))
+    return rows.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), joined(base).alias("base_labels"), joined(F.concat(base, added)).alias("labels"),
+        # a phrase found word for word counts as a whole match
+        F.when(F.size("places") > 0, 1.0).otherwise(best).alias("score"),
+    )
+
+
+def license_sql() -> str:
+    between = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    hits = " UNION ALL ".join(
+        f"SELECT k, '{label}' AS label, n / {len(w)}::DOUBLE AS c FROM (SELECT k, len(list_intersect(b, {w})) AS n FROM b) "
+        f"WHERE n >= {licenses.THRESHOLD} * {len(w)}"
+        for label, text in licenses.TEMPLATES for w in [licenses.template_words(text)]
+    )
+    phrase = " ".join(
+        f"WHEN {' AND '.join(f"w[i + {k + 1}] = '{word}'" for k, word in enumerate(words))} THEN '{label}'"
+        for words, label in licenses.PHRASES.items()
+    )
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents
+),
+w AS (SELECT k, doc_id, regexp_extract_all(low, '{between}') AS w FROM d),
+p AS (
+  SELECT k, doc_id, w, list_filter(list_transform(range(len(w)), lambda i: {{'s': i, 'l': CASE {phrase} END}}), lambda x: x.l IS NOT NULL) AS p
+  FROM w
+),
+b AS (
+  SELECT k, list_distinct(regexp_extract_all(line, '{between}')) AS b
+  FROM (SELECT k, unnest(string_split(low, chr(10))) AS line FROM d)
+),
+m AS (SELECT k, list(label) AS labels, max(c) AS c FROM ({hits}) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(p)::BIGINT AS n_base,
+  list_min(list_transform(p, lambda x: x.s)) AS first_word, list_max(list_transform(p, lambda x: x.s)) AS last_word,
+  array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.l))), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(list_transform(p, lambda x: x.l), coalesce(labels, [])))), ',') AS labels,
+  CASE WHEN len(p) > 0 THEN 1.0 ELSE coalesce(c, 0.0) END::DOUBLE AS score
+FROM p LEFT JOIN m USING (k)
+"""
+
+
+ORACLE_SQL["op5_licenses"] = license_sql()
+
+
 @query
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     prints = stored(simhash.fingerprints(table(spark, folder, "documents", "doc_id", "text")), "prints")
