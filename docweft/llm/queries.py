@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from docweft.llm import chat_format, language, licenses, packing, quality_rules, simhash, token_files, topk, warc
+from docweft.llm import bpe_lexicon, chat_format, language, licenses, packing, quality_rules, simhash, token_files, topk, warc
 from docweft.llm.columns import LOWER, UPPER
 from docweft.session import stored
 
@@ -151,6 +151,18 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op7_bpe_lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    encode, decode = bpe_lexicon.encoder(bpe_lexicon.build_lexicon(docs)), bpe_lexicon.decoder()
+    coded = docs.select("doc_id", encode("text").alias("ids"))
+    return coded.select("doc_id", "ids", decode("ids").alias("decoded")).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text", "lang").withColumn("held_out", language.held_out(F.col("doc_id")))
