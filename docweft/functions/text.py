@@ -363,9 +363,11 @@ def decode_url(c: Column) -> Column:
     return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
 
 
-def sanitize_text(c: Column) -> Column:
+def sanitize_text(c: Column, limit: int | None = None) -> Column:
+    """Control characters and double dots go; ``limit`` cuts the result, by default nothing is cut."""
     c = F.regexp_replace(trim_ws(c), r"[\x00\x08\x0b\x0c\x0e-\x1f\x7f]", "")
-    return F.substring(F.replace(c, F.lit(".."), F.lit(".")), 1, 1000)
+    c = F.replace(c, F.lit(".."), F.lit("."))
+    return c if limit is None else F.substring(c, 1, limit)
 
 
 # --- sentences and tokens ---------------------------------------------------
@@ -443,13 +445,13 @@ def rewrite_math(c: Column, markup: str = "asciidoc") -> Column:
 
 
 # --- names ------------------------------------------------------------------
-def slug(c: Column, kind: str = "file") -> Column:
-    """File-name, folder or id slug."""
+def slug(c: Column, kind: str = "file", limit: int | None = None) -> Column:
+    """File-name, folder or id slug; ``limit`` cuts file names for file systems that need it."""
     if kind == "file":
         c = F.regexp_replace(F.lower(c), r"[^\w\s-]", "")
         c = F.regexp_replace(F.regexp_replace(c, r"\s+", "-"), "_+", "-")
         c = F.regexp_replace(F.regexp_replace(c, "-+", "-"), r"^-+|-+\z", "")
-        return F.substring(c, 1, 100)
+        return c if limit is None else F.substring(c, 1, limit)
     if kind == "folder":
         c = F.regexp_replace(c, r'[<>:"/\\|?*]', "-")
         c = F.regexp_replace(F.regexp_replace(c, rf"{SPACE}+", "-"), "-+", "-")

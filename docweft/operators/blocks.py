@@ -159,13 +159,16 @@ def list_starts(lists: DataFrame) -> DataFrame:
 
 
 def numbered_paragraphs(topics: DataFrame, text: str = "text") -> DataFrame:
-    """``path, ord, number, content`` of lines or paragraphs that start with ``n.``"""
+    """``path, ord, number, content`` of lines or paragraphs that start with ``n.``
+
+    Numbers of more than 38 digits are null and open a run of their own.
+    """
     arr = F.transform(split_lines(F.col(text)), trim_ws)
     rows = topics.select("path", F.posexplode(arr).alias("ord", "line"))
-    rows = rows.filter(F.col("line").rlike(r"^\d{1,9}\.\s+."))
+    rows = rows.filter(F.col("line").rlike(r"^\d+\.\s+."))
     return rows.select(
         "path", "ord",
-        F.regexp_extract("line", r"^(\d+)\.", 1).cast("bigint").alias("number"),
+        F.regexp_extract("line", r"^(\d+)\.", 1).try_cast("decimal(38,0)").alias("number"),
         F.regexp_extract("line", r"^\d+\.\s+(.+)\z", 1).alias("content"),
     )
 
@@ -174,7 +177,8 @@ def numbered_runs(rows: DataFrame) -> DataFrame:
     """Runs of following numbers; a run of one is no list. Adds ``run`` and ``place``."""
     order = Window.partitionBy("path").orderBy("ord")
     before = F.lag("number").over(order)
-    opens = (F.col("number") == 1) | before.isNull() | (F.col("number") != before + 1)
+    follows = (F.col("number") != 1) & (F.col("number") - 1 == before)
+    opens = ~F.coalesce(follows, F.lit(False))
     marked = rows.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(order))
     per_run = Window.partitionBy("path", "run")
     sized = marked.withColumn("size", F.count("*").over(per_run))

@@ -382,9 +382,10 @@ def detect_instances(usage: DataFrame, base_name: str) -> DataFrame:
     return default.unionByName(found)
 
 
-def sample_conditions(topics: DataFrame, n: int = 50) -> DataFrame:
-    """Tags of the first ``n`` topics in path order (a sampling operator by design)."""
-    first = topics.select("path", "html").orderBy("path").limit(n)
+def sample_conditions(topics: DataFrame, n: int | None = None) -> DataFrame:
+    """Distinct tags of all topics, or of the first ``n`` in path order."""
+    first = topics.select("path", "html")
+    first = first if n is None else first.orderBy("path").limit(n)
     values = all_matches(F.col("html"), r'data-mc-conditions="([^"]+)"')
     tags = F.flatten(F.transform(values, lambda v: F.transform(F.split(v, ","), trim_ws)))
     return first.select(F.explode(tags).alias("condition")).distinct()

@@ -144,7 +144,7 @@ def markup_issues(c: Column, format: str) -> Column:
         repeated(_header_lines(c)),
         lambda e: _issue(
             5, "warning", "structure",
-            F.concat(F.lit("Duplicate header found: "), F.substring(e["key"], 1, 50), F.lit("...")),
+            F.concat(F.lit("Duplicate header found: "), e["key"]),
             pos=e["n"], line=e["n"],
         ),
     )

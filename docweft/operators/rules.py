@@ -25,7 +25,6 @@ RULE_SEVERITY = {
     INCLUDE: "warning",
 }
 FENCE = "|==="
-CAP = 100
 BLOCK_NEXT = r"^\s*\[(?:NOTE|TIP|WARNING|CAUTION|IMPORTANT)\]"
 LIST_ATTRIBUTE_NEXT = r"^\s*\[(?:loweralpha|upperalpha|lowerroman|upperroman)\]"
 LIST_LINE = r"^\s*[.*]+\s"
@@ -260,11 +259,12 @@ def validate(topics: DataFrame, rules: list[str] | None = None, text: str = "tex
 
 
 def validation_summary(
-    topics: DataFrame, issues: DataFrame, rules: list[str] | None = None, cap: int = CAP
+    topics: DataFrame, issues: DataFrame, rules: list[str] | None = None, cap: int | None = None
 ) -> DataFrame:
     """Counts, status and rules applied per topic.
 
-    Rules run in order and stop after the one that brings the topic to the cap.
+    With a ``cap`` the rules run in order and stop after the one that brings the topic
+    to it; without one, the default, every issue counts.
     """
     chosen = list(RULES) if rules is None else rules
     kinds = ["error", "warning", "info"]
@@ -275,7 +275,7 @@ def validation_summary(
     rows = topics.select("path").join(per, "path", "left").fillna(0)
     so_far, totals, applied = F.lit(0), {k: F.lit(0) for k in kinds}, []
     for r in chosen:
-        runs = so_far < cap
+        runs = F.lit(True) if cap is None else so_far < cap
         applied.append(F.when(runs, F.lit(r)))
         for k in kinds:
             totals[k] = totals[k] + F.when(runs, F.col(cell[r, k])).otherwise(0)

@@ -165,9 +165,10 @@ def image_files(files: DataFrame) -> DataFrame:
     return _seen(files).filter(F.col("ext").isin(IMAGES)).select("path", "dir", "depth")
 
 
-def image_folders(files: DataFrame, depth: int = 8) -> DataFrame:
-    """Folders down to ``depth`` that hold an image."""
-    return image_files(files).filter(F.col("depth") <= depth).select("dir").distinct()
+def image_folders(files: DataFrame, depth: int | None = None) -> DataFrame:
+    """Folders that hold an image; with ``depth`` only those down to it."""
+    found = image_files(files)
+    return (found if depth is None else found.filter(F.col("depth") <= depth)).select("dir").distinct()
 
 
 def project_inventory(files: DataFrame) -> DataFrame:
@@ -184,7 +185,7 @@ def project_inventory(files: DataFrame) -> DataFrame:
     return counts.withColumn("k", F.lit(1)).join(tocs.withColumn("k", F.lit(1)), "k").drop("k")
 
 
-def project_conditions(topics: DataFrame, n: int = 50) -> DataFrame:
-    """Tags seen in the first topics whose name does not start with ``_``."""
+def project_conditions(topics: DataFrame, n: int | None = None) -> DataFrame:
+    """Tags seen in topics whose name does not start with ``_``, in the first ``n`` of them if given."""
     kept = topics.filter(~F.contains("path", F.lit("/_")))
     return sample_conditions(kept, n).filter(~is_blank(F.col("condition")))

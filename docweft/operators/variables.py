@@ -197,7 +197,7 @@ def flatten_variables(topics: DataFrame, defs: DataFrame) -> DataFrame:
         value = F.coalesce(
             F.try_element_at(F.coalesce(F.col("values"), empty), name),
             F.concat(F.lit("{"), name, F.lit("}")),
-            F.concat(F.lit("{Variable: "), F.substring(piece, 1, 50), F.lit("...}")),
+            F.concat(F.lit("{Variable: "), piece, F.lit("}")),
         )
         keep = (inner != "") & ~inner.contains(".")
         return F.when(i % 2 == 0, piece).when(keep, inner).otherwise(value)
@@ -269,16 +269,19 @@ def missing_variables(topics: DataFrame, defs: DataFrame, text: str = "text") ->
 def suggest_variables(missing: DataFrame, defs: DataFrame, n: int = 3) -> DataFrame:
     """``name, suggestions``: up to ``n`` names in definition order.
 
-    Containment either way first; only without one, names within two edits.
+    Containment either way first; only without one, names within two edits. A blank
+    name is contained in every other, so it gets the first ``n``; blank names of ``defs``
+    are never suggested.
     """
     wanted = missing.select("name").distinct().withColumn("a", F.lower("name"))
     known = defs.groupBy("name").agg(F.min("ord").alias("ord")).select(
         F.col("name").alias("known"), "ord", F.lower("name").alias("b")
-    )
+    ).filter("b <> ''")
     left, right = cut(wanted.select("a").distinct()), cut(known.select("b").distinct())
     inside = cut(matching.containment_pairs(left, right))
-    rest = left.join(inside.select("a").distinct(), "a", "left_anti")
-    pairs = inside.unionByName(matching.within_two_edits(rest, right))
+    rest = left.filter("a <> ''").join(inside.select("a").distinct(), "a", "left_anti")
+    blank = known.orderBy("ord").limit(n).select(F.lit("").alias("a"), "b").distinct()
+    pairs = inside.unionByName(matching.within_two_edits(rest, right)).unionByName(blank)
     top = (
         pairs.join(known, "b")
         .withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("ord")))

@@ -75,7 +75,7 @@ def structure_analysis(spark, d):
 
 @query(
     "excluded_folders",
-    ctes("files") + f""", f as (select {FOLDERS} as parts from files), k as (select parts, i from f, unnest(range(1, 20)) t(i) where i <= len(parts)),
+    ctes("files") + f""", f as (select {FOLDERS} as parts from files), k as (select parts, i from f, unnest(range(1, len(parts) + 1)) t(i)),
  h as (select parts, min(i) as i from k where {BAD.replace('(s in', '(parts[i] in').replace('lower(s)', 'lower(parts[i])').replace('starts_with(s,', 'starts_with(parts[i],')} group by parts)
  select distinct array_to_string(parts[1:i], '/') as dir from h""",
 )
@@ -211,8 +211,7 @@ def _layout_sql():
     "file_layout",
     ctes("files") + f""" select path, {_layout_sql()} as layout, case when {EXT} in ('docx', 'doc') then 'word' when {EXT} = 'xml' then 'madcap' else 'html' end as kind,
  case when {dirname('path')} = '.' then 0 else len(list_filter(string_split({dirname('path')}, '/'), lambda s: s <> '')) end as depth,
- case when {EXT} in ('xml', 'html', 'htm', 'flglo', 'flvar', 'fltoc', 'flsnp', 'svg') then null when {EXT} in ('png', 'jpg', 'jpeg', 'gif', 'bmp', 'webp') then 'Image file - will be copied as resource'
-  when size > 5242880 then 'File too large (' || printf('%.1f', size / 1048576.0) || 'MB) - likely contains embedded media' end as binary_reason from files""",
+ case when {EXT} in ('xml', 'html', 'htm', 'flglo', 'flvar', 'fltoc', 'flsnp', 'svg') then null when {EXT} in ('png', 'jpg', 'jpeg', 'gif', 'bmp', 'webp') then 'Image file - will be copied as resource' end as binary_reason from files""",
 )
 def file_layout(spark, d):
     rows = corpus.with_file_parts(view(spark, d, "files"))
@@ -225,9 +224,9 @@ def file_layout(spark, d):
 
 @query(
     "binary_texts",
-    """select doc_id, case when regexp_matches(text[1:8192], 'data:video/webm|data:video/mp4|data:application/octet-stream|data:audio/') then 'Contains embedded multimedia data'
+    """select doc_id, case when regexp_matches(text, 'data:video/webm|data:video/mp4|data:application/octet-stream|data:audio/') then 'Contains embedded multimedia data'
  when r > 0.1 then 'Contains binary data (' || printf('%.1f', r * 100) || '% non-printable)' end as reason
- from (select doc_id, text, cast(len(regexp_extract_all(text[1:1000], '[\\x00-\\x08\\x0b\\x0e-\\x1f]')) as double) / nullif(length(text[1:1000]), 0) as r from documents)""",
+ from (select doc_id, text, cast(len(regexp_extract_all(text, '[\\x00-\\x08\\x0b\\x0e-\\x1f]')) as double) / nullif(length(text), 0) as r from documents)""",
 )
 def binary_texts(spark, d):
     docs = view(spark, d, "documents")
@@ -551,14 +550,20 @@ PUNCT = r"""[.,;:!?()\[\]{}"']"""
 
 @query(
     "tokens",
+    # the other engine has no look-ahead: first genitive apostrophes become a letter, then tokens are cut
     f"""select doc_id, cast(len(list_filter(p, lambda t: regexp_matches(t, {q(T.NOT_SPACE)}))) as integer) as tokens,
- cast(len(list_filter(p, lambda t: regexp_matches(t, {q('^' + PUNCT.replace(chr(39), '') + '$')}))) as integer) as marks
- from (select doc_id, regexp_extract_all(replace(text, chr(39), ''), {q(T.SPACE + '+|' + PUNCT.replace(chr(39), '') + '|[^' + T.SPACE[1:-1] + PUNCT.replace(chr(39), '')[1:-1] + ']+')}) as p from documents)""",
+ cast(len(list_filter(p, lambda t: regexp_matches(t, {q('^' + PUNCT + '$')}))) as integer) as marks,
+ cast(len(list_filter(p, lambda t: ends_with(t, chr(1)))) as integer) as genitives
+ from (select doc_id, regexp_extract_all(regexp_replace(text, {q('([sxSX])' + chr(39) + '(' + T.SPACE + ')')}, {q(chr(92) + '1' + chr(1) + chr(92) + '2')}, 'g'),
+  {q(T.SPACE + '+|' + PUNCT + '|[^' + T.SPACE[1:-1] + PUNCT[1:-1] + ']+')}) as p from documents)""",
 )
 def tokens(spark, d):
-    found = T.tokens(F.replace("text", F.lit("'"), F.lit("")))
-    marks = F.filter(found, lambda t: t.rlike(r"^[.,;:!?()\[\]{}\"]\z"))
-    return view(spark, d, "documents").select("doc_id", F.size(found).alias("tokens"), F.size(marks).alias("marks"))
+    found = T.tokens(F.col("text"))
+    marks = F.filter(found, lambda t: t.rlike(rf"^{PUNCT}\z"))
+    genitives = F.filter(found, lambda t: t.rlike(r"[sxSX]'\z"))
+    return view(spark, d, "documents").select(
+        "doc_id", F.size(found).alias("tokens"), F.size(marks).alias("marks"), F.size(genitives).alias("genitives")
+    )
 
 
 @query(
@@ -588,7 +593,7 @@ def cleaned_texts(spark, d):
 
 @query(
     "sanitized_texts",
-    f"""select doc_id, substr(replace({sub(trim('text'), '[' + chr(92) + 'x00' + chr(92) + 'x08' + chr(92) + 'x0b' + chr(92) + 'x0c' + chr(92) + 'x0e-' + chr(92) + 'x1f' + chr(92) + 'x7f]')}, '..', '.'), 1, 1000) as sanitized,
+    f"""select doc_id, replace({sub(trim('text'), '[' + chr(92) + 'x00' + chr(92) + 'x08' + chr(92) + 'x0b' + chr(92) + 'x0c' + chr(92) + 'x0e-' + chr(92) + 'x1f' + chr(92) + 'x7f]')}, '..', '.') as sanitized,
  {sub('text', '([.?!])([A-Z])', chr(92) + '1 ' + chr(92) + '2')} as spaced from documents""",
 )
 def sanitized_texts(spark, d):

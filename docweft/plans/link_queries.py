@@ -281,7 +281,7 @@ def review_warnings(spark, d):
 def slug_sql(c):
     c = sub(f"lower({c})", r"[^\w\s-]")
     c = sub(sub(c, r"\s+", "-"), "_+", "-")
-    return f"substr({sub(sub(c, '-+', '-'), '^-+|-+$')}, 1, 100)"
+    return sub(sub(c, '-+', '-'), '^-+|-+$')
 
 
 PLAN_SQL = f"""plan as (select path, {normalize("(" + dirname('path') + ") || '/' || coalesce(nullif(" + slug_sql(title_sql('html')) + ", ''), " + stem('path') + ") || '.adoc'")} as out_path from topics)"""

@@ -185,10 +185,10 @@ def condition_instances(spark, d):
     "condition_sample",
     ctes("topics")
     + f""" select distinct {trim('c')} as condition from (select unnest(string_split(v, ',')) as c from (
- select unnest({extract_all('html', 'data-mc-conditions="([^"]+)"')}) as v from (select html from topics order by path limit 50)))""",
+ select unnest({extract_all('html', 'data-mc-conditions="([^"]+)"')}) as v from topics))""",
 )
 def condition_sample(spark, d):
-    return conditions.sample_conditions(view(spark, d, "topics"), 50)
+    return conditions.sample_conditions(view(spark, d, "topics"))
 
 
 @query(
@@ -347,7 +347,7 @@ def variables_missing(spark, d):
 @query(
     "variables_suggest",
     MISSING + """, known as (select name, min(ord) as ord from variables group by name),
- m as (select distinct name from missing where name <> ''),
+ m as (select distinct name from missing),
  inside as (select m.name, k.name as known, k.ord from m, known k where contains(lower(m.name), lower(k.name)) or contains(lower(k.name), lower(m.name))),
  near as (select m.name, k.name as known, k.ord from m, known k where m.name not in (select name from inside) and levenshtein(lower(m.name), lower(k.name)) <= 2),
  top as (select *, row_number() over (partition by name order by ord) as r from (select * from inside union all select * from near))
@@ -355,7 +355,7 @@ def variables_missing(spark, d):
 )
 def variables_suggest(spark, d):
     defs = view(spark, d, "variables")
-    missing = variables.missing_variables(view(spark, d, "drafts"), defs).filter("name <> ''")
+    missing = variables.missing_variables(view(spark, d, "drafts"), defs)
     return variables.suggest_variables(missing, defs).select("name", F.array_join("suggestions", ",").alias("suggestions"))
 
 

@@ -74,7 +74,7 @@ def _row_issues():
     out.append(f"select path, 3, 0, 'error', {q(quality.LATEX_ISSUE[0])} from drafts where contains(text, 'latexmath:[')")
     out.append(f"select path, 4, 0, 'error', {q(quality.REFERENCE_ISSUE[0])} from drafts where {rlike('text', '<ref_[0-9]+,[[][0-9]+[]]>')}")
     out.append(
-        "select path, 5, line_no, 'warning', 'Duplicate header found: ' || substr(line, 1, 50) || '...' from ("
+        "select path, 5, line_no, 'warning', 'Duplicate header found: ' || line from ("
         f"select *, row_number() over (partition by path, line order by line_no) as again from lines where {rlike('line', '^=+' + chr(92) + 's+')}) where again > 1"
     )
     out.append(
@@ -331,15 +331,15 @@ def auto_fix(spark, d):
 
 
 # --- line windows of blocks -------------------------------------------------
-NUM = r"^(\d{1,9})\.\s+."
+NUM = r"^(\d+)\.\s+."
 
 
 @query(
     "numbered_runs",
     ctes("drafts") + ", " + lines("drafts", "text")
-    + f""", rows as (select path, line_no - 1 as ord, cast({extract('t', r'^(\d+)\.')} as bigint) as number, {extract('t', r'^\d+\.\s+(.+)\z')} as content
+    + f""", rows as (select path, line_no - 1 as ord, try_cast({extract('t', r'^(\d+)\.')} as decimal(38,0)) as number, {extract('t', r'^\d+\.\s+(.+)\z')} as content
   from (select path, line_no, {trim('line')} as t from lines) where {rlike('t', NUM)}),
- o as (select *, case when number = 1 or lag(number) over w is null or number <> lag(number) over w + 1 then 1 else 0 end as opens from rows window w as (partition by path order by ord)),
+ o as (select *, case when coalesce(number <> 1 and number - 1 = lag(number) over w, false) then 0 else 1 end as opens from rows window w as (partition by path order by ord)),
  r as (select *, sum(opens) over (partition by path order by ord) as run from o),
  s as (select *, count(*) over (partition by path, run) as size, row_number() over (partition by path, run order by ord) as place from r)
  select path, cast(ord as integer) as ord, number, cast(run as bigint) as run, cast(place as integer) as place, content from s where size >= 2""",

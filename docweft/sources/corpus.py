@@ -59,13 +59,13 @@ MEDIA_MARKS = ["data:video/webm", "data:video/mp4", "data:application/octet-stre
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a small input over the cores.
+    """Spread a table over at least ``docweft.minPartitions`` partitions.
 
-    A table of a few files would run in a few tasks. A table with at least as many
-    partitions as cores, which is every large one, is returned as it is.
+    That setting is for single machines whose small files have one row group each. It is
+    unset elsewhere, and then the table is returned as it is and no text is moved.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    least = df.sparkSession.conf.get("docweft.minPartitions", None)
+    return df if least is None or df.rdd.getNumPartitions() >= int(least) else df.repartition(int(least))
 
 
 def with_file_parts(files: DataFrame) -> DataFrame:
@@ -238,9 +238,8 @@ def side_files(files: DataFrame, kind: str, upload: bool = False) -> DataFrame:
         known = F.lit(True)
         if not upload:
             # the first level is always entered, deeper levels only by name
-            known = ~F.exists(F.slice(parts, 2, 4096), lambda s: ~s.isin(GLOSSARY_DIRS))
-        depth_ok = P.path_depth(path) <= (10 if upload else 5)
-        return files.filter(path.endswith(".flglo") & ~hidden & known & depth_ok)
+            known = ~F.exists(F.slice(parts, F.lit(2), F.size(parts)), lambda s: ~s.isin(GLOSSARY_DIRS))
+        return files.filter(path.endswith(".flglo") & ~hidden & known)
     if kind == "toc":
         hidden = F.exists(parts, lambda s: s.startswith(".") | s.isin("node_modules", "Temporary"))
         found = files.filter(F.lower(path).endswith(".fltoc") & keep_toc(name))
@@ -250,24 +249,27 @@ def side_files(files: DataFrame, kind: str, upload: bool = False) -> DataFrame:
 
 
 # --- file predicates --------------------------------------------------------
-def binary_reason(content: Column, ext: Column, size: Column) -> Column:
-    """Why a file is not text; null for text. ``ext`` has no dot."""
-    head = F.substring(content, 1, 8192)
-    start = F.substring(content, 1, 1000)
-    control = F.regexp_count(start, F.lit(r"[\x00-\x08\x0b\x0e-\x1f]"))
-    ratio = F.try_divide(control.cast("double"), F.length(start).cast("double"))
+def binary_reason(content: Column, ext: Column, size: Column, max_bytes: int | None = None) -> Column:
+    """Why a file is not text; null for text. ``ext`` has no dot.
+
+    The whole content is looked at. ``max_bytes`` calls larger files binary unread; by
+    default size says nothing.
+    """
+    control = F.regexp_count(content, F.lit(r"[\x00-\x08\x0b\x0e-\x1f]"))
+    ratio = F.try_divide(control.cast("double"), F.length(content).cast("double"))
+    too_large = F.lit(False) if max_bytes is None else size > max_bytes
     return (
         F.when(ext.isin("xml", "html", "htm", "flglo", "flvar", "fltoc", "flsnp", "svg"), None)
         .when(ext.isin("png", "jpg", "jpeg", "gif", "bmp", "webp"), "Image file - will be copied as resource")
         .when(
-            size > 5 * 1024 * 1024,
+            too_large,
             F.concat(
                 F.lit("File too large ("),
                 F.format_string("%.1f", size / F.lit(1048576.0)),
                 F.lit("MB) - likely contains embedded media"),
             ),
         )
-        .when(contains_any(head, MEDIA_MARKS), "Contains embedded multimedia data")
+        .when(contains_any(content, MEDIA_MARKS), "Contains embedded multimedia data")
         .when(
             F.coalesce(ratio > 0.1, F.lit(False)),
             F.concat(
