@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +10,7 @@ from docweft.functions.text import (
     CHUNK_SIZE,
     all_matches,
     contains_any,
+    let,
     round_half_up,
     strip_boilerplate,
     text_chunks,
@@ -69,21 +69,32 @@ def admonition(label: Column) -> Column:
     return result
 
 
+def _pieces(html: Column) -> Column:
+    """Markup cut before every block tag; what stands before the first is dropped."""
+    cut = F.regexp_replace(strip_boilerplate(html), rf"(?i)<(?=(?:{BLOCK_TAGS})\b)", MARK + "<")
+    return let(F.split(cut, MARK, -1), lambda p: F.slice(p, F.lit(2), F.size(p)))
+
+
+def _visible(raw: Column) -> Column:
+    return trim_ws(F.regexp_replace(F.regexp_replace(raw, "<[^>]*>", " "), r"\s+", " "))
+
+
+def block_pieces(html: Column) -> Column:
+    """The markup of all blocks with text, in order."""
+    return F.filter(_pieces(html), lambda raw: _visible(raw) != "")
+
+
 def blocks(topics: DataFrame) -> DataFrame:
     """``path, block_no, kind, level, text, raw``: flat blocks in document order.
 
     The markup is cut before every block tag; kinds are heading, paragraph, item,
     row, code and admonition. Containers carry no text of their own and are dropped.
     """
-    cut = F.regexp_replace(
-        strip_boilerplate(F.col("html")), rf"(?i)<(?=(?:{BLOCK_TAGS})\b)", MARK + "<"
-    )
-    pieces = F.slice(F.split(cut, MARK, -1), 2, 2147483647)
-    rows = topics.select("path", F.posexplode(pieces).alias("block_no", "raw"))
+    rows = topics.select("path", F.posexplode(_pieces(F.col("html"))).alias("block_no", "raw"))
     opening = F.regexp_extract("raw", r"^<[^<>]*>", 0)
     tag = F.lower(F.regexp_extract("raw", r"^<(\w+)", 1))
     label = callout_label(attribute(opening, "class"))
-    body = trim_ws(F.regexp_replace(F.regexp_replace("raw", "<[^>]*>", " "), r"\s+", " "))
+    body = _visible(F.col("raw"))
     kind = (
         F.when(tag.rlike("^h[1-6]"), "heading")
         .when(label.isNotNull(), "admonition")
@@ -308,23 +319,30 @@ def chunk_text(topics: DataFrame, n: int = CHUNK_SIZE, text: str = "text") -> Da
     return topics.select("path", F.posexplode(text_chunks(F.col(text), n)).alias("chunk_no", "chunk"))
 
 
-def chunk_blocks(block_rows: DataFrame, n: int = CHUNK_SIZE) -> DataFrame:
-    """Add ``chunk_no``: blocks packed greedily up to ``n`` characters; a larger one stands alone.
+def chunk_blocks(topics: DataFrame, n: int = CHUNK_SIZE) -> DataFrame:
+    """``path, chunk_no, blocks, chunk``: blocks packed greedily up to ``n`` characters of markup.
 
-    Packing carries state along a topic, which no window frame expresses; the group
-    is one topic and only sizes enter Python.
+    Rows of a table and items of a list are blocks of their own, so large ones are parted;
+    one larger block stands alone. Packing carries a state along the blocks of a topic,
+    inside the row.
     """
-    sizes = block_rows.select("path", "block_no", F.length("raw").alias("size"))
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("block_no")
-        chunk, used, numbers = 0, 0, []
-        for size in frame["size"]:
-            if used and used + size > n:
-                chunk, used = chunk + 1, 0
-            numbers.append(chunk)
-            used += size
-        return frame.assign(chunk_no=numbers)[["path", "block_no", "chunk_no"]]
-
-    packed = sizes.groupBy("path").applyInPandas(pack, "path string, block_no int, chunk_no int")
-    return block_rows.join(packed, ["path", "block_no"])
+    state = "struct<chunk:int,used:int,numbers:array<int>>"
+
+    def step(s, piece):
+        size = F.length(piece)
+        over = (s["used"] > 0) & (s["used"] + size > n)
+        number = s["chunk"] + over.cast("int")
+        return F.struct(
+            number, F.when(over, size).otherwise(s["used"] + size), F.concat(s["numbers"], F.array(number))
+        ).cast(state)
+
+    start = F.struct(F.lit(0), F.lit(0), F.array().cast("array<int>")).cast(state)
+    rows = topics.select("path", block_pieces(F.col("html")).alias("pieces"))
+    rows = rows.filter(F.size("pieces") > 0).select("path", "pieces", F.aggregate("pieces", start, step, lambda s: s["numbers"]).alias("numbers"))
+
+    def chunk(number):
+        own = F.filter(F.zip_with("pieces", "numbers", lambda p, k: F.when(k == number, p)), lambda p: p.isNotNull())
+        return F.struct(number.alias("chunk_no"), F.size(own).alias("blocks"), F.array_join(own, "").alias("chunk"))
+
+    chunks = F.transform(F.sequence(F.lit(0), F.array_max("numbers")), chunk)
+    return rows.select("path", F.inline(chunks))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +10,7 @@ from docweft.functions.text import (
     WORD_START,
     all_matches,
     any_of,
+    let,
     trim_ws,
 )
 
@@ -231,74 +229,97 @@ def filter_elements(elems: DataFrame, include=None, exclude=None) -> DataFrame:
     return elems.filter(keeps(F.col("conditions"), include, exclude, F.col("conditioned")))
 
 
-def _subtree_remover(include: list[str], exclude: list[str]):
-    """Text function for :func:`remove_conditioned`: one pass over the tags of a topic."""
-    token = re.compile(r"<(/?)([A-Za-z][\w:.-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>")
-    named = {n: re.compile(rf"\s{n}\s*=\s*[\"']([^\"']*)[\"']", re.I) for n in CONDITION_ATTRIBUTES}
-    prefix = re.compile(r"^General\.", re.I), re.compile(r"^Default\.", re.I)
-
-    def tags_of(attributes: str):
-        found = [named[n].search(attributes) for n in CONDITION_ATTRIBUTES]
-        if not any(found):
-            return None
-        tags = []
-        for part in re.split("[,;]", " ".join(m.group(1) if m else "" for m in found)):
-            part = re.sub(r"^[\"']|[\"']$", "", part.strip())
-            for cut_off in prefix:
-                part = cut_off.sub("", part)
-            if part.strip():
-                tags.append(part.strip())
-        return tags
-
-    def removed(tags) -> bool:
-        missing = bool(include) and not any(t in include for t in tags)
-        return missing or any(t in exclude for t in tags)
-
-    def clean(html: str) -> str:
-        out, at, name, depth, start = [], 0, None, 0, 0
-        for m in token.finditer(html):
-            closing, tag, attributes = m.group(1), m.group(2).lower(), m.group(3)
-            alone = attributes.endswith("/") or tag in VOID_TAGS
-            if name is not None:
-                if tag == name and not alone:
-                    depth += -1 if closing else 1
-                if depth == 0:
-                    name, at = None, m.end()
-                continue
-            tags = None if closing else tags_of(attributes)
-            if tags is None or not removed(tags):
-                continue
-            out.append(html[at:m.start()])
-            out.append(REMOVED_MARK.format(", ".join(tags)))
-            at = start = m.end()
-            if not alone:
-                name, depth = tag, 1
-        if name is not None:  # never closed: drop the text up to the next tag only
-            following = html.find("<", start)
-            at = len(html) if following < 0 else following
-        out.append(html[at:])
-        return "".join(out)
-
-    return clean
+TAG = r"</?[A-Za-z][\w:.-]*(?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+>"
+MARK = "\u0001"
+CUT = "struct<from:int,to:int,tags:array<string>,open:boolean>"
+SCAN = f"struct<name:string,depth:int,from:int,tags:array<string>,cuts:array<{CUT}>>"
+
+
+def _tag_facts(piece: Column, i: Column) -> Column:
+    name = F.lower(F.regexp_extract(piece, r"^</?([A-Za-z][\w:.-]*)", 1))
+    named = piece.rlike(rf"(?i)\s(?:{'|'.join(CONDITION_ATTRIBUTES)})\s*=\s*[\"'][^\"']*[\"']")
+    return F.struct(
+        i.alias("i"),
+        piece.startswith("</").alias("closing"),
+        name.alias("name"),
+        (piece.endswith("/>") | name.isin(*sorted(VOID_TAGS))).alias("alone"),
+        F.when(named, tag_conditions(piece)).alias("tags"),
+    )
+
+
+def _cuts(pieces: Column, include: list[str], exclude: list[str]) -> Column:
+    """Ranges of pieces that go: one pass over the tags with the open element and its depth as state."""
+
+    def removed(tags):
+        missing = ~F.arrays_overlap(tags, F.array(*map(F.lit, include))) if include else F.lit(False)
+        listed = F.arrays_overlap(tags, F.array(*map(F.lit, exclude))) if exclude else F.lit(False)
+        return F.coalesce(missing | listed, F.lit(False))
+
+    def cut(first, last, tags, is_open=False):
+        return F.array(F.struct(first, last, tags, F.lit(is_open)).cast(CUT))
+
+    def step(s, t):
+        inside = s["name"].isNotNull()
+        hit = ~inside & ~t["closing"] & removed(t["tags"])
+        opens = hit & ~t["alone"]
+        change = F.when((t["name"] == s["name"]) & ~t["alone"], F.when(t["closing"], -1).otherwise(1)).otherwise(0)
+        depth = F.when(inside, s["depth"] + change).when(opens, 1).otherwise(0)
+        ends = inside & (depth == 0)
+        return F.struct(
+            F.when(inside & ~ends, s["name"]).when(opens, t["name"]).alias("name"),
+            depth.alias("depth"),
+            F.when(hit, t["i"]).otherwise(s["from"]).alias("from"),
+            F.when(hit, t["tags"]).otherwise(s["tags"]).alias("tags"),
+            F.when(ends, F.concat(s["cuts"], cut(s["from"], t["i"], s["tags"])))
+            .when(hit & t["alone"], F.concat(s["cuts"], cut(t["i"], t["i"], t["tags"])))
+            .otherwise(s["cuts"])
+            .alias("cuts"),
+        ).cast(SCAN)
+
+    def finish(s):
+        left = F.when(s["name"].isNotNull(), cut(s["from"], s["from"], s["tags"], True)).otherwise(
+            F.array().cast(f"array<{CUT}>")
+        )
+        return F.concat(s["cuts"], left)
+
+    facts = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, _tag_facts(p, i)))
+    start = F.struct(
+        F.lit(None).cast("string"), F.lit(0), F.lit(0), F.array().cast("array<string>"), F.array().cast(f"array<{CUT}>")
+    ).cast(SCAN)
+    return F.aggregate(F.array_compact(facts), start, step, finish)
+
+
+def _without_cuts(pieces: Column, cuts: Column) -> Column:
+    def between(first, n):
+        return F.array_join(F.slice(pieces, first, F.greatest(n, F.lit(0))), "")
+
+    def part(x, i):
+        before = F.coalesce(F.get(cuts, i - 1)["to"], F.lit(-1))
+        told = F.format_string(REMOVED_MARK.replace("{}", "%s"), F.array_join(x["tags"], ", "))
+        return F.concat(between(before + 2, x["from"] - before - 1), told)
+
+    last = F.get(cuts, F.size(cuts) - 1)
+    end = F.coalesce(last["to"], F.lit(-1))
+    text = F.coalesce(F.get(pieces, end + 1), F.lit(""))
+    # an element that is never closed takes the text up to the next tag only
+    rest = F.when(F.coalesce(last["open"], F.lit(False)), F.regexp_extract(text, "(?s)^[^<]*(.*)$", 1)).otherwise(text)
+    return F.concat(F.array_join(F.transform(cuts, part), ""), rest, between(end + 3, F.size(pieces) - end - 2))
 
 
 def remove_conditioned(topics: DataFrame, include=None, exclude=None) -> DataFrame:
     """Topics whose conditioned elements are taken out with all they contain.
 
-    Run this before references are resolved. Nesting needs a scan with state, so the
-    text goes through a pandas function; topics without a condition attribute never do.
+    Run this before references are resolved. Map-only; topics without a condition
+    attribute are passed through as they are.
     """
     if not include and not exclude:
         return topics
-    clean = _subtree_remover(list(include or []), list(exclude or []))
-
-    def apply(html: pd.Series) -> pd.Series:
-        return html.map(clean, na_action="ignore")
-
-    cleaner = F.pandas_udf(apply, "string")
-    marked = any_of(F.contains("html", F.lit(a)) for a in CONDITION_ATTRIBUTES)
-    has, rest = topics.filter(marked), topics.filter(~F.coalesce(marked, F.lit(False)))
-    return has.withColumn("html", cleaner("html")).unionByName(rest)
+    pieces = F.split(F.regexp_replace("html", TAG, MARK + "$0" + MARK), MARK, -1)
+    cleaned = let(
+        pieces, lambda p: let(_cuts(p, list(include or []), list(exclude or [])), lambda cuts: _without_cuts(p, cuts))
+    )
+    marked = F.coalesce(any_of(F.contains("html", F.lit(a)) for a in CONDITION_ATTRIBUTES), F.lit(False))
+    return topics.withColumn("html", F.when(marked, cleaned).otherwise(F.col("html")))
 
 
 def presets(spark: SparkSession) -> DataFrame:

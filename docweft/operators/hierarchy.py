@@ -11,7 +11,7 @@ from docweft.functions.text import nonempty, own_key, slug, title_case, topic_ti
 from docweft.operators import matching
 from docweft.operators.conditions import topic_instance
 from docweft.operators.links import first_existing
-from docweft.session import cut
+from docweft.session import cut, stored
 
 # --- fixed values -----------------------------------------------------------
 LINKED_TITLE = "[%=System.LinkedTitle%]"
@@ -52,28 +52,38 @@ def toc_report(toc: DataFrame, n: int = 5) -> DataFrame:
 def with_ancestors(toc: DataFrame, max_level: int | None = None) -> DataFrame:
     """Add ``ancestors`` (root first) and ``sort_key`` (ordinals from the root).
 
-    A chain of one equi join per level, each over the whole table, so no level is
-    computed twice. The depth is a single number read from the data.
+    Pointers are doubled: each step joins every entry with the entry that its chain has
+    come to, and takes over that one's chain, so a depth of d needs log2(d) joins. Steps
+    start from stored tables; the source is read once.
     """
+    toc = stored(toc, "toc")
     if max_level is None:
         max_level = toc.agg(F.max("level")).first()[0] or 0
-    parents = toc.select(
-        F.col("toc_path"), F.col("entry_id").alias("_cur"), F.col("parent_id").alias("_next"),
-        F.struct("title", "href", "ordinal").alias("_entry"),
+    # chain: the ancestors found so far, root side first; top: where the chain goes on, null at a root
+    chains = toc.select(
+        "toc_path", "entry_id", F.col("parent_id").alias("top"), F.array().cast(ANCESTOR).alias("chain"),
+        F.struct("title", "href", "ordinal").alias("own"),
     )
-    # a finished row takes a key of its own below zero, so roots do not pile up
-    own = -F.col("entry_id") - 1
-    rows = toc.select("*", F.coalesce("parent_id", own).alias("_cur"), F.array().cast(ANCESTOR).alias("ancestors"))
-    for _ in range(max_level):
-        rows = rows.join(parents, ["toc_path", "_cur"], "left").select(
-            *toc.columns,
-            F.coalesce("_next", own).alias("_cur"),
-            F.when(F.col("_entry").isNotNull(), F.concat(F.array("_entry"), F.col("ancestors")))
-            .otherwise(F.col("ancestors"))
-            .alias("ancestors"),
+    for _ in range(int(max_level).bit_length()):
+        # what an entry hands on: its own and all that its chain holds
+        given = chains.select(
+            "toc_path", F.col("entry_id").alias("top"), F.col("top").alias("next"),
+            F.concat("chain", F.array("own")).alias("more"),
         )
+        ended = chains.filter("top is null")
+        open_ = chains.filter("top is not null").join(given, ["toc_path", "top"], "left")
+        chains = stored(
+            ended.unionByName(
+                open_.select(
+                    "toc_path", "entry_id", F.col("next").alias("top"),
+                    F.concat(F.coalesce("more", F.array().cast(ANCESTOR)), "chain").alias("chain"), "own",
+                )
+            ),
+            "chains",
+        )
+    rows = toc.join(chains.select("toc_path", "entry_id", F.col("chain").alias("ancestors")), ["toc_path", "entry_id"])
     key = F.concat(F.transform("ancestors", lambda a: a["ordinal"]), F.array("ordinal"))
-    return rows.drop("_cur").withColumn("sort_key", key)
+    return rows.select(*toc.columns, "ancestors", key.alias("sort_key"))
 
 
 def book_titles(toc: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from docweft.sources.corpus import (
     excluded_dir,
     folder_segments,
     junk_name,
-    side_files,
+    toc_class,
     with_file_parts,
 )
 
@@ -175,14 +175,15 @@ def project_inventory(files: DataFrame) -> DataFrame:
     """Counts of topics, snippets, variable sets and TOCs."""
     rows = with_file_parts(files)
     ext = F.col("ext")
-    tocs = side_files(files, "toc").agg(F.count("*").alias("tocs"))
     counts = rows.agg(
         F.count_if(ext.isin(CONTENT) & ~F.contains("path", F.lit("/_"))).alias("topics"),
         F.count_if(ext == "flsnp").alias("snippets"),
         F.count_if(ext == "flvar").alias("variable_sets"),
+        F.count_if(toc_class(F.col("path")) == 0).alias("standard"),
+        F.count_if(toc_class(F.col("path")) == 1).alias("elsewhere"),
     )
-    # both sides are one row by construction
-    return counts.withColumn("k", F.lit(1)).join(tocs.withColumn("k", F.lit(1)), "k").drop("k")
+    tocs = F.when(F.col("standard") > 0, F.col("standard")).otherwise(F.col("elsewhere"))
+    return counts.withColumn("tocs", tocs).drop("standard", "elsewhere")
 
 
 def project_conditions(topics: DataFrame, n: int | None = None) -> DataFrame:

@@ -44,8 +44,11 @@ def inline_snippets(topics: DataFrame, snippets: DataFrame, root: str = "") -> D
 
     ``snippets`` has ``path, content``. One level, and a snippet may repeat. Only
     references travel to the lookup; bodies come back per topic, where they are part
-    of the output anyway.
+    of the output anyway. Topics without a snippet element are passed through.
     """
+    marked = F.coalesce(F.col("html").rlike(SNIPPET_ELEMENT), F.lit(False))
+    rest = topics.filter(~marked).select("path", "html")
+    topics = topics.filter(marked)
     refs = cut(snippet_refs(topics).select("path", "src").distinct())
     found = resolve_snippets(refs, snippets.select("path"), root)
     bodies = snippets.select(F.col("path").alias("found"), body_of(F.col("content")).alias("body"))
@@ -67,4 +70,5 @@ def inline_snippets(topics: DataFrame, snippets: DataFrame, root: str = "") -> D
         return F.when((i % 2 == 0) | (src == ""), piece).otherwise(F.coalesce(shown, missing))
 
     pieces = F.split(F.regexp_replace("html", SNIPPET_ELEMENT, MARK + "$0" + MARK), MARK, -1)
-    return joined.select("path", let(pieces, lambda ps: F.array_join(F.transform(ps, render), "")).alias("html"))
+    shown = let(pieces, lambda ps: F.array_join(F.transform(ps, render), ""))
+    return joined.select("path", shown.alias("html")).unionByName(rest)

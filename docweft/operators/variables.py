@@ -184,11 +184,18 @@ def _values_per_topic(topics: DataFrame, pairs_of) -> DataFrame:
     return topics.join(per_topic, "path", "left")
 
 
+def _parted(topics: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Topics with a variable element, and ``path, html`` of those without, which nothing changes."""
+    marked = F.coalesce(F.col("html").rlike(VARIABLE_ELEMENT), F.lit(False))
+    return topics.filter(marked), topics.filter(~marked).select("path", "html")
+
+
 def flatten_variables(topics: DataFrame, defs: DataFrame) -> DataFrame:
     """``path, html`` with references replaced by values, ``{name}`` when unresolved.
 
     Text already inside the element wins when it has no dot.
     """
+    topics, rest = _parted(topics)
     joined = _values_per_topic(topics, lambda refs: resolve_names(refs, defs))
     empty = F.create_map().cast("map<string,string>")
 
@@ -202,7 +209,8 @@ def flatten_variables(topics: DataFrame, defs: DataFrame) -> DataFrame:
         keep = (inner != "") & ~inner.contains(".")
         return F.when(i % 2 == 0, piece).when(keep, inner).otherwise(value)
 
-    return joined.select("path", F.array_join(F.transform(_pieces(F.col("html")), render), "").alias("html"))
+    shown = F.array_join(F.transform(_pieces(F.col("html")), render), "")
+    return joined.select("path", shown.alias("html")).unionByName(rest)
 
 
 def reference_names(refs: DataFrame, defs: DataFrame) -> DataFrame:
@@ -232,6 +240,7 @@ def reference_names(refs: DataFrame, defs: DataFrame) -> DataFrame:
 def reference_variables(topics: DataFrame, defs: DataFrame, format: str = "asciidoc") -> DataFrame:
     """``path, html`` with references written as ``{attr-name}`` or ``<var name="…"/>``."""
     empty = F.create_map().cast("map<string,string>")
+    topics, rest = _parted(topics)
     if format == "asciidoc":
         topics = _values_per_topic(topics, lambda refs: reference_names(refs, defs))
     else:
@@ -246,7 +255,8 @@ def reference_variables(topics: DataFrame, defs: DataFrame, format: str = "ascii
             shown = F.concat(F.lit('<var name="'), name, F.lit('"/>'))
         return F.when(i % 2 == 0, piece).otherwise(F.coalesce(shown, piece))
 
-    return topics.select("path", F.array_join(F.transform(_pieces(F.col("html")), render), "").alias("html"))
+    shown = F.array_join(F.transform(_pieces(F.col("html")), render), "")
+    return topics.select("path", shown.alias("html")).unionByName(rest)
 
 
 # --- missing references -----------------------------------------------------

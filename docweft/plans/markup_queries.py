@@ -570,15 +570,14 @@ def topics_assembled(spark, d):
 @query(
     "chunks_of_blocks",
     BLOCKS.replace("with topics", "with recursive topics", 1)
-    + """, numbered as (select path, length(raw) as size, row_number() over (partition by path order by block_no) as n from kinds),
- packed as (select path, n, size, 0 as chunk, size as used from numbered where n = 1
-  union all select b.path, b.n, b.size, case when p.used > 0 and p.used + b.size > 500 then p.chunk + 1 else p.chunk end,
+    + """, numbered as (select path, raw, length(raw) as size, row_number() over (partition by path order by block_no) as n from kinds),
+ packed as (select path, n, raw, size, 0 as chunk, size as used from numbered where n = 1
+  union all select b.path, b.n, b.raw, b.size, case when p.used > 0 and p.used + b.size > 500 then p.chunk + 1 else p.chunk end,
    case when p.used > 0 and p.used + b.size > 500 then b.size else p.used + b.size end from packed p join numbered b on b.path = p.path and b.n = p.n + 1)
- select path, cast(chunk as integer) as chunk_no, count(*) as blocks, cast(sum(size) as bigint) as chars from packed group by path, chunk""",
+ select path, cast(chunk as integer) as chunk_no, cast(count(*) as integer) as blocks, string_agg(raw, '' order by n) as chunk from packed group by path, chunk""",
 )
 def chunks_of_blocks(spark, d):
-    packed = blocks.chunk_blocks(blocks.blocks(view(spark, d, "topics")), 500)
-    return packed.groupBy("path", "chunk_no").agg(F.count("*").alias("blocks"), F.sum(F.length("raw")).alias("chars"))
+    return blocks.chunk_blocks(view(spark, d, "topics"), 500)
 
 
 DROP = r"(?is)<MadCap:dropDown>.*?</MadCap:dropDown>"

@@ -227,9 +227,17 @@ def keep_toc(name: Column) -> Column:
     return ~contains_any(low, TOC_DENY) & (contains_any(low, TOC_ALLOW) | low.isin(TOC_NAMES))
 
 
+def toc_class(path: Column) -> Column:
+    """0 for a TOC in a standard folder, 1 for one elsewhere, null for other files."""
+    hidden = F.exists(folder_segments(path), lambda s: s.startswith(".") | s.isin("node_modules", "Temporary"))
+    found = F.lower(path).endswith(".fltoc") & keep_toc(P.basename(path))
+    standard = any_of(path.startswith(d + "/") for d in TOC_DIRS)
+    return F.when(found & standard, 0).when(found & ~hidden, 1)
+
+
 def side_files(files: DataFrame, kind: str, upload: bool = False) -> DataFrame:
     """Glossary or TOC files by folder policy."""
-    path, name = F.col("path"), P.basename(F.col("path"))
+    path = F.col("path")
     parts = folder_segments(path)
     if kind == "glossary":
         hidden = F.exists(
@@ -241,10 +249,7 @@ def side_files(files: DataFrame, kind: str, upload: bool = False) -> DataFrame:
             known = ~F.exists(F.slice(parts, F.lit(2), F.size(parts)), lambda s: ~s.isin(GLOSSARY_DIRS))
         return files.filter(path.endswith(".flglo") & ~hidden & known)
     if kind == "toc":
-        hidden = F.exists(parts, lambda s: s.startswith(".") | s.isin("node_modules", "Temporary"))
-        found = files.filter(F.lower(path).endswith(".fltoc") & keep_toc(name))
-        standard = any_of(path.startswith(d + "/") for d in TOC_DIRS)
-        return _first_class(found.filter(standard | ~hidden), F.when(standard, 0).otherwise(1))
+        return _first_class(files.filter(toc_class(path).isNotNull()), toc_class(path))
     raise ValueError(f"unknown side file kind: {kind}")
 
 

@@ -553,9 +553,10 @@ def test_blocks(spark):
     ]
     text = blocks.assemble_topics(blocks.render_blocks(b)).first()["text"]
     assert text == "== T\n\nWARNING: w\n\n* a b\n\n----\nx\n----\n\np"
-    packed = blocks.chunk_blocks(b, 30).orderBy("block_no").collect()
-    assert [r["chunk_no"] for r in packed] == sorted(r["chunk_no"] for r in packed)
-    assert packed[0]["chunk_no"] == 0 and packed[-1]["chunk_no"] > 0
+    packed = blocks.chunk_blocks(t, 40).orderBy("chunk_no").collect()
+    assert [(r["chunk_no"], r["blocks"], r["chunk"]) for r in packed] == [
+        (0, 2, '<h2>T</h2><p class="mc-warning">w</p>'), (1, 2, "<li>a <b>b</b></li></ul><pre>x</pre>"), (2, 1, "<p>p</p>"),
+    ]
 
 
 def test_outcome(spark):
