@@ -25,8 +25,9 @@ an empty result; other columns pass through.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cache
 
 import numpy as np
@@ -38,25 +39,47 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 VOCABULARY = "piece_bpe_32k.model"
 UND = "und"
 #: Sampled texts and word types of a language, steps of the fit, characters of a word, words kept by a task.
-PER_LANGUAGE, TYPES, STEPS, LONGEST, KEPT = 2000, 8000, 4, 24, 400_000
+PER_LANGUAGE, TYPES, STEPS, LONGEST, KEPT = 1000, 8000, 4, 24, 600_000
 #: Pseudo-count of each piece, probability of a character outside the vocabulary, mark of a word's start.
 PSEUDO, UNKNOWN, START = 0.02, 1e-6, "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 SPACE = " \t\n\v\f\r"
 
 
+class Trie:
+    """The pieces that can occur in a word as a tree of characters, in sorted arrays."""
+
+    def __init__(self, name: str):
+        model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
+        self.pieces: dict[str, int] = {}
+        for i in range(model.get_piece_size()):
+            piece = model.id_to_piece(i)
+            bare = piece.removeprefix(START)
+            special = model.is_control(i) or model.is_unknown(i) or model.is_byte(i)
+            if not special and piece not in self.pieces and (piece == START or bare.isalpha() and bare == bare.lower()):
+                self.pieces[piece] = len(self.pieces)
+        node, self.chars, arcs = {"": 0}, 0x110000, {}
+        for piece in self.pieces:
+            for k in range(1, len(piece) + 1):
+                if piece[:k] not in node:
+                    node[piece[:k]] = len(node)
+                    arcs[node[piece[: k - 1]] * self.chars + ord(piece[k - 1])] = node[piece[:k]]
+        self.keys = np.array(sorted(arcs), "i8")
+        self.targets = np.array([arcs[k] for k in self.keys.tolist()], "i8")
+        self.piece_at = np.full(len(node), -1, "i4")
+        for piece, number in self.pieces.items():
+            self.piece_at[node[piece]] = number
+
+    def step(self, nodes: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The node that each character leads to, -1 where none."""
+        wanted = nodes * self.chars + chars
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.targets[at], -1)
+
+
 @cache
-def vocabulary(name: str = VOCABULARY) -> tuple[dict[str, int], frozenset[str]]:
-    """Number of each piece that can occur in a word, and all beginnings of pieces."""
-    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
-    pieces = {}
-    for i in range(model.get_piece_size()):
-        piece = model.id_to_piece(i)
-        bare = piece.removeprefix(START)
-        special = model.is_control(i) or model.is_unknown(i) or model.is_byte(i)
-        if not special and piece not in pieces and (piece == START or bare.isalpha() and bare == bare.lower()):
-            pieces[piece] = len(pieces)
-    return pieces, frozenset(p[:k] for p in pieces for k in range(1, len(p) + 1))
+def vocabulary(name: str = VOCABULARY) -> Trie:
+    return Trie(name)
 
 
 def words_of(chunk: str) -> list[str]:
@@ -78,43 +101,54 @@ class Arcs:
 
     @classmethod
     def of(cls, words: list[str], name: str = VOCABULARY) -> Arcs:
-        pieces, beginnings = vocabulary(name)
-        found = []
-        for n, word in enumerate(words):
-            size = len(word)
-            for s in range(size):
-                single = False
-                for e in range(s + 1, size + 1):
-                    part = word[s:e]
-                    if part not in beginnings:
-                        break
-                    if (piece := pieces.get(part)) is not None:
-                        found.append((n, s, e, piece))
-                        single |= e == s + 1
-                if not single:
-                    found.append((n, s, s + 1, -1))
-        table = np.array(found, "i4").reshape(-1, 4)
-        return cls(*table.T, np.array([len(w) for w in words], "i4"))
+        trie = vocabulary(name)
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype("i8")
+        lengths = np.array([len(w) for w in words], "i8")
+        word = np.repeat(np.arange(len(words)), lengths)
+        place = np.arange(len(chars)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        left = lengths[word] - place
+        # from every character at once: one step further each time, where the tree goes on
+        live, nodes, depth, found = np.arange(len(chars)), np.zeros(len(chars), "i8"), 0, []
+        while len(live):
+            nodes = trie.step(nodes, chars[live + depth])
+            depth += 1
+            piece = np.where(nodes >= 0, trie.piece_at[nodes], -1)
+            # a character that is no piece may stand alone, as an unknown one
+            hit = piece >= 0 if depth > 1 else np.ones(len(live), bool)
+            found.append((word[live[hit]], place[live[hit]], place[live[hit]] + depth, piece[hit]))
+            go = (nodes >= 0) & (left[live] > depth)
+            live, nodes = live[go], nodes[go]
+        empty = np.empty(0, "i8")
+        return cls(*(np.concatenate([empty, *x]) for x in (zip(*found) if found else [()] * 4)), lengths)
 
     def weights(self, chances: np.ndarray) -> np.ndarray:
         """``chances``: piece by language, and a last row for characters outside the vocabulary."""
         return chances[self.piece]
 
+    def by(self, ends: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """The arcs of each end (or start), in rising order."""
+        order = np.argsort(ends, kind="stable")
+        values, first = np.unique(ends[order], return_index=True)
+        return list(zip(values.tolist(), np.split(order, first[1:])))
+
+    def add(self, sums: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+        """Adds the arcs' values to their words, language by language."""
+        for k in range(values.shape[1]):
+            sums[:, k] += np.bincount(self.word[at], values[:, k], len(sums))
+
     def forward(self, weights: np.ndarray) -> np.ndarray:
         """Sum over all segmentations of the first e characters: word, e, language."""
         alpha = np.zeros((len(self.lengths), int(self.lengths.max(initial=0)) + 1, weights.shape[1]))
         alpha[:, 0] = 1
-        for e in range(1, alpha.shape[1]):
-            at = np.flatnonzero(self.end == e)
-            np.add.at(alpha, (self.word[at], e), alpha[self.word[at], self.start[at]] * weights[at])
+        for e, at in self.by(self.end):
+            self.add(alpha[:, e], at, alpha[self.word[at], self.start[at]] * weights[at])
         return alpha
 
     def backward(self, weights: np.ndarray) -> np.ndarray:
         beta = np.zeros((len(self.lengths), int(self.lengths.max(initial=0)) + 1, weights.shape[1]))
         beta[np.arange(len(self.lengths)), self.lengths] = 1
-        for s in range(beta.shape[1] - 2, -1, -1):
-            at = np.flatnonzero(self.start == s)
-            np.add.at(beta, (self.word[at], s), beta[self.word[at], self.end[at]] * weights[at])
+        for s, at in reversed(self.by(self.start)):
+            self.add(beta[:, s], at, beta[self.word[at], self.end[at]] * weights[at])
         return beta
 
     def totals(self, chances: np.ndarray) -> np.ndarray:
@@ -127,6 +161,7 @@ class Arcs:
 class Model:
     languages: list[str]
     chances: np.ndarray
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
 def with_unknown(chances: np.ndarray) -> np.ndarray:
@@ -136,7 +171,7 @@ def with_unknown(chances: np.ndarray) -> np.ndarray:
 def fit_counts(counts: pd.DataFrame, steps: int = STEPS) -> Model:
     """From rows ``lang, word, n``; words as ``words_of`` gives them."""
     languages = sorted(counts["lang"].unique())
-    size = len(vocabulary()[0])
+    size = len(vocabulary().pieces)
     if not languages:
         return Model([], np.zeros((size + 1, 0)))
     words = sorted(counts["word"].unique())
@@ -182,54 +217,68 @@ def fit(
 
 
 class Scorer:
-    """Predicts texts; what lies between white space is scored once."""
+    """Predicts texts. What lies between white space, and each word, is scored once; what was not met for a while is forgotten."""
 
     def __init__(self, model: Model):
-        self.model, self.seen = model, {}
-        self.logs = np.zeros((0, len(model.languages)))
-        self.letters = np.zeros(0, bool)
+        self.model = model
+        self.seen: dict[str, int] = {}
+        self.words: dict[str, np.ndarray] = {}
+        #: Log probability of each thing seen in each language, and whether it has a letter in the last column.
+        self.logs = np.zeros((1024, len(model.languages) + 1))
 
     def learn(self, new: list[str]) -> None:
-        flat, owner = [], []
-        for n, chunk in enumerate(new):
-            for w in words_of(chunk):
-                flat.append(w)
-                owner.append(n)
-        logs = np.zeros((len(new), len(self.model.languages)))
-        for at in range(0, len(flat), 20_000):
-            np.add.at(logs, owner[at : at + 20_000], Arcs.of(flat[at : at + 20_000]).totals(self.model.chances))
-        has = np.zeros(len(new), bool)
-        has[owner] = True
-        base = len(self.letters)
-        self.seen.update(zip(new, range(base, base + len(new))))
-        self.logs, self.letters = np.concatenate([self.logs, logs]), np.concatenate([self.letters, has])
+        parts = [words_of(chunk) for chunk in new]
+        fresh = sorted({w for p in parts for w in p}.difference(self.words))
+        for at in range(0, len(fresh), 20_000):
+            some = fresh[at : at + 20_000]
+            self.words.update(zip(some, Arcs.of(some).totals(self.model.chances)))
+        base, end = len(self.seen), len(self.seen) + len(new)
+        while len(self.logs) < end:
+            self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
+        for n, p in enumerate(parts, base):
+            self.logs[n, :-1] = sum((self.words[w] for w in p), np.zeros(len(self.model.languages)))
+            self.logs[n, -1] = bool(p)
+        self.seen.update(zip(new, range(base, end)))
+
+    def forget(self) -> None:
+        self.seen, self.words = {}, {}
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         chunks = [x.split() if x else [] for x in texts]
         new = set().union(*chunks).difference(self.seen)
-        if len(self.seen) + len(new) > KEPT and self.seen:
-            self.seen, self.logs, self.letters = {}, self.logs[:0], self.letters[:0]
+        if len(self.seen) + len(new) > KEPT:
+            self.forget()
             new = set().union(*chunks)
         self.learn(sorted(new))
         out, place = [], self.seen.__getitem__
         for found in chunks:
-            at = np.fromiter(map(place, found), "i8", len(found))
-            if not self.model.languages or not self.letters[at].any():
+            total = self.logs[np.fromiter(map(place, found), "i8", len(found))].sum(0)
+            if not self.model.languages or not total[-1]:
                 out.append((UND, 0.0))
                 continue
-            total = self.logs[at].sum(0)
-            best = int(total.argmax())
-            out.append((self.model.languages[best], float(1 / np.exp(total - total[best]).sum())))
+            best = int(total[:-1].argmax())
+            out.append((self.model.languages[best], float(1 / np.exp(total[:-1] - total[best]).sum())))
         return out
 
 
+#: The task process's scorer, kept from task to task.
+KEEP: dict[str, Scorer] = {}
+
+
+def scorer_of(model: Model) -> Scorer:
+    if model.name not in KEEP:
+        KEEP.clear()
+        KEEP[model.name] = Scorer(model)
+    return KEEP[model.name]
+
+
 def identify(docs: DataFrame, model: Model, text: str = "text", into: str = "language") -> DataFrame:
     """Adds a struct ``lang, score``; every row is kept, only the text goes to Python."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(held.value)
+        scorer = scorer_of(held.value)
         for batch in batches:
             found = []
             for at in range(0, len(batch), 256):

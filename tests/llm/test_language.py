@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.01"
 
 
 def test_forward_sums_all_segmentations():
-    pieces, _ = L.vocabulary()
+    pieces = L.vocabulary().pieces
     model = L.fit_counts(pd.DataFrame([("en", L.START + "there", 5), ("en", L.START + "here", 2), ("de", L.START + "der", 4)], columns=["lang", "word", "n"]))
     for word in (L.START + "there", L.START + "de", L.START + "日x", L.START + "q" * 20):
 
