@@ -836,11 +836,11 @@ def active_sessions(spark, d):
     "session_windows",
     ctes("progress_events") + """, g as (select *, case when lag(ts) over w is null or ts >= lag(ts) over w + interval 30 minutes then 1 else 0 end as opens from progress_events window w as (partition by session_id order by ts)),
  s as (select *, sum(opens) over (partition by session_id order by ts, seq) as span from g)
- select session_id, (epoch_us(min(ts)) // 1000) as start_ms, (epoch_us(max(ts)) // 1000) as last_ms, count(*) as events from s group by session_id, span""",
+ select session_id, (epoch_us(min(ts)) // 1000) as start_ms, (epoch_us(max(ts)) // 1000) as last_ms, (epoch_us(max(ts)) // 1000) + 1800000 as expires_ms, count(*) as events from s group by session_id, span""",
 )
 def session_windows(spark, d):
     w = progress.session_windows(progress_events(spark, d))
-    return w.select("session_id", _ms("start_time").alias("start_ms"), _ms("last_update").alias("last_ms"), "events")
+    return w.select("session_id", _ms("start_time").alias("start_ms"), _ms("last_update").alias("last_ms"), _ms("expires_at").alias("expires_ms"), "events")
 
 
 @query("events_encoded", ctes("progress_events") + " select session_id, type, count(*) as n, cast(sum(coalesce(total_files, 0)) as bigint) as total from progress_events group by 1, 2")

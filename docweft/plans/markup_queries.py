@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docweft.functions import text as T
 from docweft.operators import blocks, citations, conditions, glossary, variables
@@ -431,12 +432,19 @@ def glossary_rendered(spark, d):
 
 @query(
     "glossary_index",
-    ctes("glossary") + f""", g as (select *, {LETTER} as letter from glossary)
- select '<<' || {_anchor('term1')} || ',' || term1 || '>>' as line from g
- union all select '*' || letter || ':*' from (select distinct letter from g) union all select unnest(['.Glossary Index', '****', '****'])""",
+    ctes("glossary") + f""", g as (select *, {LETTER} as letter, lower(term1) as st from glossary),
+ l as (select letter, st, ord, '<<' || {_anchor('term1')} || ',' || term1 || '>>' || case when lead(1) over (partition by letter order by st, ord) is null then '' else ' |' end as line from g),
+ a as (select 1 as part, letter, 1 as block, st, ord, 0 as seq, line from l
+  union all select 1, letter, 1, st, ord, 1, '' from l where not ends_with(line, ' |')
+  union all select 1, letter, 0, '', null, 0, '*' || letter || ':*' from (select distinct letter from g)
+  union all select 0, '', 0, '', null, i, ['.Glossary Index', '****'][i + 1] from (select unnest(range(2)) as i)
+  union all select 2, '', 0, '', null, 0, '****')
+ select cast(row_number() over (order by part, letter, block, st, ord nulls first, seq) as integer) as line_no, line from a""",
 )
 def glossary_index(spark, d):
-    return glossary.render_glossary_index(_glossary(spark, d)).orderBy("sort_key").select("line")
+    rows = glossary.render_glossary_index(_glossary(spark, d))
+    # numbering is part of the check only: the sink sorts by range
+    return rows.select(F.row_number().over(Window.orderBy("sort_key")).alias("line_no"), "line")
 
 
 GTERM = r"(?i)<MadCap:glossaryTerm\b[^<>]*>([^<]*)</"

@@ -22,6 +22,7 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", os.environ.get("DOCWEFT_DRIVER_MEMORY", "8g"))
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("docweft.minPartitions", cpus if cpus.isdigit() else "8")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -34,32 +34,41 @@ def closed_spans(events: DataFrame, gap: str = progress.SESSION_TIMEOUT) -> Data
     return progress.session_windows(events.withWatermark("ts", WATERMARK), gap)
 
 
+ENDS = ["conversion_complete", "conversion_error"]
+
+
 def _expiry_processor(timeout_ms: int, grace_ms: int):
     class Expire(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
-            self.last = handle.getValueState("last", "ts_ms bigint, grace_ms bigint")
+            #: Last event and first end of the session; -1 while it has not ended.
+            self.seen = handle.getValueState("seen", "last_ms bigint, end_ms bigint")
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator:
-            newest, ended = 0, False
+            last, end = self.seen.get() if self.seen.exists() else (-1, -1)
+            was = self._due(last, end)
             for frame in rows:
-                newest = max(newest, int(frame["ts_ms"].max()))
-                ended = ended or bool(frame["type"].isin(["conversion_complete", "conversion_error"]).any())
-            if self.last.exists():
-                newest = max(newest, self.last.get()[0])
-                ended = ended or self.last.get()[1] == grace_ms
-            wait = grace_ms if ended else timeout_ms
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            self.last.update((newest, wait))
-            self.handle.registerTimer(newest + wait)
+                last = max(last, int(frame["ts_ms"].max()))
+                ends = frame["ts_ms"][frame["type"].isin(ENDS)]
+                if len(ends):
+                    end = min(x for x in (end, int(ends.min())) if x >= 0)
+            due = self._due(last, end)
+            self.seen.update((last, end))
+            # what comes after the end moves nothing: the timer stays where it is
+            if due != was:
+                for timer in self.handle.listTimers():
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(due)
             return iter(())
 
+        def _due(self, last: int, end: int) -> int:
+            return -1 if last < 0 else end + grace_ms if end >= 0 else last + timeout_ms
+
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
             import pandas as pd
 
             at = expiredTimerInfo.getExpiryTimeInMs()
-            self.last.clear()
+            self.seen.clear()
             yield pd.DataFrame({"session_id": [key[0]], "type": ["session_expired"], "expired_ms": [at]})
 
         def close(self) -> None:
@@ -71,7 +80,8 @@ def _expiry_processor(timeout_ms: int, grace_ms: int):
 def expire_sessions(
     events: DataFrame, timeout_ms: int = 30 * 60 * 1000, grace_ms: int = 30 * 1000, watermark: str = WATERMARK
 ) -> DataFrame:
-    """``session_expired`` rows: after 30 minutes of silence, or 30 seconds after the end.
+    """``session_expired`` rows: after 30 minutes of silence, or 30 seconds after the first end
+    event whatever follows it.
 
     Event-time timers fire when the watermark passes; state is one row per session.
     """
@@ -86,16 +96,18 @@ def expire_sessions(
     )
 
 
-def run_available(stream: DataFrame, target: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Run a stream over what is there now and stop; ``target`` is a memory table."""
-    return (
-        stream.writeStream.format("memory")
-        .queryName(target)
-        .outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def run_available(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Run a stream over what is there now and stop; rows are written to a Parquet folder.
+
+    Appended rows go through the file sink, each exactly once. In the other modes each
+    batch replaces the folder's content.
+    """
+    writer = stream.writeStream.outputMode(mode)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", folder)
+    else:
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(folder))
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def on_batch(stream: DataFrame, callback, checkpoint: str, mode: str = "update") -> StreamingQuery:

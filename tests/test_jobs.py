@@ -90,12 +90,13 @@ def test_live_sessions_equal_batch(spark):
     for i, chunk in enumerate((events()[:3], events()[3:])):
         (root / f"{i}.json").write_text("\n".join(json.dumps(e) for e in chunk))
     stream = streams.live_sessions(streams.read_progress(spark, str(root), files_per_trigger=1))
-    query = streams.run_available(stream, "live", str(folder()), "complete")
+    out = str(folder() / "live")
+    query = streams.run_available(stream, out, str(folder()), "complete")
     assert query.awaitTermination(120)
     raw = spark.createDataFrame([(json.dumps(e),) for e in events()], "value string")
     batch = progress.session_stats(progress.session_state(progress.decode_events(raw)))
     columns = ["session_id", "status", "completed_files", "errors", "percent", "elapsed_ms"]
-    assert sorted(map(tuple, spark.table("live").select(columns).collect())) == sorted(map(tuple, batch.select(columns).collect()))
+    assert sorted(map(tuple, spark.read.parquet(out).select(columns).collect())) == sorted(map(tuple, batch.select(columns).collect()))
 
 
 def test_closed_spans(spark):
@@ -103,9 +104,10 @@ def test_closed_spans(spark):
     late = [{"sessionId": "s", "type": "file_start", "timestamp": START + 7_200_000, "data": {}},
             {"sessionId": "u", "type": "file_start", "timestamp": START + 20_000_000, "data": {}}]
     (root / "0.json").write_text("\n".join(json.dumps(e) for e in events() + late))
-    query = streams.run_available(streams.closed_spans(streams.read_progress(spark, str(root))), "spans", str(folder()))
+    out = str(folder() / "spans")
+    query = streams.run_available(streams.closed_spans(streams.read_progress(spark, str(root))), out, str(folder()))
     assert query.awaitTermination(120)
-    got = sorted((r["session_id"], r["events"]) for r in spark.table("spans").collect())
+    got = sorted((r["session_id"], r["events"]) for r in spark.read.parquet(out).collect())
     assert got == [("s", 1), ("s", 5), ("t", 2)]
 
 
@@ -116,12 +118,15 @@ def test_expiry(spark):
     )
     root = folder()
     late = [{"sessionId": "u", "type": "file_start", "timestamp": START + 20_000_000, "data": {}}]
+    after_end = [{"sessionId": "t", "type": "file_complete", "timestamp": START + 5_000 + k * 9_000, "data": {}} for k in (1, 2)]
     (root / "0.json").write_text("\n".join(json.dumps(e) for e in events()))
-    (root / "1.json").write_text("\n".join(json.dumps(e) for e in late))
+    (root / "1.json").write_text("\n".join(json.dumps(e) for e in after_end))
+    (root / "2.json").write_text("\n".join(json.dumps(e) for e in late))
     stream = streams.expire_sessions(streams.read_progress(spark, str(root), files_per_trigger=1))
-    query = streams.run_available(stream, "expired", str(folder()))
+    out = str(folder() / "expired")
+    query = streams.run_available(stream, out, str(folder()))
     assert query.awaitTermination(180)
-    got = sorted((r["session_id"], r["expired_ms"] - START) for r in spark.table("expired").collect())
+    got = sorted((r["session_id"], r["expired_ms"] - START) for r in spark.read.parquet(out).collect())
     assert got == [("s", 25_000 + 1_800_000), ("t", 5_000 + 30_000)]
 
 
