@@ -40,7 +40,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
 from docweft.llm import files
-from docweft.llm.encode import UNSAFE, library
+from docweft.llm.encode import UNSAFE, byte_letters, library
 from docweft.session import new_path, stored
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -51,13 +51,6 @@ MAGIC = b"DWLEXIC1"
 
 
 # --- vocabulary -----------------------------------------------------------------------
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in byte-level vocabularies: printable bytes as they are, others from 256 on."""
-    kept = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    rest = [b for b in range(256) if b not in kept]
-    return {chr(b): b for b in kept} | {chr(256 + n): b for n, b in enumerate(rest)}
-
-
 class Vocabulary:
     """Merges by rank, bytes by id, special tokens."""
 

@@ -7,22 +7,27 @@ cut where the tokenizer's own pre-tokenizer always cuts, whatever stands around:
   the cut could fall elsewhere, so such texts are encoded whole.
 * lower-case words: at spaces and line feeds, which that tokenizer drops.
 
-The pieces seen are kept in a table of bounded size.
+A piece of Latin letters is one word for either pre-tokenizer and goes straight to the
+library's model; so do its parts if marks of punctuation follow, or lines meet in it. Other
+pieces go through the whole tokenizer. What was not met for a while is forgotten.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from functools import cache
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-#: Pieces kept by a task, and characters of one call to the library.
-KEPT, CALL = 600_000, 1 << 20
-#: A space beside other white space; Python's white space includes all that the tokenizer takes as such.
-UNSAFE = re.compile(r" \s|\s \s")
+#: Pieces kept by a task.
+KEPT = 800_000
+#: A space before other white space; Python's white space includes all that the tokenizer takes as such.
+UNSAFE = re.compile(r" \s")
+MARKS, BEYOND_LATIN = ".,;:!?", "ɐ"
+WHOLE = object()
 
 
 @cache
@@ -30,43 +35,109 @@ def library(name: str) -> Tokenizer:
     return Tokenizer.from_file(public_tokenizers.path(name))
 
 
-class Encoder:
-    """``ids(texts)``: the ids of each text as little-endian unsigned 32-bit integers."""
+@cache
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes as they are, others from 256 on."""
+    kept = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    rest = [b for b in range(256) if b not in kept]
+    return {chr(b): b for b in kept} | {chr(256 + n): b for n, b in enumerate(rest)}
+
+
+class Encoder(dict):
+    """``ids(texts)``: the ids of each text as little-endian unsigned 32-bit integers.
+
+    As a table it holds the ids of pieces. Keys are what stands between spaces and mean it
+    with the space before it. A key that begins with a space means the rest of the key as
+    it is: the start of a text, or the space at its end. A piece that begins with white
+    space makes its text ``WHOLE``.
+    """
 
     def __init__(self, name: str, drops_space: bool):
-        self.tokenizer, self.drops_space = library(name), drops_space
-        self.seen: dict[str, bytes] = {}
+        super().__init__()
+        self.tokenizer, self.model, self.drops_space = library(name), library(name).model, drops_space
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         if self.drops_space:
             return text.replace("\n", " ").split(" ")
-        if UNSAFE.search(text):
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *(" " + x for x in rest)]
-
-    def learn(self, new: list[str]) -> None:
-        if len(self.seen) + len(new) > KEPT:
-            self.seen.clear()
-        at = 0
-        while at < len(new):
-            end, size = at, 0
-            while end < len(new) and (size < CALL or end == at):
-                size += len(new[end])
-                end += 1
-            part = new[at:end]
-            for piece, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.seen[piece] = np.array(got.ids, "<u4").tobytes()
-            at = end
+        out = text.split(" ")
+        out[0] = " " + out[0]
+        if len(out) > 1 and not out[-1]:
+            out[-1] = "  "
+        return out
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def meaning(self, key: str) -> str:
+        if self.drops_space:
+            return key
+        return key[1:] if key[:1] == " " else " " + key
+
+    def word(self, letters: str, space: bool) -> bytes | None:
+        """One word, if it is of Latin letters only."""
+        if self.drops_space:
+            letters = letters.lower()
+        if not letters.isalpha() or max(letters) >= BEYOND_LATIN:
+            return None
+        if not letters.isascii():
+            letters = "".join([self.letters[b] for b in letters.encode()])
+        found = self.model.tokenize(self.letters[32] + letters if space else letters)
+        return array("I", [t.id for t in found]).tobytes()
+
+    def part(self, key: str) -> bytes | None:
+        """A piece without line feeds: a word, perhaps with marks after it."""
+        if (known := self.parts.get(key)) is not None:
+            return known
+        stem = key.rstrip(MARKS)
+        if len(stem) < len(key):
+            head, tail = self.part(stem) if stem.strip(" ") else None, key[len(stem) :]
+            if head is None or not stem[-1].isalpha():
+                return None
+            if (marks := self.parts.get(tail + "\n")) is None:
+                marks = self.parts[tail + "\n"] = self.whole(tail)
+            return head + marks
+        bare = key.removeprefix(" ")
+        found = self.word(bare, len(bare) == len(key) and not self.drops_space)
+        if found is not None:
+            self.parts[key] = found
+        return found
+
+    def lines(self, key: str) -> bytes | None:
+        """A piece with single line feeds inside: for the byte-level tokenizer each is a word of its own."""
+        first, *rest = key.split("\n")
+        if not rest:
+            return self.part(key)
+        found = [self.part(first) if first.strip(" ") else None, *(self.part(" " + x) if x else None for x in rest)]
+        return None if None in found else self["  \n"].join(found)
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            if not self.drops_space and (not key or key[0] != " " and key[0].isspace()):
+                found = WHOLE
+            else:
+                found = None if key == "  \n" or not key else self.lines(key)
+                if found is None:
+                    found = self.whole(key[2:] if key == "  \n" else self.meaning(key))
+        self[key] = found
+        return found
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.pieces(x) if x else [] for x in texts]
-        new = set().union(*cut).difference(self.seen)
-        if len(self.seen) + len(new) > KEPT:  # the table is emptied: all pieces of the batch are needed anew
-            new = set().union(*cut)
-        self.learn(list(new))
-        get = self.seen.__getitem__
-        return [b"".join(map(get, x)) for x in cut]
+        out = []
+        for text in texts:
+            try:
+                out.append(b"".join(map(self.__getitem__, self.pieces(text))) if text else b"")
+            except TypeError:  # a piece that makes its text whole
+                out.append(self.whole(text))
+        if len(self) > KEPT // 2:
+            self.older = dict(self)
+            self.clear()
+        if len(self.parts) > KEPT // 2:
+            self.parts.clear()
+        return out
 
 
 @cache
