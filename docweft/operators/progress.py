@@ -28,11 +28,16 @@ RETENTION = "24 hours"
 # ---------------------------------------------------------------------------
 
 
-def decode_events(raw: DataFrame, column: str = "value") -> DataFrame:
-    """JSON text to ``session_id, type, ts, data``; unknown types and bad JSON are dropped."""
+def decode_events(raw: DataFrame, column: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """JSON text to ``session_id, type, ts, data``; unknown types and bad JSON are dropped.
+
+    ``keep`` names columns of ``raw`` that are passed on.
+    """
     schema = f"struct<sessionId:string,type:string,timestamp:bigint,data:{EVENT_DATA}>"
     e = F.from_json(F.col(column), schema)
-    rows = raw.select(e.alias("e")).select(
+    keep = keep or []
+    rows = raw.select(*keep, e.alias("e")).select(
+        *keep,
         F.col("e.sessionId").alias("session_id"), F.col("e.type").alias("type"),
         F.timestamp_millis("e.timestamp").alias("ts"), F.col("e.data").alias("data"),
     )

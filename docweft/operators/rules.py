@@ -6,10 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from docweft.functions.text import compact, let, trim_ws, zipped
-from docweft.operators.lines import lines, lines_with_context, split_lines
+from docweft.functions.text import any_of, compact, let, trim_ws, zipped
+from docweft.operators.lines import split_lines
 
 # --- fixed values -----------------------------------------------------------
 CONTINUATION = "orphaned-continuation"
@@ -58,116 +57,154 @@ TEXTS = {
 # ---------------------------------------------------------------------------
 
 COLUMNS = ["path", "rule_id", "severity", "message", "line", "col", "check", "suggestion"]
+ISSUE = "struct<rule_id:string,severity:string,message:string,line:int,col:int,check:int,suggestion:string>"
 
 
-def _issue(severity, message, suggestion, col, check=0) -> Column:
+def _issue(rule, severity, message, suggestion, line, col, check=0) -> Column:
     def text(x):
         return x if isinstance(x, Column) else F.lit(x)
 
-    return F.struct(
-        F.lit(severity).alias("severity"),
-        text(message).alias("message"),
-        text(col).cast("int").alias("col"),
-        text(check).cast("int").alias("check"),
-        text(suggestion).alias("suggestion"),
+    parts = [text(rule), text(severity), text(message), line, text(col), text(check), text(suggestion)]
+    return F.struct(*parts).cast(ISSUE)
+
+
+def line_array(text: Column) -> Column:
+    """The lines of a text as ``array<struct<line, prev, next1, next2, no>>``; missing neighbours are null."""
+    return let(
+        split_lines(text),
+        lambda arr: F.transform(
+            arr,
+            lambda x, i: F.struct(
+                x.alias("line"), F.get(arr, i - 1).alias("prev"), F.get(arr, i + 1).alias("next1"),
+                F.get(arr, i + 2).alias("next2"), (i + 1).alias("no"),
+            ),
+        ),
     )
 
 
-def _rows(df: DataFrame, rule: str, issues: Column) -> DataFrame:
-    rows = df.select("path", F.col("line_no").alias("line"), F.inline(issues)).withColumn("rule_id", F.lit(rule))
-    return rows.select(*COLUMNS)
+def _each(z: Column, issues) -> Column:
+    """Issues of every line, from a function of the line to an array of issues."""
+    return F.flatten(F.transform(z, issues))
 
 
-def rule_orphaned_continuation(topics: DataFrame, text: str = "text") -> DataFrame:
-    """``+`` lines that continue nothing; looks one line back and two ahead in the row."""
-    rows = lines_with_context(topics.filter(F.col(text).contains("+")), text, ahead=2)
-    rows = rows.filter(trim_ws(F.col("line")) == "+")
-    prev, n1, n2 = (F.coalesce(c, F.lit("")) for c in ("prev", "next1", "next2"))
+# Each rule is a function of the line array of a topic to an array of issues; nothing is shuffled.
+def continuation_issues(z: Column) -> Column:
+    """``+`` lines that continue nothing; looks one line back and two ahead."""
 
     def content(c):
         return (trim_ws(c) != "") & ~c.rlike(NO_CONTENT)
 
-    orphan = (
-        n1.rlike(BLOCK_NEXT)
-        | n1.rlike(LIST_ATTRIBUTE_NEXT)
-        | (prev.rlike(LIST_LINE) & n1.rlike(LIST_LINE))
-        | ~(content(n1) | content(n2))
+    def orphan(e):
+        prev, n1, n2 = (F.coalesce(e[c], F.lit("")) for c in ("prev", "next1", "next2"))
+        return (
+            n1.rlike(BLOCK_NEXT)
+            | n1.rlike(LIST_ATTRIBUTE_NEXT)
+            | (prev.rlike(LIST_LINE) & n1.rlike(LIST_LINE))
+            | ~(content(n1) | content(n2))
+        )
+
+    found = F.filter(z, lambda e: (trim_ws(e["line"]) == "+") & orphan(e))
+    return F.transform(
+        found,
+        lambda e: _issue(CONTINUATION, "warning", *TEXTS["continuation"], e["no"], F.locate("+", e["line"])),
     )
-    issue = _issue("warning", *TEXTS["continuation"], F.locate("+", F.col("line")))
-    return _rows(rows.filter(orphan), CONTINUATION, F.array(issue))
 
 
 def _marker(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"^\s*([.*])", 1), F.lit(""))
 
 
-def rule_list_structure(topics: DataFrame, text: str = "text") -> DataFrame:
+def list_issues(z: Column) -> Column:
     """Too many dots, an inline list attribute, and mixed markers at one indent.
 
-    For the last check the nearest earlier line of the same indent is a lag inside
-    an island that a non-list line opens. Only short facts per line are shuffled.
+    For the last check the state is the marker seen last at each indent; a line outside
+    a list empties it.
     """
-    with_lists = topics.filter(F.col(text).rlike(r"(?m)^\s*[.*]+\s"))
-    rows = lines(with_lists, text)
-    line = F.col("line")
-    dots = F.regexp_extract(line, r"^\s*(\.{4,})\s+(.+)\z", 1)
-    too_many = F.concat(
-        F.lit("Too many dots ("), F.length(dots).cast("string"),
-        F.lit(") for list nesting. AsciiDoc supports up to 5 levels (.....)}"),
-    )
-    local = compact(
-        F.when(dots != "", _issue("error", too_many, TEXTS["dots"], 1, 0)),
-        F.when(
-            line.rlike(r"^(\s*[.*]+)\s+\[loweralpha\]"),
-            _issue("warning", *TEXTS["inline_attribute"], F.locate("[loweralpha]", line), 1),
-        ),
-    )
-    simple = _rows(rows, LIST_STRUCTURE, local)
-    facts = rows.select(
-        "path", "line_no",
-        _marker(line).alias("marker"),
-        F.length(F.regexp_extract(line, r"^(\s*)", 1)).alias("indent"),
-        (line.rlike(r"^\s*[.*]+\s+") & (F.col("line_no") > 1)).alias("item"),
-        ((trim_ws(line) != "") & ~line.rlike(r"^\s*[.*+]+(\s|\z)")).alias("stop"),
-        ((_marker(line) == "*") & line.rlike(EMPHASIS_LINE)).alias("emphasis"),
-    )
-    facts = facts.filter(~F.coalesce("emphasis", F.lit(False)))
-    facts = facts.filter(F.col("marker").isNotNull() | F.col("stop"))
-    order = Window.partitionBy("path").orderBy("line_no")
-    facts = facts.withColumn("island", F.sum(F.col("stop").cast("int")).over(order))
-    near = Window.partitionBy("path", "island", "indent").orderBy("line_no")
-    marked = facts.filter(F.col("marker").isNotNull()).withColumn("before", F.lag("marker").over(near))
-    mixed = marked.filter(F.col("item") & ~F.col("stop") & (F.col("before") != F.col("marker")))
-    message = F.concat(
-        F.lit("Mixed list markers at same level: '"), F.col("before"), F.lit("' and '"), F.col("marker"), F.lit("'")
-    )
-    return simple.unionByName(
-        _rows(mixed, LIST_STRUCTURE, F.array(_issue("warning", message, TEXTS["mixed"], F.col("indent") + 1, 2)))
+
+    def local(e):
+        line = e["line"]
+        dots = F.regexp_extract(line, r"^\s*(\.{4,})\s+(.+)\z", 1)
+        too_many = F.concat(
+            F.lit("Too many dots ("), F.length(dots).cast("string"),
+            F.lit(") for list nesting. AsciiDoc supports up to 5 levels (.....)}"),
+        )
+        return compact(
+            F.when(dots != "", _issue(LIST_STRUCTURE, "error", too_many, TEXTS["dots"], e["no"], 1, 0)),
+            F.when(
+                line.rlike(r"^(\s*[.*]+)\s+\[loweralpha\]"),
+                _issue(
+                    LIST_STRUCTURE, "warning", *TEXTS["inline_attribute"], e["no"], F.locate("[loweralpha]", line), 1
+                ),
+            ),
+        )
+
+    def fact(e):
+        line = e["line"]
+        return F.struct(
+            e["no"].alias("no"),
+            _marker(line).alias("marker"),
+            F.length(F.regexp_extract(line, r"^(\s*)", 1)).alias("indent"),
+            (line.rlike(r"^\s*[.*]+\s+") & (e["no"] > 1)).alias("item"),
+            ((trim_ws(line) != "") & ~line.rlike(r"^\s*[.*+]+(\s|\z)")).alias("stop"),
+            ((_marker(line) == "*") & line.rlike(EMPHASIS_LINE)).alias("emphasis"),
+        )
+
+    facts = F.filter(
+        F.transform(z, fact),
+        lambda f: ~F.coalesce(f["emphasis"], F.lit(False)) & (f["marker"].isNotNull() | f["stop"]),
     )
+    state = f"struct<seen:map<int,string>,found:array<{ISSUE}>>"
+    none = F.create_map().cast("map<int,string>")
+
+    def step(s, f):
+        seen = F.when(f["stop"], none).otherwise(s["seen"])
+        before = F.try_element_at(seen, f["indent"])
+        message = F.concat(
+            F.lit("Mixed list markers at same level: '"), before, F.lit("' and '"), f["marker"], F.lit("'")
+        )
+        mixed = F.coalesce(f["item"] & ~f["stop"] & (before != f["marker"]), F.lit(False))
+        issue = _issue(LIST_STRUCTURE, "warning", message, TEXTS["mixed"], f["no"], f["indent"] + 1, 2)
+        return F.struct(
+            F.when(
+                f["marker"].isNotNull(),
+                F.map_concat(
+                    F.map_filter(seen, lambda k, _: k != f["indent"]), F.create_map(f["indent"], f["marker"])
+                ),
+            ).otherwise(seen),
+            F.when(mixed, F.concat(s["found"], F.array(issue))).otherwise(s["found"]),
+        ).cast(state)
 
+    start = F.struct(none, F.array().cast(f"array<{ISSUE}>")).cast(state)
+    return F.concat(_each(z, local), F.aggregate(facts, start, step, lambda s: s["found"]))
 
-def rule_table_syntax(topics: DataFrame, text: str = "text") -> DataFrame:
+
+def table_issues(z: Column) -> Column:
     """Rows inside a table that do not start with a pipe, and tables left open.
 
-    Inside means an odd running count of fence lines. Topics without a fence and
-    lines that are neither a fence nor suspicious never reach the shuffle.
+    Fences open and close in turn, so the inside is what follows every other one.
     """
-    rows = lines(topics.filter(F.col(text).contains(FENCE)), text)
-    line = F.col("line")
-    fence = trim_ws(line) == FENCE
-    bad = (trim_ws(line) != "") & ~line.startswith("|") & ~line.rlike(r"^\s*\[.*\]\s*\z") & ~fence
-    facts = rows.select("path", "line_no", fence.alias("fence"), bad.alias("bad")).filter("fence or bad")
-    order = Window.partitionBy("path").orderBy("line_no")
-    inside = facts.withColumn("n", F.count_if("fence").over(order)).filter((F.col("n") % 2 == 1) & F.col("bad"))
-    open_tables = (
-        facts.filter("fence")
-        .groupBy("path")
-        .agg(F.count("*").alias("n"), F.max("line_no").alias("line_no"))
-        .filter(F.col("n") % 2 == 1)
-    )
-    return _rows(inside, TABLE_SYNTAX, F.array(_issue("error", *TEXTS["row"], 1, 0))).unionByName(
-        _rows(open_tables, TABLE_SYNTAX, F.array(_issue("error", *TEXTS["open_table"], 1, 1)))
-    )
+
+    def bad(e):
+        line = e["line"]
+        return (trim_ws(line) != "") & ~line.startswith("|") & ~line.rlike(r"^\s*\[.*\]\s*\z")
+
+    fences = F.transform(F.filter(z, lambda e: trim_ws(e["line"]) == FENCE), lambda e: e["no"])
+
+    def rows(f):
+        opening = F.filter(F.transform(f, lambda no, k: F.when(k % 2 == 0, k)), lambda k: k.isNotNull())
+
+        def inside(k):
+            end = F.coalesce(F.get(f, k + 1), F.size(z) + 1)
+            lines = F.filter(F.slice(z, F.get(f, k) + 1, end - F.get(f, k) - 1), bad)
+            return F.transform(lines, lambda e: _issue(TABLE_SYNTAX, "error", *TEXTS["row"], e["no"], 1, 0))
+
+        left_open = F.when(
+            F.size(f) % 2 == 1,
+            F.array(_issue(TABLE_SYNTAX, "error", *TEXTS["open_table"], F.get(f, F.size(f) - 1), 1, 1)),
+        ).otherwise(F.array().cast(f"array<{ISSUE}>"))
+        return F.concat(F.flatten(F.transform(opening, inside)), left_open)
+
+    return let(fences, rows)
 
 
 MARK = "\u0001"
@@ -191,39 +228,81 @@ def _located(line: Column, pattern: str) -> Column:
     return let(F.split(F.regexp_replace(line, pattern, MARK + "$0" + MARK), MARK, -1), locate)
 
 
-def rule_image_macro(topics: DataFrame, text: str = "text") -> DataFrame:
+def image_issues(z: Column) -> Column:
     pattern = r"image(::?)([^\[\]]+)(\[([^\]]*)\])?"
-    rows = lines(topics.filter(F.col(text).contains("image:")), text).filter(F.col("line").contains("image:"))
 
-    def findings(e):
+    def findings(e, no):
         path, alt = F.regexp_extract(e["m"], pattern, 2), F.regexp_extract(e["m"], pattern, 4)
         col = e["col"]
         return compact(
-            F.when(trim_ws(path) == "", _issue("error", *TEXTS["image_path"], col, 0)),
-            F.when(trim_ws(alt) == "", _issue("warning", *TEXTS["image_alt"], col, 1)),
+            F.when(trim_ws(path) == "", _issue(IMAGE_MACRO, "error", *TEXTS["image_path"], no, col, 0)),
+            F.when(trim_ws(alt) == "", _issue(IMAGE_MACRO, "warning", *TEXTS["image_alt"], no, col, 1)),
             F.when(
-                path.contains(" ") & ~path.contains("%20"), _issue("warning", *TEXTS["image_space"], col, 2)
+                path.contains(" ") & ~path.contains("%20"),
+                _issue(IMAGE_MACRO, "warning", *TEXTS["image_space"], no, col, 2),
             ),
         )
 
-    return _rows(rows, IMAGE_MACRO, F.flatten(F.transform(_located(F.col("line"), pattern), findings)))
+    marked = F.filter(z, lambda e: e["line"].contains("image:"))
+    return _each(marked, lambda e: _each(_located(e["line"], pattern), lambda m: findings(m, e["no"])))
 
 
-def rule_include(topics: DataFrame, text: str = "text") -> DataFrame:
+def include_issues(z: Column) -> Column:
     pattern = r"include::([^\[\]]+)(\[([^\]]*)\])?"
-    rows = lines(topics.filter(F.col(text).contains("include::")), text).filter(F.col("line").contains("include::"))
 
-    def findings(e):
+    def findings(e, no):
         path, col = F.regexp_extract(e["m"], pattern, 1), e["col"]
         return compact(
-            F.when(trim_ws(path) == "", _issue("error", *TEXTS["include_path"], col, 0)),
+            F.when(trim_ws(path) == "", _issue(INCLUDE, "error", *TEXTS["include_path"], no, col, 0)),
             F.when(
                 path.contains("variables") & ~path.contains(".adoc"),
-                _issue("info", *TEXTS["include_suffix"], col, 1),
+                _issue(INCLUDE, "info", *TEXTS["include_suffix"], no, col, 1),
             ),
         )
 
-    return _rows(rows, INCLUDE, F.flatten(F.transform(_located(F.col("line"), pattern), findings)))
+    marked = F.filter(z, lambda e: e["line"].contains("include::"))
+    return _each(marked, lambda e: _each(_located(e["line"], pattern), lambda m: findings(m, e["no"])))
+
+
+#: Per rule: the issues of a line array, and which texts can have any.
+ROW_RULES = {
+    CONTINUATION: (continuation_issues, lambda t: t.contains("+")),
+    LIST_STRUCTURE: (list_issues, lambda t: t.rlike(r"(?m)^\s*[.*]+\s")),
+    TABLE_SYNTAX: (table_issues, lambda t: t.contains(FENCE)),
+    IMAGE_MACRO: (image_issues, lambda t: t.contains("image:")),
+    INCLUDE: (include_issues, lambda t: t.contains("include::")),
+}
+
+
+def _row_rules(topics: DataFrame, chosen: list[str], text: str) -> DataFrame:
+    """Issue rows of rules that look at one topic: one pass over the texts, map-only."""
+    t, none = F.col(text), F.array().cast(f"array<{ISSUE}>")
+    able = any_of(ROW_RULES[r][1](t) for r in chosen)
+
+    def issues(z):
+        return F.concat(*(F.when(ROW_RULES[r][1](t), ROW_RULES[r][0](z)).otherwise(none) for r in chosen))
+
+    return topics.filter(able).select("path", F.inline(let(line_array(t), issues))).select(*COLUMNS)
+
+
+def rule_orphaned_continuation(topics: DataFrame, text: str = "text") -> DataFrame:
+    return _row_rules(topics, [CONTINUATION], text)
+
+
+def rule_list_structure(topics: DataFrame, text: str = "text") -> DataFrame:
+    return _row_rules(topics, [LIST_STRUCTURE], text)
+
+
+def rule_table_syntax(topics: DataFrame, text: str = "text") -> DataFrame:
+    return _row_rules(topics, [TABLE_SYNTAX], text)
+
+
+def rule_image_macro(topics: DataFrame, text: str = "text") -> DataFrame:
+    return _row_rules(topics, [IMAGE_MACRO], text)
+
+
+def rule_include(topics: DataFrame, text: str = "text") -> DataFrame:
+    return _row_rules(topics, [INCLUDE], text)
 
 
 # --- registry and rollup ----------------------------------------------------
@@ -235,6 +314,8 @@ RULES = {
     INCLUDE: rule_include,
 }
 
+BUILT_IN = set(RULES.values())
+
 
 def register_rule(rule_id: str, severity: str, function) -> None:
     """Add a rule: a function from topics to issue rows with :data:`COLUMNS`."""
@@ -253,9 +334,12 @@ def select_rules(severities=("error", "warning", "info"), enabled=None, strictne
 
 
 def validate(topics: DataFrame, rules: list[str] | None = None, text: str = "text") -> DataFrame:
-    """Issue rows of the chosen rules."""
+    """Issue rows of the chosen rules; the built-in ones share one pass over the texts."""
     chosen = list(RULES) if rules is None else rules
-    return reduce(lambda a, b: a.unionByName(b), [RULES[r](topics, text) for r in chosen])
+    built_in = [r for r in chosen if r in ROW_RULES and RULES[r] in BUILT_IN]
+    parts = [_row_rules(topics, built_in, text)] if built_in else []
+    parts += [RULES[r](topics, text) for r in chosen if r not in built_in]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def validation_summary(

@@ -324,10 +324,10 @@ def glossary_entries(spark, d):
 @query(
     "toc_entries",
     """with c as (select 'toc-' || c_custkey as toc_path, c_name, c_mktsegment as seg from customer)
- select toc_path, 0 as entry_id, cast(null as integer) as parent_id, 0 as level, c_name as title, cast(null as varchar) as href, false as linked_title, 2 as child_count from c
- union all select toc_path, 1, 0, 1, seg, 'Content/a.htm', false, 1 from c
- union all select toc_path, 2, 1, 2, '[%=System.LinkedTitle%]', 'Content/' || c_name || '.htm', true, 0 from c
- union all select toc_path, 3, 0, 1, 'Untitled', 'b.htm', false, 0 from c""",
+ select toc_path, 0 as entry_id, cast(null as integer) as parent_id, 0 as level, c_name as title, cast(null as varchar) as href, false as linked_title, 2 as child_count, 0 as ordinal from c
+ union all select toc_path, 1, 0, 1, seg, 'Content/a.htm', false, 1, 0 from c
+ union all select toc_path, 2, 1, 2, '[%=System.LinkedTitle%]', 'Content/' || c_name || '.htm', true, 0, 0 from c
+ union all select toc_path, 3, 0, 1, 'Untitled', 'b.htm', false, 0, 1 from c""",
 )
 def toc_entries(spark, d):
     """TOC files written from ``customer`` and flattened in pre-order."""
@@ -340,7 +340,7 @@ def toc_entries(spark, d):
             F.lit('.htm" /></TocEntry><TocEntry href="b.htm" /></TocEntry></CatapultToc>'),
         ).alias("content"),
     )
-    return project_xml.read_toc(files).drop("ordinal")
+    return project_xml.read_toc(files)
 
 
 # --- hierarchy --------------------------------------------------------------
@@ -843,12 +843,21 @@ def session_windows(spark, d):
     return w.select("session_id", _ms("start_time").alias("start_ms"), _ms("last_update").alias("last_ms"), _ms("expires_at").alias("expires_ms"), "events")
 
 
-@query("events_encoded", ctes("progress_events") + " select session_id, type, count(*) as n, cast(sum(coalesce(total_files, 0)) as bigint) as total from progress_events group by 1, 2")
+def _json_fields(**fields):
+    """JSON members of the fields that are not null."""
+    parts = ", ".join(f"case when {c} is not null then '\"{n}\":' || to_json({c}) end" for n, c in fields.items())
+    return f"array_to_string(list_filter([{parts}], lambda x: x is not null), ',')"
+
+
+@query(
+    "events_encoded",
+    ctes("progress_events") + f""" select session_id, type, '{{' || {_json_fields(sessionId='session_id', type='type')} || ',"timestamp":' || (epoch_us(ts) // 1000) || ',"data":{{'
+  || {_json_fields(totalFiles='total_files', currentFile='current_file', message='message', error='error')} || '}}}}' as value, coalesce(total_files, 0) as total from progress_events""",
+)
 def events_encoded(spark, d):
-    decoded = progress.decode_events(progress.encode_events(progress_events(spark, d)))
-    return decoded.groupBy("session_id", "type").agg(
-        F.count("*").alias("n"), F.sum(F.coalesce(F.col("data.totalFiles"), F.lit(0))).alias("total")
-    )
+    coded = progress.encode_events(progress_events(spark, d))
+    decoded = progress.decode_events(coded.withColumn("text", F.col("value")), "text", keep=["value"])
+    return decoded.select("session_id", "type", "value", F.coalesce(F.col("data.totalFiles"), F.lit(0)).alias("total"))
 
 
 @query(

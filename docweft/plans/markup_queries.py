@@ -506,6 +506,10 @@ CELLS = (
  tr as (select path, table_no, unnest({extract_all('t', '(?is)<tr' + chr(92) + 'b.*?</tr>', 0)}) as r, generate_subscripts({extract_all('t', '(?is)<tr' + chr(92) + 'b.*?</tr>', 0)}, 1) - 1 as row_no from tb),
  td as (select path, table_no, row_no, unnest({extract_all('r', '(?is)<t[dh]' + chr(92) + 'b.*?</t[dh]>', 0)}) as c, generate_subscripts({extract_all('r', '(?is)<t[dh]' + chr(92) + 'b.*?</t[dh]>', 0)}, 1) - 1 as col_no from tr),
  cells as (select path, table_no, row_no, col_no, starts_with(c, '<th') as is_header, try_cast(nullif({attr('c', 'colspan')}, '') as integer) as colspan,
+  case when try_cast(nullif({attr('c', 'rowspan')}, '') as integer) > 1 then try_cast({attr('c', 'rowspan')} as integer) end as rowspan,
+  case when len(regexp_extract_all({extract('c', '(?s)^<[^<>]*>(.*)</t[dh]>$')}, '<[A-Za-z]')) = 1 then
+   case lower(regexp_extract({extract('c', '(?s)^<[^<>]*>(.*)</t[dh]>$')}, '<([A-Za-z]+)', 1)) when 'strong' then 'strong' when 'b' then 'strong' when 'em' then 'emphasis'
+    when 'i' then 'emphasis' when 'code' then 'monospace' end end as format,
   case when {attr('c', 'align')} in ('center', 'right') then {attr('c', 'align')} end as alignment,
   {_cell(extract('c', '(?s)^<[^<>]*>(.*)</t[dh]>$'))} as content from td)"""
 )
@@ -513,10 +517,10 @@ CELLS = (
 
 @query(
     "table_cells",
-    CELLS + " select path, cast(table_no as integer) as table_no, cast(row_no as integer) as row_no, cast(col_no as integer) as col_no, is_header, colspan, alignment, content from cells",
+    CELLS + " select path, cast(table_no as integer) as table_no, cast(row_no as integer) as row_no, cast(col_no as integer) as col_no, is_header, colspan, rowspan, format, alignment, content from cells",
 )
 def table_cells(spark, d):
-    return blocks.table_cells(view(spark, d, "topics")).drop("rowspan", "format")
+    return blocks.table_cells(view(spark, d, "topics"))
 
 
 @query(
@@ -608,12 +612,12 @@ FOOTNOTES = f"""r as (select path, unnest({extract_all('html', citations.FOOTNOT
   generate_subscripts({extract_all('html', citations.FOOTNOTE_BODY)}, 1) as n from topics) group by path, id)
  select path, cast(pos as integer) as pos, id, nullif({trim(sub(sub('body', '(?i)<(?:em|i)' + chr(92) + 'b[^>]*>(.*?)</(?:em|i)>', '*' + chr(92) + '1*'), '<[^>]+>'))}, '') as content,
   case when body is null then 'Footnote reference ' || id || ' found but content missing' end as warning from r left join b using (path, id)"""
-CITATIONS = f""" select path, 'inline' as type, cast(pos as integer) as pos, null as ref, a || ', ' || y as content, a as authors, y as year, null as journal, null as url, null as doi
+CITATIONS = f""" select path, 'inline' as type, cast(pos as integer) as pos, null as ref, a || ', ' || y as content, a as authors, y as year, null as title, null as journal, null as url, null as doi
   from (select path, unnest({extract_all('html', AY)}) as a, unnest({extract_all('html', AY, 2)}) as y, generate_subscripts({extract_all('html', AY)}, 1) - 1 as pos from topics)
- union all select path, 'reference', cast(pos as integer), 'ref_' || n, '[' || n || ']', null, null, null, null, null
+ union all select path, 'reference', cast(pos as integer), 'ref_' || n, '[' || n || ']', null, null, null, null, null, null
   from (select path, unnest({extract_all('html', citations.NUMBERED_REF)}) as n, generate_subscripts({extract_all('html', citations.NUMBERED_REF)}, 1) - 1 as pos from topics)
  union all select path, 'bibliography', cast(pos as integer), null, c, array_to_string(string_split(nullif({extract('c', citations.AUTHORS)}, ''), ' and '), ';'),
-   nullif({extract('c', citations.JOURNAL, 6)}, ''), nullif({extract('c', citations.JOURNAL, 2)}, ''), nullif({extract('c', citations.URL)}, ''), nullif({extract('c', citations.DOI)}, '')
+   nullif({extract('c', citations.JOURNAL, 6)}, ''), nullif({extract('c', citations.JOURNAL, 1)}, ''), nullif({extract('c', citations.JOURNAL, 2)}, ''), nullif({extract('c', citations.URL)}, ''), nullif({extract('c', citations.DOI)}, '')
   from (select path, {trim(sub(sub('raw', '<[^>]+>'), r'\s+', ' '))} as c, pos from (select path, unnest({extract_all('html', citations.BIBLIOGRAPHY_ENTRY)}) as raw, generate_subscripts({extract_all('html', citations.BIBLIOGRAPHY_ENTRY)}, 1) - 1 as pos from topics))"""
 
 
@@ -631,7 +635,7 @@ def footnotes(spark, d):
 )
 def citation_rows(spark, d):
     rows = citations.citations(view(spark, d, "topics"))
-    return rows.select("path", "type", "pos", "ref", "content", F.array_join("authors", ";").alias("authors"), "year", "journal", "url", "doi")
+    return rows.select("path", "type", "pos", "ref", "content", F.array_join("authors", ";").alias("authors"), "year", "title", "journal", "url", "doi")
 
 
 NOTES = FOOTNOTES.replace(" select path, cast(pos", ", notes as (select path, cast(pos", 1) + ")"
