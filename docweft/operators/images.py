@@ -10,6 +10,7 @@ from docweft.functions.text import all_matches, any_of, contains_any
 from docweft.operators.conditions import attribute
 from docweft.operators.lines import lines_with_context
 from docweft.operators.links import first_existing
+from docweft.session import cut
 
 # --- fixed values -----------------------------------------------------------
 ICON_DIR = r"(?i)/(GUI|Icon|Button)"
@@ -63,7 +64,7 @@ def resolve_images(refs: DataFrame, files: DataFrame, root: str = "") -> DataFra
             _under(root, F.regexp_replace(clean, "^Images/", "Resources/Images/")),
         )
     )
-    rows = refs.withColumn("dir", P.dirname(F.col("path")))
+    rows = cut(refs.withColumn("dir", P.dirname(F.col("path"))))  # texts are parsed once
     local = rows.filter(~src.startswith("http"))
     keys = local.select("dir", "src").distinct()
     direct = first_existing(keys, places, files, ["dir", "src"])
@@ -72,9 +73,10 @@ def resolve_images(refs: DataFrame, files: DataFrame, root: str = "") -> DataFra
         .groupBy(P.basename(F.col("path")).alias("name"))
         .agg(F.min("path").alias("by_name"))
     )
-    missing = keys.join(direct, ["dir", "src"], "left_anti").withColumn("name", name)
-    fallback = missing.join(by_name, "name").select("dir", "src", F.col("by_name").alias("found"))
-    found = direct.unionByName(fallback)
+    found = (
+        keys.join(direct, ["dir", "src"], "left").withColumn("name", name).join(by_name, "name", "left")
+        .select("dir", "src", F.coalesce("found", "by_name").alias("found"))
+    )
     return rows.join(found, ["dir", "src"], "left").drop("dir")
 
 
@@ -93,7 +95,7 @@ def resolve_snippets(refs: DataFrame, files: DataFrame, root: str = "") -> DataF
             src,
         )
     )
-    rows = refs.withColumn("dir", P.dirname(F.col("path")))
+    rows = cut(refs.withColumn("dir", P.dirname(F.col("path"))))  # texts are parsed once
     keys = rows.select("dir", "src").distinct()
     found = first_existing(keys, places, files, ["dir", "src"])
     return rows.join(found, ["dir", "src"], "left").drop("dir")

@@ -192,6 +192,7 @@ def broken_targets(links: DataFrame, files: DataFrame, format: str = "help-cente
         .select(P.resolve_from(F.col("path"), written).alias("target"))
         .distinct()
     )
+    targets = cut(targets)  # texts are parsed once
     found = first_existing(targets, link_candidates(F.col("target"), format), files, ["target"])
     return targets.join(found, "target", "left_anti")
 

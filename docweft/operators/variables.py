@@ -122,23 +122,23 @@ def _inner_text(piece: Column) -> Column:
 
 def variable_refs(topics: DataFrame) -> DataFrame:
     """``path, pos, ref, inner_text, form``; ``fallback`` marks ``{name}`` in text."""
-    marked = F.filter(
-        F.transform(_pieces(F.col("html")), lambda p: p), lambda p, i: (i % 2) == 1
-    )
-    elements = topics.select("path", F.posexplode(marked).alias("pos", "piece")).select(
-        "path",
-        "pos",
-        _element_name(F.col("piece")).alias("ref"),
-        _inner_text(F.col("piece")).alias("inner_text"),
-        F.lit("madcap").alias("form"),
+    kind = "array<struct<pos:int,ref:string,inner_text:string,form:string>>"
+    marked = F.filter(_pieces(F.col("html")), lambda p, i: (i % 2) == 1)
+    elements = F.filter(
+        F.transform(
+            marked, lambda p, i: F.struct(i.alias("pos"), _element_name(p).alias("ref"), _inner_text(p), F.lit("madcap"))
+        ),
+        lambda x: x["ref"].isNotNull(),
     )
     text = F.regexp_replace("html", "<[^<>]*>", MARK)
-    braces = all_matches(text, r"\{([^}]+)\}")
-    placeholders = topics.select("path", F.posexplode(braces).alias("pos", "ref")).select(
-        "path", "pos", "ref", F.concat(F.lit("{"), F.col("ref"), F.lit("}")).alias("inner_text"),
-        F.lit("fallback").alias("form"),
+    placeholders = F.filter(
+        F.transform(
+            all_matches(text, r"\{([^}]+)\}"),
+            lambda r, i: F.struct(i.alias("pos"), r.alias("ref"), F.concat(F.lit("{"), r, F.lit("}")), F.lit("fallback")),
+        ),
+        lambda x: ~x["ref"].contains(" "),
     )
-    return elements.filter(F.col("ref").isNotNull()).unionByName(placeholders.filter(~F.col("ref").contains(" ")))
+    return topics.select("path", F.inline(F.concat(elements.cast(kind), placeholders.cast(kind))))
 
 
 def _dictionary(defs: DataFrame) -> DataFrame:
@@ -166,6 +166,7 @@ def resolve_names(names: DataFrame, defs: DataFrame) -> DataFrame:
 
 def resolve_variables(refs: DataFrame, defs: DataFrame) -> DataFrame:
     """References with ``value``; null when the name is not defined."""
+    refs = cut(refs)  # texts are parsed once
     return refs.join(resolve_names(refs, defs), "ref", "left")
 
 
