@@ -81,3 +81,52 @@ def test_deep_toc(spark):
     assert rows.filter("entry_id = 11").select(F.size("ancestors")).first()[0] == 11
     assert rows.filter("size(ancestors) = 1").count() == 2001
     assert hierarchy.plan_toc(toc).filter("output_path = 'n0/n0/l7.adoc'").count() == 1
+
+
+SMALL = "/root/testdata/sf0.001"
+#: Queries whose plans once read the texts several times, ran Python over them or held a cartesian product.
+WATCHED = [
+    "validation_summary", "validation_lenient", "image_resolution", "variables_resolved", "snippet_resolution", "broken_targets",
+    "glossary_usage", "topics_filtered", "chunks_of_blocks", "project_inventory", "toc_plan", "toc_file_map",
+]
+
+
+def test_watched_plans(spark):
+    """At most one scan with a text column is left; no Python; no product of tables, with automatic broadcasts off."""
+    from __spark_entry__ import queries
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in WATCHED:
+            text = plan(queries()[name](spark, SMALL))
+            initial = text.split("== Initial Plan ==")[-1]
+            scans = [x for x in initial.split("\n") if "FileScan" in x and "/documents.parquet" in x and "text" in x.split("ReadSchema")[-1]]
+            assert len(scans) <= 1, (name, len(scans))
+            assert not any(x in text for x in ("CartesianProduct", "NestedLoop", "EvalPython", "InPandas")), name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_unmarked_topics_are_not_shuffled(spark):
+    """Topics without a reference take a branch of their own, which has no exchange."""
+    from docweft.operators import snippets, variables
+
+    topics = spark.createDataFrame([(f"t{i}", "<p>x</p>") for i in range(20)], "path string, html string")
+    defs = spark.createDataFrame([(1, "A.B", "v")], "ord int, name string, value string")
+    files = spark.createDataFrame([("s.flsnp", "<b/>")], "path string, content string")
+    for df in (snippets.inline_snippets(topics, files), variables.flatten_variables(topics, defs)):
+        branch = df._jdf.queryExecution().optimizedPlan().toString().split("Union")[-1]
+        assert "NOT coalesce(RLIKE(html" in branch
+        last = branch.split("NOT coalesce(RLIKE(html")[0].split("\n")[-1]
+        assert "Join" not in last and df.count() == 20
+
+
+def test_deep_chain(spark):
+    """A chain of 200 levels takes eight joins."""
+    toc = spark.createDataFrame(
+        [("t", i, i - 1 if i else None, 0, i, f"n{i}", None) for i in range(200)],
+        "toc_path string, entry_id bigint, parent_id bigint, ordinal int, level int, title string, href string",
+    )
+    rows = hierarchy.with_ancestors(toc)
+    assert rows.filter("entry_id = 199").select(F.col("ancestors")[0]["title"].alias("t"), F.size("ancestors").alias("n")).first() == ("n0", 199)
+    assert plan(rows).count("Join") <= 2
