@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from docweft.functions.text import all_matches, any_of, first_match, nonempty, trim_ws
 from docweft.operators.conditions import OPEN_TAG
+from docweft.session import cut
 
 # --- fixed values -----------------------------------------------------------
 FOOTNOTE_REF = r"(?i)<a[^>]*href=[\"']#fn(\d+)[\"'][^>]*>(.*?)</a>"
@@ -156,6 +157,7 @@ def reference_section(topics: DataFrame, format: str = "asciidoc") -> DataFrame:
         .filter("type <> 'reference'")
         .select("path", F.when(F.col("type") == "inline", 1).otherwise(2).alias("grp"), "pos", "content", *nothing)
     )
+    rows = cut(rows)  # headings and lines both start here; texts are parsed once
     number = F.row_number().over(Window.partitionBy("path").orderBy("grp", "pos"))
     rows = rows.withColumn("cite", F.concat(F.lit("cite_"), number.cast("string"))).withColumn("ord", number)
     known = F.col("authors").isNotNull() & F.col("year").isNotNull()

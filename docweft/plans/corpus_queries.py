@@ -248,6 +248,34 @@ def side_files(spark, d):
     return corpus.union_all([df.select(F.lit(k).alias("kind"), "path") for k, df in parts.items()])
 
 
+#: Files of ``part`` named as variable sets in known, nested and other folders, each listed twice.
+SETS = """select case p_partkey % 5 when 0 then 'Project/VariableSets/' when 1 then 'Content/Variables/' when 2 then 'sub/Project/VariableSets/'
+ when 3 then 'Shared/sets/' else 'other/.hidden/' end || case when p_partkey % 7 = 0 then '._' else '' end || 'v' || p_partkey || '.flvar' as path from part"""
+
+
+def _sets(spark, d):
+    view(spark, d, "part")
+    files = spark.sql(SETS)
+    return files.unionByName(files)
+
+
+@query(
+    "variable_files_folders",
+    f"""select path, cast(case when starts_with(path, 'Project/VariableSets/') then 0 when starts_with(path, 'Content/Variables/') then 2 else 5 end as integer) as place
+ from ({SETS}) where not contains(path, '/._')""",
+)
+def variable_files_folders(spark, d):
+    return corpus.variable_files(_sets(spark, d), "folders").select("path", "place")
+
+
+@query(
+    "variable_files_nested",
+    f"select path from ({SETS}) where not contains(path, '/._') and (contains(path, 'Project/VariableSets/') or starts_with(path, 'Shared/'))",
+)
+def variable_files_nested(spark, d):
+    return corpus.variable_files(_sets(spark, d), "nested", ["Shared"]).select("path")
+
+
 @query("uploads_decoded", "select doc_id, text as content from documents")
 def uploads_decoded(spark, d):
     docs = view(spark, d, "documents")

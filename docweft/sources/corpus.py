@@ -213,12 +213,32 @@ def _first_class(files: DataFrame, rank: Column) -> DataFrame:
     return ranked.join(F.broadcast(best), F.col("_class") == F.col("_best")).drop("_class", "_best")
 
 
-def variable_files(files: DataFrame) -> DataFrame:
-    """Variable-set files: the project folder first, then anywhere."""
+def variable_files(files: DataFrame, mode: str = "project", roots: list[str] | None = None) -> DataFrame:
+    """Variable-set files.
+
+    ``project``: those of the project folder, only without any there those elsewhere, hidden
+    folders left out. ``folders``: all of the corpus, each once, with ``place``: the number
+    of the known folder that it is in, after these for the rest. ``nested``: those of the
+    project folder of this and any nested project, and all below one of ``roots``.
+    """
     path, name = F.col("path"), P.basename(F.col("path"))
-    hidden = F.exists(P.segments(path), lambda s: s.startswith("."))
-    found = files.filter(F.lower(P.extname(path)).isin(".flvar") & ~hidden & ~name.startswith("._"))
-    return _first_class(found, F.when(path.rlike(r"^Project/VariableSets/[^/]+\z"), 0).otherwise(1))
+    found = files.filter(F.lower(P.extname(path)).isin(".flvar") & ~name.startswith("._"))
+    if mode == "project":
+        hidden = F.exists(P.segments(path), lambda s: s.startswith("."))
+        return _first_class(
+            found.filter(~hidden), F.when(path.rlike(r"^Project/VariableSets/[^/]+\z"), 0).otherwise(1)
+        )
+    if mode == "folders":
+        place = F.lit(len(VARIABLE_DIRS))
+        for i, folder in reversed(list(enumerate(VARIABLE_DIRS))):
+            place = F.when(path.startswith(folder + "/"), i).otherwise(place)
+        return found.withColumn("place", place).dropDuplicates(["path"])
+    if mode == "nested":
+        kept = path.rlike(r"(^|/)Project/VariableSets/[^/]+\z")
+        for root in roots or []:
+            kept = kept | path.startswith(root.rstrip("/") + "/")
+        return found.filter(kept).dropDuplicates(["path"])
+    raise ValueError(f"unknown discovery mode: {mode}")
 
 
 def keep_toc(name: Column) -> Column:
