@@ -296,6 +296,18 @@ def run_outcome(spark, d):
     return runs.run_outcome(view(spark, d, "orders").select(status.alias("status")))
 
 
+@query(
+    "outcomes_merged",
+    """select count(*) as total, count(*) filter (o_orderstatus = 'F') as converted, count(*) filter (o_orderstatus = 'P') as errors,
+ count(*) filter (o_orderstatus not in ('F', 'P')) as skipped from orders""",
+)
+def outcomes_merged(spark, d):
+    """Outcomes of three runs over parts of the table, added up."""
+    status = F.when(F.col("o_orderstatus") == "F", "converted").when(F.col("o_orderstatus") == "P", "error").otherwise("other")
+    rows = view(spark, d, "orders").select(status.alias("status"), (F.col("o_orderkey") % 3).alias("run"))
+    return runs.merge_outcomes(corpus.union_all([runs.run_outcome(rows.filter(F.col("run") == k)) for k in range(3)]))
+
+
 # --- XML side files ---------------------------------------------------------
 @query(
     "variable_definitions",

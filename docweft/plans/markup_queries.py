@@ -9,6 +9,8 @@ from docweft.functions import text as T
 from docweft.operators import blocks, citations, conditions, glossary, variables
 from docweft.plans.derived import view
 from docweft.plans.sqltext import contains_any, ctes, extract, extract_all, inlist, lines, q, rlike, sub, trim
+from docweft.session import new_path
+from docweft.sources import corpus
 
 QUERIES, ORACLES = {}, {}
 
@@ -378,6 +380,15 @@ def variables_rendered(spark, d):
     return variables.render_variables(rows, "writerside", grouped=True).orderBy("sort_key").select("line")
 
 
+@query("variables_written", ORACLES["variables_rendered"])
+def variables_written(spark, d):
+    """The rendered file through the sink and back; the lines of all parts, in any order."""
+    rows = variables.render_variables(variables.to_extracted(_merged(spark, d)), "writerside", grouped=True)
+    root = new_path(spark, "outputs")
+    corpus.write_outputs({"variables": rows}, root)
+    return spark.read.text(f"{root}/variables").select(F.col("value").alias("line"))
+
+
 @query(
     "variable_attributes",
     EXTRACTED + f""" select ':' || {_attribute_name('name')} || ': ' || value as line from extracted
@@ -410,6 +421,15 @@ def glossary_groups(spark, d):
     return glossary.glossary_groups(kept).select("letter", "term", "anchor", "definition")
 
 
+@query(
+    "glossary_united",
+    ctes("glossary") + " select part, id, ord from (select 'a' as part, * from glossary union all select 'b', * from glossary) where not contains(lower(coalesce(conditions, '')), 'internal')",
+)
+def glossary_united(spark, d):
+    parts = [_glossary(spark, d).withColumn("part", F.lit(p)) for p in ("a", "b")]
+    return glossary.filter_glossary(glossary.union_glossaries(parts), ["Internal"]).select("part", "id", "ord")
+
+
 @query("glossary_letters", ctes("glossary") + f" select {LETTER} as letter, count(*) as entries from glossary group by 1")
 def glossary_letters(spark, d):
     return glossary.letter_counts(_glossary(spark, d))

@@ -330,6 +330,27 @@ def auto_fix(spark, d):
     return rules.auto_fix(view(spark, d, "drafts"))
 
 
+@query(
+    "rule_registered",
+    ctes("drafts") + ", " + lines("drafts", "text") + " select path, cast(line_no as integer) as line, 'long-line' as rule_id, 'info' as severity from lines where length(line) > 300",
+)
+def rule_registered(spark, d):
+    """A rule of the caller beside the built-in ones, chosen by id."""
+
+    def long_lines(topics, text="text"):
+        rows = line_rows(topics, text).filter(F.length("line") > 300)
+        values = {"rule_id": "long-line", "severity": "info", "message": "Long line", "suggestion": "Break it"}
+        shown = rows.select("path", F.col("line_no").cast("int").alias("line"), F.lit(1).alias("col"), F.lit(0).alias("check"))
+        return shown.withColumns({k: F.lit(v) for k, v in values.items()}).select(*rules.COLUMNS)
+
+    rules.register_rule("long-line", "info", long_lines)
+    try:
+        chosen = rules.select_rules(severities=("info",), enabled=["long-line"])
+        return rules.validate(view(spark, d, "drafts"), chosen).select("path", "line", "rule_id", "severity")
+    finally:
+        del rules.RULES["long-line"], rules.RULE_SEVERITY["long-line"]
+
+
 # --- line windows of blocks -------------------------------------------------
 NUM = r"^(\d+)\.\s+."
 
