@@ -12,7 +12,6 @@ IMAGE_EXTENSIONS = [".png", ".jpg", ".jpeg", ".gif", ".svg", ".webp", ".bmp"]
 DOCUMENT_EXTENSIONS = [".md", ".adoc", ".html", ".htm"]
 EXTERNAL_SCHEMES = ["http://", "https://", "ftp://", "mailto:"]
 OUTPUT_EXTENSION = {"asciidoc": ".adoc", "help-center": ".html", "markdown": ".md", "writerside": ".md"}
-SCREENSHOT_WORDS = ["CreateActivity", "AddFundingSource", "InvestItem", "BudgetTab", "FundingSource"]
 SCREENSHOT_DIR = r"(?i)/(Screens|Screenshots)"
 # Path cleaning rules in order: pattern, replacement, name.
 PATH_RULES = [
@@ -150,8 +149,10 @@ def alt_text(src: Column) -> Column:
     return F.when(F.length(shown) > 1, shown).otherwise(name)
 
 
-def is_screenshot(src: Column) -> Column:
-    return src.rlike(SCREENSHOT_DIR) | contains_any(src, SCREENSHOT_WORDS)
+def is_screenshot(src: Column, words=()) -> Column:
+    """Images of a screenshot folder; ``words`` are parts of names that tell one as well."""
+    shown = src.rlike(SCREENSHOT_DIR)
+    return shown | contains_any(src, list(words)) if words else shown
 
 
 def path_type(p: Column) -> Column:

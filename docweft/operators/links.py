@@ -43,7 +43,6 @@ REPORT_GROUPS = {"image": "images", "anchor": "anchors", "external": "external"}
 # Written variants of a moved file's name, numbers seen after the first dash.
 DASH_NUMBERS = ["1", "12", "120", "2", "20", "220", "3", "30", "320"]
 DOUBLE_DASH_NUMBERS = ["0", "20", "220", "320"]
-STRAY_TARGET = "../../a6-00-other/configure-estimated-costs-options.adoc"
 # ---------------------------------------------------------------------------
 
 FAMILY = {"writerside": "markdown"}
@@ -307,7 +306,6 @@ def path_variants(old: Column, toc: Column, actual: Column) -> Column:
             doubled(old_stem),
             *numbered,
             *dashed,
-            F.lit(STRAY_TARGET),
             F.concat(F.lit("user/"), P.dirname(actual), F.lit("/"), adoc(toc_stem)),
             adoc(old_stem),
             adoc(F.lower(old_stem)),

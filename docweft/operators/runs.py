@@ -30,10 +30,6 @@ NO_VARIABLES = (
     "No .flvar (MadCap variables) files found in uploaded project. Variables file will be empty unless you include "
     "Project/VariableSets/*.flvar or set variableOptions.flvarFiles."
 )
-NO_IMAGE_DIRS = (
-    "No image directories detected (Content/Images, Resources/Images). Images in converted files may not display "
-    "correctly."
-)
 NO_CONTENT_DIR = "Content directory not found. This may indicate an incomplete MadCap project upload."
 MOSTLY_OUTPUT = (
     "Upload appears to contain mostly output/temporary files. Consider uploading the source project instead."

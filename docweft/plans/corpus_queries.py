@@ -10,6 +10,7 @@ from docweft.operators import blocks, hierarchy, links, progress, runs
 from docweft.plans.derived import view
 from docweft.plans.link_queries import PLAN_SQL, title_sql
 from docweft.plans.sqltext import (
+    registry,
     basename,
     contains_any,
     ctes,
@@ -28,17 +29,7 @@ from docweft.plans.sqltext import (
 )
 from docweft.sources import corpus, project_xml
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(name, sql=None):
-    def add(function):
-        QUERIES[name] = function
-        if sql is not None:
-            ORACLES[name] = sql
-        return function
-
-    return add
+QUERIES, ORACLES, query = registry()
 
 
 # --- files ------------------------------------------------------------------
@@ -545,8 +536,8 @@ DASHED = ", ".join(
     ctes("toc") + TOC_TREE + f""", map0 as (select old_path, new_path, row_number() over (order by old_path) as ord from (select href as old_path, base || '/' || {stem('href')} || '.adoc' as new_path,
   row_number() over (partition by href order by toc_path desc, sort_key desc) as n from tree where href is not null) where n = 1),
  v as (select old_path, new_path, {stem('old_path')} as st from map0),
- w as (select old_path, new_path, unnest([st || '.adoc', new_path, st || 'adoc.adoc', st || 'adoc.adoc', {DASHED}, '{links.STRAY_TARGET}',
-   'user/' || ({dirname('new_path')}) || '/' || st || '.adoc', st || '.adoc', lower(st) || '.adoc', {sub('st', ' +')} || '.adoc', {basename('new_path')}]) as written, unnest(range(19)) as k from v),
+ w as (select old_path, new_path, unnest([st || '.adoc', new_path, st || 'adoc.adoc', st || 'adoc.adoc', {DASHED},
+   'user/' || ({dirname('new_path')}) || '/' || st || '.adoc', st || '.adoc', lower(st) || '.adoc', {sub('st', ' +')} || '.adoc', {basename('new_path')}]) as written, unnest(range(18)) as k from v),
  last as (select written, new_path from (select *, row_number() over (partition by written order by old_path desc, k desc) as n from w) where n = 1),
  l as (select path, {stem('path')} || 'adoc.adoc#x' as url from (select distinct href as path from toc where href is not null))
  select l.path, l.url, coalesce(new_path || '#x', l.url) as new_url from l left join last on written = split_part(l.url, '#', 1)""",

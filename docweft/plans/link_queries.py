@@ -9,6 +9,7 @@ from docweft.functions import text as T
 from docweft.operators import images, links, snippets
 from docweft.plans.derived import view
 from docweft.plans.sqltext import (
+    registry,
     basename,
     contains_any,
     ctes,
@@ -28,17 +29,7 @@ from docweft.plans.sqltext import (
 )
 from docweft.session import cut
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(name, sql=None):
-    def add(function):
-        QUERIES[name] = function
-        if sql is not None:
-            ORACLES[name] = sql
-        return function
-
-    return add
+QUERIES, ORACLES, query = registry()
 
 
 # --- shared SQL -------------------------------------------------------------
@@ -497,7 +488,7 @@ def _num(tag, name):
  a as (select *, {attr_sql('tag', 'src')} as src, {attr_sql('tag', 'class')} as css, {_num('tag', 'width')} as w, {_num('tag', 'height')} as h from t)
  select path, cast(pos as integer) as pos,
   case when contains(css, 'IconInline') then 'inline'
-   when {rlike('src', P.SCREENSHOT_DIR)} or {contains_any('src', P.SCREENSHOT_WORDS)} then 'block'
+   when {rlike('src', P.SCREENSHOT_DIR)} then 'block'
    when {rlike('src', images.ICON_DIR)} or {rlike('src', '(?i)[.](ico|icon)')} or contains(src, 'GUI-Elemente')
      or coalesce(w <= 32 and h <= 32, false) then 'inline' else 'block' end as kind,
   case when contains(css, 'icon') or {contains_any('src', images.HELP_ICON_PARTS)} or coalesce(w between 1 and 36, false) or coalesce(h between 1 and 36, false) then 'icon'

@@ -8,21 +8,11 @@ from pyspark.sql.window import Window
 from docweft.functions import text as T
 from docweft.operators import blocks, citations, conditions, glossary, variables
 from docweft.plans.derived import view
-from docweft.plans.sqltext import contains_any, ctes, extract, extract_all, inlist, lines, q, rlike, sub, trim
+from docweft.plans.sqltext import contains_any, ctes, extract, extract_all, inlist, lines, q, registry, rlike, sub, trim
 from docweft.session import new_path
 from docweft.sources import corpus
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(name, sql=None):
-    def add(function):
-        QUERIES[name] = function
-        if sql is not None:
-            ORACLES[name] = sql
-        return function
-
-    return add
+QUERIES, ORACLES, query = registry()
 
 
 def attr(tag, name):

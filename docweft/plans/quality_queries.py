@@ -7,19 +7,9 @@ from pyspark.sql import functions as F
 from docweft.operators import blocks, quality, rules
 from docweft.operators.lines import lines as line_rows
 from docweft.plans.derived import view
-from docweft.plans.sqltext import blank, contains_any, ctes, extract, extract_all, lines, q, rlike, sub, trim
+from docweft.plans.sqltext import blank, contains_any, ctes, extract, extract_all, lines, q, registry, rlike, sub, trim
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(name, sql=None):
-    def add(function):
-        QUERIES[name] = function
-        if sql is not None:
-            ORACLES[name] = sql
-        return function
-
-    return add
+QUERIES, ORACLES, query = registry()
 
 
 IMG, LNK = quality.IMAGE_FORM["asciidoc"], quality.LINK_FORM["asciidoc"]

@@ -94,3 +94,19 @@ def contains_any(c: str, words) -> str:
 
 def inlist(values) -> str:
     return "(" + ", ".join(q(v) for v in values) + ")"
+
+
+def registry():
+    """Queries and checking SQL of a module, and the decorator that registers both."""
+    queries, checks = {}, {}
+
+    def query(name, sql=None):
+        def add(function):
+            queries[name] = function
+            if sql is not None:
+                checks[name] = sql
+            return function
+
+        return add
+
+    return queries, checks, query
