@@ -40,6 +40,72 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def quality_sql() -> str:
+    rules, n = quality_rules.RULES, len(quality_rules.RULES)
+    word = r"[^\x20\x09-\x0D]"
+    marks = "|".join(f"[{c}][{c}]+" for c in ("!", "?", "*", "$", "%", "&", "#", "<", ">", "_", "=", "~")) + r"|\|+|\^\^+|--+"
+    votes = ", ".join(
+        f"CASE WHEN {fact} {'>=' if good < bad else '<'} {bad} THEN -1 WHEN {fact} {'<=' if good < bad else '>='} {good} THEN 1 ELSE 0 END"
+        for _, fact, good, bad in rules
+    )
+    start = [quality_rules.SHARE, *(quality_rules.GOOD * n), *(quality_rules.BAD * n)]
+    weight = quality_rules.WEIGHT
+
+    def chance(votes: str, model: str) -> str:
+        good, bad = (f"list_sum(list_transform(range({n}), lambda j: ln({model}[{of * 3 * n + 3} + 3 * j + {votes}[j + 1]])))" for of in (0, 1))
+        return f"(1 / (1 + exp(ln((1 - {model}[1]) / {model}[1]) + {bad} - {good})))"
+
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT k, doc_id, t, regexp_extract_all(t, '{word}+') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines
+  FROM d
+),
+windows AS (SELECT k, i, w[i + 1:i + 5] AS x FROM (SELECT k, w, unnest(range(len(w) - 4)) AS i FROM w)),
+twice AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, x) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY k),
+f AS (
+  SELECT w.k, doc_id, len(w)::BIGINT AS n_words, coalesce(length(array_to_string(w, '')), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines, len(regexp_extract_all(t, '\\p{{L}}')) AS n_letters,
+    len(regexp_extract_all(t, '\\p{{Lu}}')) AS n_capitals, len(regexp_extract_all(t, '{marks}')) AS n_marks
+  FROM w LEFT JOIN covered ON w.k = covered.k
+),
+s AS (
+  SELECT doc_id, n_words AS words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words::DOUBLE AS n_words,
+    word_chars / nullif(n_words, 0)::DOUBLE AS word_length, n_symbols / nullif(n_words, 0)::DOUBLE AS symbol_share,
+    n_capitals / nullif(n_letters, 0)::DOUBLE AS capital_share, n_marks / nullif(n_words, 0)::DOUBLE AS mark_share,
+    n_dup_lines / nullif(n_lines, 0)::DOUBLE AS line_copy_share, n_repeat_words / nullif(n_words, 0)::DOUBLE AS repeat_share,
+    n_letters / nullif(word_chars, 0)::DOUBLE AS letter_share
+  FROM f
+),
+v AS (SELECT *, [{votes}] AS votes FROM s),
+seen AS (SELECT list({{'v': votes, 'n': n}} ORDER BY votes) AS seen FROM (SELECT votes, count(*)::DOUBLE AS n FROM v GROUP BY votes)),
+em AS (
+  SELECT 0 AS step, {start}::DOUBLE[] AS model
+  UNION ALL
+  SELECT step + 1, list_concat([(good + {weight * quality_rules.SHARE}) / (good + bad + {weight})], list_transform(range({6 * n}), lambda k:
+    (list_sum(list_transform(p, lambda x: CASE WHEN x.v[(k % {3 * n}) // 3 + 1] = k % 3 - 1 THEN x.n * CASE WHEN k < {3 * n} THEN x.g ELSE 1 - x.g END ELSE 0 END))
+      + {weight} * {start}[k + 2]) / (CASE WHEN k < {3 * n} THEN good ELSE bad END + {weight})))
+  FROM (
+    SELECT step, p, list_sum(list_transform(p, lambda x: x.n * x.g)) AS good, list_sum(list_transform(p, lambda x: x.n * (1 - x.g))) AS bad
+    FROM (SELECT step, list_transform(seen, lambda x: {{'v': x.v, 'n': x.n, 'g': {chance('x.v', 'model')}}}) AS p FROM em, seen WHERE step < {quality_rules.STEPS})
+  )
+),
+scored AS (
+  SELECT v.*, words < 10 OR 100 * n_repeat_words > 20 * words AS base_failed, {chance('votes', 'model')} AS chance
+  FROM v, em WHERE step = {quality_rules.STEPS}
+)
+SELECT doc_id, words AS n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND chance >= 0.5 AS kept, round(chance, 6) AS posterior
+FROM scored
+"""
+
+
+ORACLE_SQL["op1_quality_rules"] = quality_sql()
+
+
 @query
 def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
