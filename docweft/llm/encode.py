@@ -22,6 +22,8 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from docweft.llm.process import kept
+
 #: Pieces kept by a task.
 KEPT = 800_000
 #: A space before other white space; Python's white space includes all that the tokenizer takes as such.
@@ -140,7 +142,6 @@ class Encoder(dict):
         return out
 
 
-@cache
 def encoder(name: str) -> Encoder:
     """The task process's encoder."""
-    return Encoder(name, drops_space=name.startswith("word_"))
+    return kept(("encoder", name), lambda: Encoder(name, drops_space=name.startswith("word_")))

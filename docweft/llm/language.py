@@ -36,10 +36,12 @@ import public_tokenizers
 import sentencepiece
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from docweft.llm.process import kept
+
 VOCABULARY = "piece_bpe_32k.model"
 UND = "und"
 #: Sampled texts and word types of a language, steps of the fit, characters of a word, words kept by a task.
-PER_LANGUAGE, TYPES, STEPS, LONGEST, KEPT = 1000, 8000, 4, 24, 600_000
+PER_LANGUAGE, TYPES, STEPS, LONGEST, KEPT = 1000, 8000, 4, 24, 400_000
 #: Pseudo-count of each piece, probability of a character outside the vocabulary, mark of a word's start.
 PSEUDO, UNKNOWN, START = 0.02, 1e-6, "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -261,15 +263,9 @@ class Scorer:
         return out
 
 
-#: The task process's scorer, kept from task to task.
-KEEP: dict[str, Scorer] = {}
-
-
 def scorer_of(model: Model) -> Scorer:
-    if model.name not in KEEP:
-        KEEP.clear()
-        KEEP[model.name] = Scorer(model)
-    return KEEP[model.name]
+    """The task process's scorer."""
+    return kept(("scorer", model.name), lambda: Scorer(model))
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", into: str = "language") -> DataFrame:
