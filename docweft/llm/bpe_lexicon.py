@@ -29,6 +29,7 @@ import mmap
 import re
 import struct
 import tempfile
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from pathlib import Path
@@ -40,12 +41,16 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
 from docweft.llm import files
-from docweft.llm.encode import UNSAFE, byte_letters, library
+from docweft.llm.encode import BEYOND_LATIN, Encoder, byte_letters, library
+from docweft.llm.process import kept
 from docweft.session import new_path, stored
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Least share of a lexicon word, pieces kept by a task, symbols above which merging uses a heap, texts taken at once.
-SHARE, KEPT, LONG, BATCH = 1 / 100_000, 500_000, 48, 256
+#: Least share of a lexicon word, symbols above which merging uses a heap, texts taken at once.
+SHARE, LONG, BATCH = 1 / 100_000, 48, 256
+#: A merge is one number: its rank, then the id it makes in the low bits.
+ID_BITS, NO_MERGE = 24, 1 << 62
+ID_MASK = (1 << ID_BITS) - 1
 HEADER = "<8s4Q"
 MAGIC = b"DWLEXIC1"
 
@@ -64,7 +69,7 @@ class Vocabulary:
         self.merges = {}
         for rank, pair in enumerate(data["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[ids[a], ids[b]] = (rank, ids[a + b])
+            self.merges[ids[a], ids[b]] = rank << ID_BITS | ids[a + b]
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def merged(self, word: bytes) -> list[int]:
@@ -73,13 +78,17 @@ class Vocabulary:
         return self.merged_long(ids) if len(ids) > LONG else self.merged_short(ids)
 
     def merged_short(self, ids: list[int]) -> list[int]:
-        merges = self.merges
-        while len(ids) > 1:
-            found = [(got[0], k, got[1]) for k, pair in enumerate(zip(ids, ids[1:])) if (got := merges.get(pair))]
-            if not found:
-                break
-            _, k, new = min(found)
-            ids[k : k + 2] = [new]
+        get = self.merges.get
+        #: For each neighbouring pair its merge; the smallest has the lowest rank.
+        pairs = [get(p, NO_MERGE) for p in zip(ids, ids[1:])]
+        while pairs and (best := min(pairs)) != NO_MERGE:
+            k = pairs.index(best)
+            ids[k : k + 2] = [best & ID_MASK]
+            del pairs[k]
+            if k < len(pairs):
+                pairs[k] = get((ids[k], ids[k + 1]), NO_MERGE)
+            if k:
+                pairs[k - 1] = get((ids[k - 1], ids[k]), NO_MERGE)
         return ids
 
     def merged_long(self, ids: list[int]) -> list[int]:
@@ -89,8 +98,8 @@ class Vocabulary:
         heap = []
 
         def offer(k: int) -> None:
-            if k >= 0 and after[k] >= 0 and (got := self.merges.get((ids[k], ids[after[k]]))):
-                heapq.heappush(heap, (got[0], k, ids[k], ids[after[k]], got[1]))
+            if k >= 0 and after[k] >= 0 and (got := self.merges.get((ids[k], ids[after[k]]))) is not None:
+                heapq.heappush(heap, (got >> ID_BITS, k, ids[k], ids[after[k]], got & ID_MASK))
 
         for k in range(n):
             offer(k)
@@ -234,12 +243,23 @@ def build_lexicon(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZE
 
 
 # --- encoding and decoding ------------------------------------------------------------
-class LexiconEncoder:
+class LexiconEncoder(Encoder):
+    """Cuts texts as ``encode`` does; words are found in the lexicon or merged here."""
+
     def __init__(self, path: str, tokenizer: str):
-        self.lexicon, self.vocab, self.cut = Lexicon(path), vocabulary(tokenizer), library(tokenizer).pre_tokenizer
-        self.seen: dict[str, bytes] = {}
+        super().__init__(tokenizer, drops_space=False)
+        self.lexicon, self.vocab, self.cut = Lexicon(path), vocabulary(tokenizer), self.tokenizer.pre_tokenizer
+
+    def found(self, piece: bytes) -> list[int]:
+        known = self.lexicon.get(piece)
+        return self.vocab.merged(piece) if known is None else known
+
+    def word(self, letters: str, space: bool) -> bytes | None:
+        if not letters.isalpha() or max(letters) >= BEYOND_LATIN:
+            return None
+        return array("I", self.found((" " + letters if space else letters).encode())).tobytes()
 
-    def chunk(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         out: list[int] = []
         parts = self.vocab.cut_special.split(text) if self.vocab.cut_special else [text]
         for part in parts:
@@ -247,22 +267,8 @@ class LexiconEncoder:
                 out.append(self.vocab.special[part])
                 continue
             for _, (a, b) in self.cut.pre_tokenize_str(part) if part else []:
-                piece = part[a:b].encode("utf-8", "surrogatepass")
-                found = self.lexicon.get(piece)
-                out += self.vocab.merged(piece) if found is None else found
-        return np.array(out, "<i4").tobytes()
-
-    def ids(self, text: str) -> np.ndarray:
-        if UNSAFE.search(text):
-            return np.frombuffer(self.chunk(text), "<i4")
-        first, *rest = text.split(" ")
-        chunks = [first, *(" " + x for x in rest)]
-        for new in set(chunks).difference(self.seen):
-            self.seen[new] = self.chunk(new)
-        out = np.frombuffer(b"".join(map(self.seen.__getitem__, chunks)), "<i4")
-        if len(self.seen) > KEPT:
-            self.seen.clear()
-        return out
+                out += self.found(part[a:b].encode("utf-8", "surrogatepass"))
+        return array("I", out).tobytes()
 
 
 def encoder(path: str, tokenizer: str = TOKENIZER):
@@ -270,22 +276,44 @@ def encoder(path: str, tokenizer: str = TOKENIZER):
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        run = LexiconEncoder(path, tokenizer)
+        run = kept(("lexicon", path), lambda: LexiconEncoder(path, tokenizer))
         for batch in batches:
-            yield pd.Series([run.ids(x) if isinstance(x, str) else np.empty(0, "<i4") for x in batch])
+            yield pd.Series(encoded(run, batch))
 
     return encode
 
 
+def encoded(run: LexiconEncoder, texts: pd.Series) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<i4") for x in run.ids([x if isinstance(x, str) else None for x in texts])]
+
+
+def decoded(ids: list[int], tokenizer: str = TOKENIZER) -> str:
+    get = vocabulary(tokenizer).bytes_of.get
+    return b"".join([get(i, b"") for i in ids]).decode("utf-8", "replace")
+
+
 def decoder(tokenizer: str = TOKENIZER):
     """A column function: array of ids to text."""
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        get = vocabulary(tokenizer).bytes_of.get
         for batch in batches:
-            yield pd.Series(
-                [b"".join([get(i, b"") for i in x.tolist()]).decode("utf-8", "replace") if x is not None else "" for x in batch]
-            )
+            yield pd.Series([decoded(x.tolist(), tokenizer) if x is not None else "" for x in batch])
 
     return decode
+
+
+def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
+    """``doc_id, ids, decoded``: encodes each text and decodes its ids, in one task process and ``BATCH`` texts at once."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder = kept(("lexicon", path), lambda: LexiconEncoder(path, tokenizer))
+        for frame in frames:
+            for at in range(0, len(frame), BATCH):
+                part = frame.iloc[at : at + BATCH]
+                ids = encoded(coder, part["text"])
+                texts = [decoded(x.tolist(), tokenizer) for x in ids]
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(), "ids": ids, "decoded": texts})
+
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInPandas(run, "doc_id long, ids array<int>, decoded string")

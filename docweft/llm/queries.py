@@ -220,9 +220,7 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_bpe_lexicon(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
-    encode, decode = bpe_lexicon.encoder(bpe_lexicon.build_lexicon(docs)), bpe_lexicon.decoder()
-    coded = docs.select("doc_id", encode("text").alias("ids"))
-    return coded.select("doc_id", "ids", decode("ids").alias("decoded")).select(
+    return bpe_lexicon.round_trip(docs, bpe_lexicon.build_lexicon(docs)).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
