@@ -246,6 +246,9 @@ def build_lexicon(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZE
 class LexiconEncoder(Encoder):
     """Cuts texts as ``encode`` does; words are found in the lexicon or merged here."""
 
+    #: Merging costs more here than in the library, so more is kept.
+    most = 1_200_000
+
     def __init__(self, path: str, tokenizer: str):
         super().__init__(tokenizer, drops_space=False)
         self.lexicon, self.vocab, self.cut = Lexicon(path), vocabulary(tokenizer), self.tokenizer.pre_tokenizer

@@ -54,6 +54,9 @@ class Encoder(dict):
     space makes its text ``WHOLE``.
     """
 
+    #: Pieces kept, where other than ``KEPT``.
+    most: int | None = None
+
     def __init__(self, name: str, drops_space: bool):
         super().__init__()
         self.tokenizer, self.model, self.drops_space = library(name), library(name).model, drops_space
@@ -134,10 +137,11 @@ class Encoder(dict):
                 out.append(b"".join(map(self.__getitem__, self.pieces(text))) if text else b"")
             except TypeError:  # a piece that makes its text whole
                 out.append(self.whole(text))
-        if len(self) > KEPT // 2:
+        most = (self.most or KEPT) // 2
+        if len(self) > most:
             self.older = dict(self)
             self.clear()
-        if len(self.parts) > KEPT // 2:
+        if len(self.parts) > most:
             self.parts.clear()
         return out
 
