@@ -4,7 +4,7 @@ Whole texts are encoded once and stored as ids; the number of documents that hol
 token is counted over all of them (one number for each token of the vocabulary). Then
 each task packs its own part of the stored documents, shard by shard: it builds an
 inverted index of a shard with BM25 weights, takes the longest unused document as seed,
-looks up its heaviest tokens and places the best-scoring unused neighbours, whole where
+looks up all its tokens and places the best-scoring unused neighbours, whole where
 they fit; the best one that does not fit is cut to fill the window, and its rest stays
 unused. Documents longer than a window are first cut into full windows of their own. What
 a shard cannot fill goes into the next one. The last rest of a task is cut into sequences
@@ -20,6 +20,7 @@ its sequence and offset; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,8 @@ from docweft.llm.token_files import batches_of
 from docweft.session import stored
 
 WINDOW, END = 2048, 1
-#: BM25 parameters, tokens of a seed that are looked up, neighbours looked at in one go.
-K1, B, TERMS, NEAR = 1.2, 0.75, 24, 64
+#: BM25 parameters, tokens of a seed that are looked up (no limit), neighbours looked at in one go.
+K1, B, TERMS, NEAR = 1.2, 0.75, sys.maxsize, 64
 #: Tokens and documents of a shard.
 SHARD_TOKENS, SHARD_DOCS = 3_000_000, 8192
 TOKENS = "doc_id long, ids binary, n long, holders binary"
@@ -94,23 +95,26 @@ class Index:
         norm = K1 * (1 - B + B * sizes[doc] / mean)
         weight = idf[token] * tf * (K1 + 1) / (tf + norm)
         self.first = np.searchsorted(doc, np.arange(len(parts) + 1))
-        self.token, self.own = token, idf[token] * tf
+        self.token = token
         order = np.argsort(token, kind="stable")
         self.docs, self.weights = doc[order], weight[order]
         self.lists = np.searchsorted(token[order], np.arange(len(idf) + 1))
         self.size = len(parts)
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """BM25 score of every document of the shard for the seed's heaviest tokens."""
-        a, b = self.first[seed], self.first[seed + 1]
-        heavy = self.token[a:b]
-        if b - a > TERMS:
-            heavy = heavy[np.argpartition(-self.own[a:b], TERMS)[:TERMS]]
-        spans = [slice(self.lists[t], self.lists[t + 1]) for t in heavy]
+        """BM25 score of every document of the shard for all tokens of the seed; zero for dropped documents."""
+        held = self.token[self.first[seed] : self.first[seed + 1]]
+        spans = [slice(a, b) for a, b in zip(self.lists[held].tolist(), self.lists[held + 1].tolist())]
         return np.bincount(
             np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.size
         )
 
+    def drop(self, gone: np.ndarray) -> None:
+        """Leaves documents out of the lists; they may not be seeds any more."""
+        keep = ~gone[self.docs]
+        self.lists = np.concatenate([[0], np.cumsum(keep)])[self.lists]
+        self.docs, self.weights = self.docs[keep], self.weights[keep]
+
 
 def pack_shard(parts: list[np.ndarray], idf: np.ndarray, mean: float, window: int):
     """Yields full windows as lists of (part, from, to); at the end, as a list of the same kind, what is left."""
@@ -118,7 +122,7 @@ def pack_shard(parts: list[np.ndarray], idf: np.ndarray, mean: float, window: in
     sizes = np.array([len(x) for x in parts])
     done = np.zeros(len(parts), "i8")
     order = np.argsort(-sizes, kind="stable")
-    total, at = int(sizes.sum()), 0
+    total, at, listed = int(sizes.sum()), 0, len(parts)
     while total >= window:
         while done[order[at]] == sizes[order[at]]:
             at += 1
@@ -132,6 +136,9 @@ def pack_shard(parts: list[np.ndarray], idf: np.ndarray, mean: float, window: in
             return n
 
         room -= place(seed, room)
+        if room and (live := np.count_nonzero(done < sizes)) < 0.8 * listed:
+            index.drop(done == sizes)
+            listed = live
         scores = index.neighbours(seed) if room else None
         while room:
             scores[done == sizes] = 0

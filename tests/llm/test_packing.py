@@ -57,3 +57,25 @@ def test_document_frequencies(spark):
 
 def test_empty(spark):
     assert P.pack(empty_documents(spark)).collect() == []
+
+
+def test_all_tokens_of_long_seeds():
+    """Seeds of far more than 24 distinct tokens: scores are those of full BM25, also when used documents are dropped."""
+    rng = np.random.default_rng(4)
+    parts = [rng.integers(0, 900, rng.integers(200, 400)) for _ in range(30)]
+    idf = np.linspace(0.1, 5, 1000)
+    index = P.Index(parts, idf, 300.0)
+    assert len(set(parts[0].tolist())) > 100
+
+    def plain(seed, d):
+        tf = np.array([(parts[d] == t).sum() for t in np.unique(parts[seed])])
+        return (idf[np.unique(parts[seed])] * tf * (P.K1 + 1) / (tf + P.K1 * (1 - P.B + P.B * len(parts[d]) / 300.0))).sum()
+
+    want = {seed: np.array([plain(seed, d) for d in range(30)]) for seed in (0, 7)}
+    for seed in want:
+        assert np.allclose(index.neighbours(seed), want[seed])
+    gone = np.arange(30) % 3 == 1
+    gone[7] = False
+    index.drop(gone)
+    for seed in want:
+        assert np.allclose(index.neighbours(seed), np.where(gone, 0, want[seed]))
