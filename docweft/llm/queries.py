@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from docweft.llm import bpe_lexicon, chat_format, language, licenses, packing, quality_rules, simhash, token_files, topk, warc
+from docweft.llm import (
+    bpe_lexicon, chat_format, divergence, language, licenses, merkle, minhash, packing, quality_rules, simhash, token_files, topk, warc,
+)
 from docweft.llm.columns import LOWER, UPPER
 from docweft.session import stored
 
@@ -292,6 +294,133 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM p QUALIFY rank <= 5
 """
 
+@query
+def op11_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, folder, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+ORACLE_SQL["op11_minhash"] = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents WHERE doc_id IS NOT NULL
+),
+s AS (
+  SELECT k, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+  FROM d
+),
+named AS (SELECT k, doc_id, len(s) AS n, min(k) OVER (PARTITION BY list_sort(s)) AS c, s FROM s),
+x AS (SELECT c, n, unnest(s) AS x FROM named WHERE k = c AND n > 0),
+links AS (
+  SELECT a.c AS a, b.c AS b FROM x a JOIN x b ON a.x = b.x AND a.c <> b.c AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+),
+reached AS (SELECT DISTINCT c AS a, c AS b FROM x UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a),
+least AS (SELECT a, min(doc_id) AS component_id FROM reached JOIN named ON reached.b = named.c GROUP BY a)
+SELECT doc_id, n AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept
+FROM named LEFT JOIN least ON named.c = least.a
+"""
+
+
+@query
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", *merkle.FIELDS)
+    key = F.col("doc_id").cast("string")
+    changed = F.when(F.crc32(key.cast("binary")) % 5 == 0, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
+    fields = [F.col(c) for c in merkle.FIELDS]
+    rows = docs.select("doc_id", "source", merkle.leaf(*fields).alias("leaf"), merkle.leaf(*fields[:-1], changed).alias("found"))
+    return merkle.proofs(merkle.build(stored(rows, "leaves")), "found")
+
+
+def merkle_sql() -> str:
+    def leaf(text: str) -> str:
+        values = ("doc_id", "source", "lang", "n_chars", text)
+        return "sha256(" + " || ".join(f"CASE WHEN {v} IS NULL THEN '-' ELSE strlen({v}::VARCHAR) || ':' || {v} END" for v in values) + ")"
+
+    bits = "list_concat([4294967295], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0])))"
+    crc = f"xor(list_reduce({bits}, lambda c, x: xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384)), 4294967295)"
+    width = merkle.WIDTH
+    up = f"level + 1, idx // {width}, sha256(string_agg(digest, '' ORDER BY idx)), any_value((n + {width - 1}) // {width})"
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, {leaf("text")} AS leaf,
+    {leaf(f"(CASE WHEN {crc} % 5 = 0 THEN translate(text, '{UPPER}', '{LOWER}') ELSE text END)")} AS found
+  FROM documents
+),
+l AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+  FROM d
+),
+t AS (
+  SELECT tree, 0 AS level, pos AS idx, leaf AS digest, count(*) OVER (PARTITION BY tree) AS n FROM l
+  UNION ALL
+  SELECT tree, {up} FROM t WHERE n > 1 GROUP BY tree, level, idx // {width}
+),
+u AS (
+  SELECT -1 AS tree, 0 AS level, tree AS idx, digest, count(*) OVER () AS n FROM t WHERE n = 1
+  UNION ALL
+  SELECT tree, {up} FROM u WHERE n > 1 GROUP BY tree, level, idx // {width}
+),
+runs AS (
+  SELECT tree, level, idx // {width} AS up, list(digest ORDER BY idx) AS l
+  FROM (SELECT * FROM t WHERE n > 1 UNION ALL SELECT * FROM u WHERE n > 1) GROUP BY ALL
+),
+climb AS (
+  SELECT tree AS of, pos, tree, 0 AS level, pos AS idx, found AS fold, '' AS proof, false AS ended FROM l
+  UNION ALL
+  SELECT c.of, c.pos, CASE WHEN r.l IS NULL THEN -1 ELSE c.tree END, CASE WHEN r.l IS NULL THEN 0 ELSE c.level + 1 END,
+    CASE WHEN r.l IS NULL THEN c.tree ELSE c.idx // {width} END,
+    CASE WHEN r.l IS NULL THEN fold ELSE sha256(array_to_string(list_concat(r.l[:c.idx % {width}], [fold], r.l[c.idx % {width} + 2:]), '')) END,
+    CASE WHEN r.l IS NULL THEN proof ELSE proof || array_to_string(list_concat(r.l[:c.idx % {width}], r.l[c.idx % {width} + 2:]), '') END,
+    r.l IS NULL AND c.tree = -1
+  FROM climb c LEFT JOIN runs r ON c.tree = r.tree AND c.level = r.level AND c.idx // {width} = r.up WHERE NOT ended
+)
+SELECT l.doc_id, l.leaf, s.digest AS subroot, r.digest AS root, sha256(c.proof) AS proof_sha256, c.fold AS folded_root, c.fold = r.digest AS verified
+FROM l JOIN climb c ON l.tree = c.of AND l.pos = c.pos AND c.ended JOIN (SELECT tree, digest FROM t WHERE n = 1) s ON l.tree = s.tree,
+  (SELECT digest FROM u WHERE n = 1) r
+"""
+
+
+ORACLE_SQL["op12_merkle"] = merkle_sql()
+
+
+@query
+def op13_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents", "text", "lang", "source"))
+
+
+ORACLE_SQL["op13_divergence"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+),
+x AS (SELECT k, lang, source, unnest(w) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM x GROUP BY ALL),
+v AS (SELECT lang, term, count(*) AS total FROM x GROUP BY ALL HAVING count(DISTINCT k) >= {divergence.HOLDERS}),
+g AS (SELECT DISTINCT lang, source FROM d),
+cells AS (SELECT g.lang, g.source, v.term, v.total, coalesce(c.n, 0) AS n FROM g JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (
+  SELECT lang, source, term, n, 1 + ({divergence.UNITS} * (n + 2)) // (sum(n) OVER w + 2 * count(*) OVER w)::BIGINT AS p,
+    1 + ({divergence.UNITS} * (total + 2)) // (sum(total) OVER w + 2 * count(*) OVER w)::BIGINT AS q
+  FROM cells WINDOW w AS (PARTITION BY lang, source)
+),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+),
+told AS (
+  SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(value, 0) AS value
+  FROM g JOIN g o ON g.lang = o.lang AND g.source <> o.source LEFT JOIN pairs ON g.lang = pairs.lang AND g.source = pairs.source AND o.source = item
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q
+)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM told QUALIFY part = 'pair' OR rank <= {divergence.TERMS}
+"""
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
