@@ -168,8 +168,7 @@ def find_topic(entries: DataFrame, files: DataFrame) -> DataFrame:
         .groupBy("b")
         .agg(F.min(F.struct("root", "path")).alias("first"))
     )
-    pairs = matching.containment_pairs(rest.select("a").distinct(), known.select("b"))
-    near = pairs.join(known, "b").groupBy("a").agg(F.min("first").alias("first"))
+    near = matching.first_containment(rest.select("a").distinct(), known)
     similar = rest.join(near, "a").select("href", F.col("first.path").alias("found"))
     return direct.unionByName(similar)
 

@@ -382,9 +382,6 @@ def match_contains(links: DataFrame, mapping: DataFrame) -> DataFrame:
     )
     left = cut(links.select("link").distinct().select("link", F.explode(link_forms).alias("a")))
     right = mapping.select("value", "ord", F.explode(old_forms).alias("b"))
-    firsts = cut(right.groupBy("b").agg(F.min("ord").alias("ord"), F.min_by("value", "ord").alias("value")))
-    pairs = matching.containment_pairs(left.select("a").distinct(), firsts.select("b"))
-    per_form = pairs.join(firsts, "b").groupBy("a").agg(F.min(F.struct("ord", "value")).alias("m"))
-    return (
-        left.join(per_form, "a").groupBy("link").agg(F.min("m").alias("m")).select("link", F.col("m.value").alias("value"))
-    )
+    firsts = cut(right.groupBy("b").agg(F.min(F.struct("ord", "value")).alias("first")))
+    per_form = matching.first_containment(left.select("a").distinct(), firsts)
+    return left.join(per_form, "a").groupBy("link").agg(F.min("first").alias("m")).select("link", "m.value")

@@ -288,13 +288,15 @@ def suggest_variables(missing: DataFrame, defs: DataFrame, n: int = 3) -> DataFr
     known = defs.groupBy("name").agg(F.min("ord").alias("ord")).select(
         F.col("name").alias("known"), "ord", F.lower("name").alias("b")
     ).filter("b <> ''")
-    left, right = cut(wanted.select("a").distinct()), cut(known.select("b").distinct())
-    inside = cut(matching.containment_pairs(left, right))
+    known = cut(known.select("b", F.struct("ord", "known").alias("first")))
+    left = cut(wanted.select("a").distinct())
+    inside = cut(matching.first_containments(left.filter("a <> ''"), known, n))
     rest = left.filter("a <> ''").join(inside.select("a").distinct(), "a", "left_anti")
-    blank = known.orderBy("ord").limit(n).select(F.lit("").alias("a"), "b").distinct()
-    pairs = inside.unionByName(matching.within_two_edits(rest, right)).unionByName(blank)
+    near = matching.within_two_edits(rest, known.select("b").distinct()).join(known, "b").select("a", "first")
+    blank = known.orderBy("first").limit(n).select(F.lit("").alias("a"), "first")
     top = (
-        pairs.join(known, "b")
+        inside.unionByName(near).unionByName(blank)
+        .select("a", "first.ord", "first.known")
         .withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("ord")))
         .filter(F.col("rank") <= n)
         .groupBy("a")
