@@ -3,7 +3,7 @@
 ``write_archives`` turns rows into WARC 1.1 records. Equal payloads are written once: the
 row with the smallest id is a ``response``, the others are ``revisit`` records of it that
 hold only the HTTP headers of the response. A file starts with a skippable frame (magic
-0x184D2A5D) that holds the Zstandard dictionary, trained on the first pages of the file,
+0x184D2A5D) that holds the Zstandard dictionary, trained on the first pages that a task has for the file,
 itself compressed; each record is one frame, so any record can be read from its offset. A
 file is closed at ``FILE_BYTES`` and a new one begun.
 
@@ -104,7 +104,7 @@ class Archive:
         dictionary = trained(samples)
         self.path, self.records = path, 0
         system, inner = files.opened(path)
-        self.out = system.open_output_stream(inner)
+        self.out = system.open_output_stream(inner, compression=None)  # else Arrow packs the file by its name
         self.packer = zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_checksum=True)
         start = opening(dictionary)
         self.out.write(start)
@@ -122,19 +122,27 @@ class Archive:
 
 
 def writer(folder: str, file_bytes: int):
+    #: A small file trains its dictionary on no more than it may hold.
+    sample = min(SAMPLE_BYTES, file_bytes)
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files.make_folder(folder)
         archive, waiting, held, number = None, [], 0, 0
         name = files.attempt_name("part")
 
-        def begin() -> Archive:
-            nonlocal number
-            number += 1
-            made = Archive(files.under(folder, f"{name}-{number:04d}.warc.zst"), waiting)
+        def begin() -> Iterator[pd.DataFrame]:
+            """Opens a file with the records that were held back; files that these fill are closed."""
+            nonlocal archive, number
+            samples = list(waiting)
             for x in waiting:
-                made.add(x)
+                if archive is None:
+                    number += 1
+                    archive = Archive(files.under(folder, f"{name}-{number:04d}.warc.zst"), samples)
+                archive.add(x)
+                if archive.bytes >= file_bytes:
+                    yield archive.close()
+                    archive = None
             waiting.clear()
-            return made
 
         for batch in batches:
             for row in batch.itertuples(index=False):
@@ -142,16 +150,16 @@ def writer(folder: str, file_bytes: int):
                 if archive is None:  # the first pages are held back to train the dictionary
                     waiting.append(data)
                     held += len(data)
-                    if held < SAMPLE_BYTES:
+                    if held < sample:
                         continue
-                    archive, held = begin(), 0
-                else:
-                    archive.add(data)
+                    held = 0
+                    yield from begin()
+                    continue
+                archive.add(data)
                 if archive.bytes >= file_bytes:
                     yield archive.close()
                     archive = None
-        if waiting:
-            archive = begin()
+        yield from begin()
         if archive is not None:
             yield archive.close()
 
@@ -181,7 +189,7 @@ def write_archives(
 def frames(path: str) -> Iterator[tuple[int, bytes]]:
     """Offset and content of each frame, read piece by piece."""
     system, inner = files.opened(path)
-    with system.open_input_stream(inner) as source:
+    with system.open_input_stream(inner, compression=None) as source:
         data, at = source.read(8), 0
         dictionary = None
         if len(data) == 8 and int.from_bytes(data[:4], "little") == SKIPPABLE:
@@ -261,6 +269,11 @@ def parsed(data: bytes) -> dict:
 def reader(strict: bool, content: bool):
     columns = [x.split()[0] for x in READ.split(", ")]
 
+    def table(rows: list[dict]) -> pd.DataFrame:
+        # a broken record has no more than its place and problem: its other columns are null, whatever their type
+        whole = {c: pd.Series([r.get(c) for r in rows], dtype=object) for c in columns}
+        return pd.DataFrame(whole).astype({"frame_offset": "i8", "payload_bytes": "Int64"})
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path in batch["path"]:
@@ -277,14 +290,15 @@ def reader(strict: bool, content: bool):
                     rows.append({"path": path, "frame_offset": at} | row)
                     held += len(row.get("payload") or b"") + 500
                     if held >= 8 << 20:
-                        yield pd.DataFrame(rows, columns=columns).astype({"payload_bytes": "Int64"})
+                        yield table(rows)
                         rows, held = [], 0
                 if rows:
-                    yield pd.DataFrame(rows, columns=columns).astype({"payload_bytes": "Int64"})
+                    yield table(rows)
 
     return read
 
 
 def read_archives(listed: DataFrame, strict: bool = True, content: bool = True) -> DataFrame:
     """The records of the files in column ``path``; a file is the unit of a task. ``content=False`` leaves payloads out."""
-    return listed.select("path").repartition("path").mapInPandas(reader(strict, content), READ)
+    count = max(1, listed.count())
+    return listed.select("path").repartition(count, "path").mapInPandas(reader(strict, content), READ)

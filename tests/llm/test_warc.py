@@ -86,3 +86,42 @@ def test_faults(spark, tmp_path, old, new, said):
 def test_empty(spark):
     listed = A.write_archives(rows(spark, []))
     assert listed.count() == 0 and A.read_archives(listed).collect() == []
+
+
+def test_raw_bytes(spark, tmp_path):
+    """What lies on disk, read with the Zstandard library alone: the dictionary first, then one frame for each record."""
+    data = [(n, f"http://host/{n}", f"<html><head><title>Page {n}</title></head><body>" + f"<p>Paragraph {n * 7919 % 1000}</p>" * 8) for n in range(400)]
+    listed = A.write_archives(rows(spark, data).coalesce(1), folder=f"file://{tmp_path}/out").collect()
+    raw = open(listed[0]["path"].removeprefix("file://"), "rb").read()
+    assert len(listed) == 1 and listed[0]["bytes"] == len(raw)
+    assert raw[:4] == bytes.fromhex("5d2a4d18")
+    at = 8 + int.from_bytes(raw[4:8], "little")
+    dictionary = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(raw[8:at]))
+    offsets, seen = [], []
+    while at < len(raw):
+        one = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj()
+        offsets.append(at)
+        seen.append(one.decompress(raw[at:]))
+        assert one.eof
+        at = len(raw) - len(one.unused_data)
+    assert sorted(seen) == sorted(A.record(*x, None) for x in data)
+    read = A.read_archives(spark.createDataFrame(listed)).collect()
+    assert sorted(r["frame_offset"] for r in read) == offsets
+
+
+def test_reading_is_dealt(spark):
+    """As many reading tasks as files, however small the list is."""
+    data = [(n, f"http://host/{n}", f"<p>{n}</p>" * 50) for n in range(60)]
+    listed = A.write_archives(rows(spark, data).repartition(6), file_bytes=600)
+    assert listed.count() >= 10
+    assert A.read_archives(listed).rdd.getNumPartitions() == listed.count()
+
+
+def test_all_broken(spark, tmp_path):
+    """A file of broken records only: each is told, with its place."""
+    path = str(tmp_path / "bad.warc.zst")
+    frame = zstandard.ZstdCompressor().compress(b"nothing")
+    open(path, "wb").write(frame * 3)
+    got = A.read_archives(spark.createDataFrame([(path,)], "path string"), strict=False).collect()
+    assert [r["frame_offset"] for r in got] == [0, len(frame), 2 * len(frame)]
+    assert all(r["problem"] == "no WARC/1.1 record" and r["refers_to"] is None and r["payload_bytes"] is None for r in got)
