@@ -26,6 +26,8 @@ from docweft.llm.process import kept
 
 #: Pieces kept by a task.
 KEPT = 800_000
+#: Bytes of a generation of words, and of one of them besides its letters and ids.
+GENERATION, ENTRY = 48 << 20, 200
 #: A space before other white space; Python's white space includes all that the tokenizer takes as such.
 UNSAFE = re.compile(r" \s")
 MARKS, BEYOND_LATIN = ".,;:!?", "ɐ"
@@ -146,6 +148,63 @@ class Encoder(dict):
         return out
 
 
+class WordEncoder(Encoder):
+    """For a tokenizer that drops spaces and line feeds: a piece is a word, perhaps with marks after it.
+
+    One table holds words, marks and pieces. It is bounded by bytes: when a generation is
+    full it becomes the older one, and what is still met moves over from there.
+    """
+
+    def __init__(self, name: str):
+        super().__init__(name, drops_space=True)
+        self.held = 0
+        #: What stands for each byte, where that is another letter.
+        self.other = {b: c for b, c in self.letters.items() if chr(b) != c}
+
+    def keep(self, key: str, found: bytes) -> bytes:
+        self[key] = found
+        self.held += ENTRY + len(key) + len(found)
+        return found
+
+    def word(self, letters: str, space: bool = False) -> bytes | None:
+        if not letters.isalpha():
+            return None
+        low = letters.lower()
+        if not low.isascii():
+            if max(low) >= BEYOND_LATIN:
+                return None
+            low = low.encode().decode("latin-1").translate(self.other)
+        return array("I", [t.id for t in self.model.tokenize(low)]).tobytes()
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.pop(key, None)
+        return self.keep(key, self.fresh(key) if found is None else found)
+
+    def fresh(self, key: str) -> bytes:
+        stem = key.rstrip(MARKS)
+        if len(stem) == len(key):
+            found = self.word(key, False)
+        elif not stem[-1:].isalpha():
+            found = None
+        else:
+            found = self.get(stem) if stem.isascii() and stem.isalpha() else None
+            if found is None and (found := self.word(stem, False)) is not None:
+                self.keep(stem, found)
+            if found is not None:
+                found += self[key[len(stem) :]]
+        return self.whole(key) if found is None else found
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        out = []
+        for text in texts:
+            out.append(b"".join(map(self.__getitem__, self.pieces(text))) if text else b"")
+            if self.held > GENERATION:
+                self.older = dict(self)
+                self.clear()
+                self.held = 0
+        return out
+
+
 def encoder(name: str) -> Encoder:
     """The task process's encoder."""
-    return kept(("encoder", name), lambda: Encoder(name, drops_space=name.startswith("word_")))
+    return kept(("encoder", name), lambda: WordEncoder(name) if name.startswith("word_") else Encoder(name, drops_space=False))

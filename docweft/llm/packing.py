@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from docweft.llm.encode import encoder, library
+from docweft.llm.process import release
 from docweft.llm.token_files import batches_of
 from docweft.session import stored
 
@@ -47,12 +48,12 @@ def tokenized(name: str, end: int, size: int):
     kind = "<u2" if size <= 1 << 16 else "<u4"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        holders = np.zeros(size, "<i8")
+        holders, closing = np.zeros(size, "<i8"), end.to_bytes(4, "little")
         for frame in batches_of(frames, "text"):
             out = []
             for got in encoder(name).ids([x if isinstance(x, str) else None for x in frame["text"]]):
-                ids = np.append(np.frombuffer(got, "<u4"), np.uint32(end))
-                holders[np.unique(ids)] += 1
+                ids = np.frombuffer(got + closing, "<u4")
+                holders[ids] += 1  # a token that is met twice counts once
                 out.append((ids.astype(kind).tobytes(), len(ids), None))
             table = pd.DataFrame(out, columns=["ids", "n", "holders"])
             table.insert(0, "doc_id", frame["doc_id"].astype("Int64").to_numpy())
@@ -165,6 +166,7 @@ def pack_shard(parts: list[np.ndarray], idf: np.ndarray, mean: float, window: in
 
 def packer(idf: np.ndarray, mean: float, window: int, width: int, shard_tokens: int, shard_docs: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         number = TaskContext.get().partitionId() << 40
         #: Unplaced parts of documents: id, start, length of the document, ids.
         waiting: list[tuple] = []

@@ -14,3 +14,8 @@ def kept(key: Hashable, make: Callable[[], Any]) -> Any:
         KEPT.clear()
         KEPT[key] = make()
     return KEPT[key]
+
+
+def release() -> None:
+    """Forgets what an earlier step of this process kept; called by steps with tables of their own."""
+    KEPT.clear()
