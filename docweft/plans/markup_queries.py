@@ -425,9 +425,10 @@ def glossary_letters(spark, d):
     return glossary.letter_counts(_glossary(spark, d))
 
 
+ENTRY_LINES = f"""list_concat(['[[' || {_anchor('term1')} || ']]', term1 || '::'], case when term2 is not null then ['_Also: ' || term2 || '_', '+'] else [] end,
+   list_concat(['  ' || string_split(definition, chr(10))[1]], case when contains(definition, chr(10)) then ['  +', '  ' || string_split(definition, chr(10))[2]] else [] end), [''])"""
 GLOSSARY_LINES = f"""g as (select *, {LETTER} as letter, lower(term1) as st from glossary),
- body as (select letter, st, ord, unnest(list_concat(['[[' || {_anchor('term1')} || ']]', term1 || '::'], case when term2 is not null then ['_Also: ' || term2 || '_', '+'] else [] end,
-   list_concat(['  ' || string_split(definition, chr(10))[1]], case when contains(definition, chr(10)) then ['  +', '  ' || string_split(definition, chr(10))[2]] else [] end), [''])) as line from g)"""
+ body as (select letter, st, ord, unnest({ENTRY_LINES}) as line from g)"""
 
 
 @query(
@@ -481,6 +482,21 @@ def glossary_attached(spark, d):
     return glossary.attach_glossary(drafts, "include", glossary_path="out/glossary.adoc")
 
 
+@query(
+    "glossary_inlined",
+    ctes("drafts", "glossary") + f""", g as (select *, {LETTER} as letter, lower(term1) as st from glossary),
+ sections as (select letter, list_concat(['== ' || letter, ''], flatten(list({ENTRY_LINES} order by st, ord))) as l from g group by letter),
+ whole as (select array_to_string(list_concat([':toc:', ':icons: font', ''], flatten(list(l order by letter))), chr(10)) as t from sections),
+ added as (select path, case when contains(text, '== Glossary') or contains(text, '# Glossary') or not ends_with(path, '.adoc') then text
+   else text || chr(10) || chr(10) || '== Glossary' || chr(10) || chr(10) || t end as text from drafts, whole)
+ select path, length(text) as n_chars, md5(text) as text_md5 from added""",
+)
+def glossary_inlined(spark, d):
+    drafts = view(spark, d, "drafts").select("path", "text")
+    added = glossary.attach_glossary(drafts, "inline", glossary.render_glossary(_glossary(spark, d)))
+    return added.select("path", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 # --- lists, tables, blocks --------------------------------------------------
 OL = r"(?is)<ol\b[^<>]*>.*?</ol>"
 
