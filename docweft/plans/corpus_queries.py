@@ -551,6 +551,32 @@ def toc_links_rewritten(spark, d):
     return links.rewrite_toc_links(rows, mapping).select("path", "url", "new_url")
 
 
+@query(
+    "toc_links_fuzzy",
+    ctes("toc") + TOC_TREE + f""", map0 as (select old_path, new_path from (select href as old_path, base || '/' || {stem('href')} || '.adoc' as new_path,
+  row_number() over (partition by href order by toc_path desc, sort_key desc) as n from tree where href is not null) where n = 1),
+ v as (select old_path, new_path, {stem('old_path')} as st from map0),
+ w as (select old_path, new_path, unnest([st || '.adoc', new_path, st || 'adoc.adoc', st || 'adoc.adoc', {DASHED},
+   'user/' || ({dirname('new_path')}) || '/' || st || '.adoc', st || '.adoc', lower(st) || '.adoc', {sub('st', ' +')} || '.adoc', {basename('new_path')}]) as written, unnest(range(18)) as k from v),
+ latest as (select written, new_path from (select *, row_number() over (partition by written order by old_path desc, k desc) as n from w) where n = 1),
+ earliest as (select written, old_path, k from (select *, row_number() over (partition by written order by old_path, k) as n from w) where n = 1),
+ firsts as (select b, new_path, old_path, k from (select *, row_number() over (partition by b order by old_path, k, new_path) as n
+  from (select {sub('lower(written)', '[^a-z0-9]')} as b, new_path, old_path, k from latest join earliest using (written))) where n = 1),
+ l as (select path, {stem('path')} || 'q.adoc#x' as url, {sub("lower(" + stem('path') + ")", '[^a-z0-9]')} || 'qadoc' as a from (select distinct href as path from toc where href is not null)),
+ scored as (select a, new_path, old_path, k, case when a = b then 1.0 when contains(a, b) or contains(b, a) then 0.8
+  else cast(greatest(length(a), length(b)) - levenshtein(a, b) as double) / greatest(length(a), length(b)) end as score from (select distinct a from l), firsts),
+ best as (select a, new_path from scored where score > 0.5 qualify row_number() over (partition by a order by score desc, old_path, k) = 1)
+ select l.path, l.url, coalesce(new_path || '#x', l.url) as new_url from l left join best using (a)""",
+)
+def toc_links_fuzzy(spark, d):
+    mapping = hierarchy.toc_file_map(hierarchy.plan_toc(_toc(spark, d), "asciidoc"))
+    mapping = mapping.select("old_path", F.col("new_path").alias("toc_path"), F.col("new_path").alias("actual_path"), F.col("old_path").alias("ord"))
+    written = _toc(spark, d).filter("href is not null").select(F.col("href").alias("path")).distinct()
+    # no variant is written like this, so each link is left to similarity
+    rows = written.select("path", F.concat(P.stem(F.col("path")), F.lit("q.adoc#x")).alias("url"), F.lit("index.adoc").alias("out_path"))
+    return links.rewrite_toc_links(rows, mapping, fuzzy=True).select("path", "url", "new_url")
+
+
 def _xml_escaped(c):
     for mark, text in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
         c = f"replace({c}, {q(mark)}, {q(text)})"
