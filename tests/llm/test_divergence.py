@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from docweft.llm import divergence as A
@@ -84,12 +85,11 @@ def test_ties(spark):
     assert seen(A.audit(frame(spark, docs), holders=1)) == plain(docs, 1, A.TERMS)
 
 
-def test_parts(spark, monkeypatch):
+def test_parts(monkeypatch):
     """Counts that a task passes on early are added up again."""
-    assert A.terms_of("Don't\x00STOP it's ÀB c") == ["don", "t", "stop", "it", "s", "Àb c".encode()] or True
     assert [x.decode() for x in A.terms_of("Don't\x00STOP À7B")] == ["don", "t", "stop", "À", "b"]
     monkeypatch.setattr(A, "HELD", 3)
-    frames = [__import__("pandas").DataFrame({"lang": ["en"] * 3, "source": ["s"] * 3, "text": ["a b c a", None, "a d"]})]
+    frames = [pd.DataFrame({"lang": ["en"] * 3, "source": ["s"] * 3, "text": ["a b c a", None, "a d"]})]
     tables = list(A.counted(iter(frames)))
     assert len(tables) == 2
     total = Counter()
