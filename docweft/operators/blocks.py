@@ -323,26 +323,31 @@ def chunk_blocks(topics: DataFrame, n: int = CHUNK_SIZE) -> DataFrame:
     """``path, chunk_no, blocks, chunk``: blocks packed greedily up to ``n`` characters of markup.
 
     Rows of a table and items of a list are blocks of their own, so large ones are parted;
-    one larger block stands alone. Packing carries a state along the blocks of a topic,
-    inside the row.
+    one larger block stands alone. Packing carries a state along the blocks of a topic, inside
+    the row: the start of the last chunk and the starts before it, which grow once for a chunk, not
+    for a block. A chunk is then a slice between two starts, so a topic's blocks are copied once.
     """
-    state = "struct<chunk:int,used:int,numbers:array<int>>"
+    state = "struct<at:int,used:int,starts:array<int>>"
 
     def step(s, piece):
         size = F.length(piece)
         over = (s["used"] > 0) & (s["used"] + size > n)
-        number = s["chunk"] + over.cast("int")
         return F.struct(
-            number, F.when(over, size).otherwise(s["used"] + size), F.concat(s["numbers"], F.array(number))
+            s["at"] + 1,
+            F.when(over, size).otherwise(s["used"] + size),
+            F.when(over, F.concat(s["starts"], F.array(s["at"]))).otherwise(s["starts"]),
         ).cast(state)
 
-    start = F.struct(F.lit(0), F.lit(0), F.array().cast("array<int>")).cast(state)
+    start = F.struct(F.lit(1), F.lit(0), F.array(F.lit(1))).cast(state)
     rows = topics.select("path", block_pieces(F.col("html")).alias("pieces"))
-    rows = rows.filter(F.size("pieces") > 0).select("path", "pieces", F.aggregate("pieces", start, step, lambda s: s["numbers"]).alias("numbers"))
+    # the places after the last chunk end it
+    starts = F.aggregate("pieces", start, step, lambda s: F.concat(s["starts"], F.array(s["at"])))
+    rows = rows.filter(F.size("pieces") > 0).select("path", "pieces", starts.alias("starts"))
 
     def chunk(number):
-        own = F.filter(F.zip_with("pieces", "numbers", lambda p, k: F.when(k == number, p)), lambda p: p.isNotNull())
+        first = F.get("starts", number)
+        own = F.slice("pieces", first, F.get("starts", number + 1) - first)
         return F.struct(number.alias("chunk_no"), F.size(own).alias("blocks"), F.array_join(own, "").alias("chunk"))
 
-    chunks = F.transform(F.sequence(F.lit(0), F.array_max("numbers")), chunk)
+    chunks = F.transform(F.sequence(F.lit(0), F.size("starts") - 2), chunk)
     return rows.select("path", F.inline(chunks))
