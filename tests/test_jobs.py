@@ -2,6 +2,7 @@
 
 import json
 import tempfile
+import time
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -111,11 +112,157 @@ def test_closed_spans(spark):
     assert got == [("s", 1), ("s", 5), ("t", 2)]
 
 
-def test_expiry(spark):
+def rocksdb(spark):
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
+
+
+def wait_for(test, seconds=90):
+    end = time.time() + seconds
+    while not test() and time.time() < end:
+        time.sleep(0.5)
+    return test()
+
+
+def running(stream, mode, checkpoint, name=None):
+    """A query that goes on, and the rows it has put out so far."""
+    out = []
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(processingTime="1 second")
+    writer = writer.queryName(name) if name else writer
+    return writer.foreachBatch(lambda batch, number: out.extend(batch.collect())).start(), out
+
+
+def test_bounded_sessions_equal_batch(spark):
+    rocksdb(spark)
+    root = folder()
+    more = [{"sessionId": "s", "type": "file_start", "timestamp": START + 500, "data": {"currentFile": "late.htm"}}]
+    for i, chunk in enumerate((events()[3:], events()[:3], more)):
+        (root / f"{i}.json").write_text("\n".join(json.dumps(e) for e in chunk))
+    rows = streams.bounded_sessions(streams.read_progress(spark, str(root), files_per_trigger=1))
+    query, out = running(rows, "update", str(folder()))
+    try:
+        assert wait_for(lambda: len(out) >= 4), query.exception()
+    finally:
+        query.stop()
+    last = {r["session_id"]: r for r in out}
+    raw = spark.createDataFrame([(json.dumps(e),) for e in events() + more], "value string")
+    batch = progress.session_stats(progress.session_state(progress.decode_events(raw)))
+    assert set(rows.columns) == set(batch.columns)
+    want = {r["session_id"]: r.asDict() for r in batch.collect()}
+    assert {k: r.asDict() for k, r in last.items()} == want
+
+
+def test_state_of_idle_sessions_goes(spark):
+    rocksdb(spark)
+    root = folder()
+    rows = streams.bounded_sessions(streams.read_progress(spark, str(root)), idle_ms=12_000)
+
+    def put(number, session):
+        event = {"sessionId": session, "type": "file_complete", "timestamp": START, "data": {}}
+        (root / f"{number}.json").write_text(json.dumps(event))
+
+    def states():
+        progress = query.lastProgress
+        return progress.stateOperators[0].numRowsTotal if progress else -1
+
+    put(0, "a")
+    query, out = running(rows, "update", str(folder()))
+    try:
+        assert wait_for(lambda: len(out) == 1)
+        put(1, "a")
+        assert wait_for(lambda: len(out) == 2)
+        assert wait_for(lambda: states() > 0)
+        assert wait_for(lambda: states() == 0)
+        put(2, "a")
+        assert wait_for(lambda: len(out) == 3)
+    finally:
+        query.stop()
+    # what was held of the session is gone: its third event counts as the first
+    assert [r["completed_files"] for r in out] == [1, 2, 1]
+
+
+def test_clock_expires_a_quiet_stream(spark):
+    rocksdb(spark)
+    root = folder()
+    ended = [{"sessionId": "e", "type": "conversion_complete", "timestamp": START, "data": {}}]
+    (root / "0.json").write_text("\n".join(json.dumps(e) for e in events()[:3] + ended))
+    began = time.time() * 1000
+    stream = streams.expire_sessions(streams.read_progress(spark, str(root)), timeout_ms=4000, grace_ms=1000, clock=True)
+    query, out = running(stream, "append", str(folder()))
+    try:
+        assert wait_for(lambda: len(out) >= 2)
+        assert query.exception() is None
+    finally:
+        query.stop()
+    at = {r["session_id"]: r["expired_ms"] for r in out}
+    assert len(out) == 2 and set(at) == {"s", "e"}
+    assert at["s"] - at["e"] == 3000 and at["e"] >= began + 1000
+
+
+def test_retained_reports(spark):
+    rocksdb(spark)
+    root, now = folder(), int(time.time() * 1000)
+    age, soon = streams.RETENTION_MS, 25_000
+    rows = [
+        ("old", now - 10, now - age - 60_000), ("running", now, None), ("new", now, now - 1000),
+        ("soon", now, now - age + soon), ("again", now - 5, now - age - 60_000), ("again", now, None),
+    ]
+    (root / "0.json").write_text("\n".join(json.dumps({"report_id": r, "ts": t, "end_time": e}) for r, t, e in rows))
+    raw = spark.readStream.schema("report_id string, ts bigint, end_time bigint").json(str(root))
+
+    def timed(df):
+        return df.select("report_id", F.timestamp_millis("ts").alias("ts"), F.timestamp_millis("end_time").alias("end_time"))
+
+    query, out = running(streams.retained_reports(timed(raw)), "append", str(folder()))
+    try:
+        assert wait_for(lambda: any(r["type"] == "report_dropped" for r in out)), query.exception()
+    finally:
+        query.stop()
+    held = set()
+    for r in out:
+        (held.add if r["type"] == "report_kept" else held.discard)(r["report_id"])
+    static = spark.createDataFrame(rows, "report_id string, ts bigint, end_time bigint")
+    newest = timed(static).groupBy("report_id").agg(F.max_by("end_time", "ts").alias("end_time"))
+    batch = progress.recent_reports(newest, F.timestamp_millis(F.lit(now + soon + 1000)))
+    assert held == {r["report_id"] for r in batch.collect()} == {"running", "new", "again"}
+    assert {r["report_id"] for r in out} == held | {"soon"}
+
+
+def test_listener(spark):
+    root, told = folder(), []
+    (root / "0.json").write_text("\n".join(json.dumps(e) for e in events()))
+    listener = streams.listen(spark, told.append, "watched")
+    try:
+        for name in ("watched", "other"):
+            query, _ = running(progress.session_state(streams.read_progress(spark, str(root))), "update", str(folder()), name)
+            query.processAllAvailable()
+            query.stop()
+        assert wait_for(lambda: told and told[-1]["type"] == "terminated")
+    finally:
+        spark.streams.removeListener(listener)
+    assert told[0]["type"] == "started" and {x["type"] for x in told} <= {"started", "progress", "idle", "terminated"}
+    assert len({x["run"] for x in told}) == 1
+    assert [(x["rows"], x["state_rows"]) for x in told if x["type"] == "progress" and x["rows"]] == [(7, 2)]
+
+
+def test_listener_tells_failure(spark):
+    root, told = folder(), []
+    (root / "0.json").write_text(json.dumps(events()[0]))
+    listener = streams.listen(spark, told.append)
+    bad = streams.read_progress(spark, str(root)).withColumn("x", F.raise_error(F.lit("broken on purpose")))
+    try:
+        query, _ = running(bad, "append", str(folder()))
+        wait_for(lambda: query.exception() is not None)
+        assert wait_for(lambda: told and told[-1]["type"] == "failed")
+    finally:
+        spark.streams.removeListener(listener)
+    assert "broken on purpose" in told[-1]["error"]
+
+
+def test_expiry(spark):
+    rocksdb(spark)
     root = folder()
     late = [{"sessionId": "u", "type": "file_start", "timestamp": START + 20_000_000, "data": {}}]
     after_end = [{"sessionId": "t", "type": "file_complete", "timestamp": START + 5_000 + k * 9_000, "data": {}} for k in (1, 2)]
