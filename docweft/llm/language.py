@@ -12,8 +12,9 @@ fitting only. Prediction reads every whole text; a task computes a word's probab
 once and keeps them in a table of bounded size. The model has one number for each piece
 and language, whatever the input, and is broadcast.
 
-Words are runs of letters between ASCII white space, in lower case, cut after ``LONGEST``
-characters. Characters outside the vocabulary get the same small probability in every
+Words are whole runs of letters (Unicode category L) between white space, in lower case. Words of more
+than ``LONGEST`` characters are summed one by one: the sums are scaled as they are carried along, so no
+length is cut or underflows. Only for fitting are words cut after ``LONGEST`` characters. Characters outside the vocabulary get the same small probability in every
 language.
 
 Defined cases: a null text, one without a letter, and any text where nothing was learned
@@ -24,7 +25,6 @@ an empty result; other columns pass through.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,6 +33,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -40,11 +41,11 @@ from docweft.llm.process import kept
 
 VOCABULARY = "piece_bpe_32k.model"
 UND = "und"
-#: Sampled texts and word types of a language, steps of the fit, characters of a word, words kept by a task.
+#: Sampled texts and word types of a language, steps of the fit, characters of a word in the fit, words kept by a task.
 PER_LANGUAGE, TYPES, STEPS, LONGEST, KEPT = 1000, 8000, 4, 24, 400_000
 #: Pseudo-count of each piece, probability of a character outside the vocabulary, mark of a word's start.
 PSEUDO, UNKNOWN, START = 0.02, 1e-6, "▁"
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 SPACE = " \t\n\v\f\r"
 
 
@@ -85,10 +86,13 @@ def vocabulary(name: str = VOCABULARY) -> Trie:
 
 
 def words_of(chunk: str) -> list[str]:
-    """The words in lower case with the mark of a start, long ones in parts."""
-    return [
-        START + run[k : k + LONGEST] for run in LETTERS.findall(chunk.lower()) for k in range(0, len(run), LONGEST)
-    ]
+    """The words in lower case with the mark of a start."""
+    return [START + run for run in LETTERS.findall(chunk.lower())]
+
+
+def parts_of(chunk: str) -> list[str]:
+    """``words_of`` for fitting: long words in parts."""
+    return [START + word[k : k + LONGEST] for word in words_of(chunk) for k in range(1, len(word), LONGEST)]
 
 
 @dataclass
@@ -159,6 +163,26 @@ class Arcs:
         return np.log(alpha[np.arange(len(self.lengths)), self.lengths])
 
 
+def long_total(word: str, chances: np.ndarray) -> np.ndarray:
+    """Log probability of one word of any length in each language.
+
+    A piece reaches back a few characters only: every ``LONGEST`` characters the sums within that reach are divided by
+    the last one, whose logarithm is kept.
+    """
+    arcs = Arcs.of([word])
+    weights, reach = arcs.weights(chances), int((arcs.end - arcs.start).max())
+    alpha, logs = np.zeros((len(word) + 1, chances.shape[1])), np.zeros(chances.shape[1])
+    alpha[0] = 1
+    # each character may stand alone, so every place is an end and its sum is above zero
+    for e, at in arcs.by(arcs.end):
+        alpha[e] = (alpha[arcs.start[at]] * weights[at]).sum(0)
+        if e % LONGEST == 0:
+            last = alpha[e].copy()
+            alpha[max(0, e - reach) : e + 1] /= last
+            logs += np.log(last)
+    return logs + np.log(alpha[len(word)])
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -171,7 +195,7 @@ def with_unknown(chances: np.ndarray) -> np.ndarray:
 
 
 def fit_counts(counts: pd.DataFrame, steps: int = STEPS) -> Model:
-    """From rows ``lang, word, n``; words as ``words_of`` gives them."""
+    """From rows ``lang, word, n``; words as ``parts_of`` gives them."""
     languages = sorted(counts["lang"].unique())
     size = len(vocabulary().pieces)
     if not languages:
@@ -214,7 +238,7 @@ def fit(
         runs.groupBy("lang", "run").agg(F.count("*").alias("n"))
         .withColumn("k", F.row_number().over(best)).filter(F.col("k") <= types).select("lang", "run", "n")
     ).toPandas()  # at most TYPES rows for each language
-    parts = [(lang, w, n) for lang, run, n in counts.itertuples(index=False) for w in words_of(run)]
+    parts = [(lang, w, n) for lang, run, n in counts.itertuples(index=False) for w in parts_of(run)]
     return fit_counts(pd.DataFrame(parts, columns=["lang", "word", "n"]).groupby(["lang", "word"], as_index=False).sum(), steps)
 
 
@@ -231,6 +255,9 @@ class Scorer:
     def learn(self, new: list[str]) -> None:
         parts = [words_of(chunk) for chunk in new]
         fresh = sorted({w for p in parts for w in p}.difference(self.words))
+        long = [w for w in fresh if len(w) > LONGEST + 1]
+        self.words.update((w, long_total(w, self.model.chances)) for w in long)
+        fresh = [w for w in fresh if len(w) <= LONGEST + 1]
         for at in range(0, len(fresh), 20_000):
             some = fresh[at : at + 20_000]
             self.words.update(zip(some, Arcs.of(some).totals(self.model.chances)))

@@ -60,3 +60,34 @@ def test_forgets(monkeypatch):
     monkeypatch.setattr(L, "KEPT", 2)
     run = L.Scorer(model)
     assert [run.predict([t])[0] for t in ("the a b", "der c d e", "the der")] == want
+
+
+def test_marks_that_are_no_letters():
+    model = L.fit_counts(pd.DataFrame([("en", L.START + "the", 3), ("de", L.START + "der", 3)], columns=["lang", "word", "n"]))
+    texts = ["² ½ ①", "Ⅷ 12 _", "\u0301", "", None]
+    assert L.Scorer(model).predict(texts) == [(L.UND, 0.0)] * len(texts)
+    assert [x[0] for x in L.Scorer(model).predict(["² the", "der½"])] == ["en", "de"]
+
+
+def test_long_words_are_summed_over_all_segmentations():
+    pieces = L.vocabulary().pieces
+    longest = max(map(len, pieces))
+    rows = [("en", L.START + "there", 5), ("en", L.START + "here", 2), ("de", L.START + "der", 4), ("de", L.START + "dort", 1)]
+    model = L.fit_counts(pd.DataFrame(rows, columns=["lang", "word", "n"]))
+    for run in ("there" * 5, "therederdort" * 40, "xq日here" * 7 + "d", "q" * 1000):
+        word = L.START + run
+        got, found = L.long_total(word, model.chances), L.Scorer(model)
+        for k in range(2):
+            # logarithms of the sums over all ways to cut the first e characters
+            logs = [0.0]
+            for e in range(1, len(word) + 1):
+                ways = [
+                    logs[b] + math.log(model.chances[pieces[word[b:e]], k]) for b in range(max(0, e - longest), e) if word[b:e] in pieces
+                ]
+                if word[e - 1] not in pieces:
+                    ways.append(logs[e - 1] + math.log(L.UNKNOWN))
+                top = max(ways)
+                logs.append(top + math.log(sum(math.exp(w - top) for w in ways)))
+            assert abs(got[k] - logs[-1]) < 1e-9 * len(word)
+        ((lang, score),) = found.predict([run])
+        assert abs(score - 1 / (1 + math.exp(-abs(got[0] - got[1])))) < 1e-9
