@@ -8,7 +8,8 @@ equal conversations the one with the smallest id stays.
 
 Positions and running hashes are found in pieces of ``PIECE`` turn numbers, and the
 totals of the pieces are summed first, so that one endless conversation is spread over
-many tasks. Copies are merged by a combining aggregate before the anti-join, so a hash
+many tasks. Texts order turns of equal number and role only: where a conversation has such turns,
+their rank by text is found first, and no other text is sorted. Copies are merged by a combining aggregate before the anti-join, so a hash
 shared by a third of all conversations meets the join once. Texts move only for
 conversations that stay.
 
@@ -22,6 +23,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from docweft.session import stored
+
 PIECE = 256
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -38,18 +41,37 @@ def distinct_turns(turns: DataFrame, conv: str, turn: str, role: str, text: str)
     return named.distinct()
 
 
+def text_digests() -> list[Column]:
+    return [F.xxhash64(F.lit(half), F.col("text").isNull(), "text").alias(f"t{half}") for half in (1, 2)]
+
+
+def ranked_ties(turns: DataFrame) -> DataFrame:
+    """``conv, turn, role, t1, t2, tie``: rank by text among turns of one conversation, number and role, where there are several.
+
+    Which they are is found by a count without texts and stored, so that Spark knows the size and, where it is
+    small, looks for their texts without an exchange.
+    """
+    keys = ["conv", "turn", "role"]
+    tied = stored(turns.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*(F.col(k).alias(f"tied_{k}") for k in keys)), "tied")
+    several = turns.join(tied, [F.col(k).eqNullSafe(F.col(f"tied_{k}")) for k in keys], "left_semi")
+    order = W.partitionBy(*keys).orderBy(F.col("text").asc_nulls_first())
+    return several.select(*keys, *text_digests(), F.row_number().over(order).alias("tie"))
+
+
 def prefix_hashes(turns: DataFrame) -> DataFrame:
     """``conv, n, h1, h2``: a row for each turn with the hash of the conversation up to it."""
     piece = F.coalesce(F.floor(F.col("turn") / PIECE).cast("long"), F.lit(-(2**62)))
-    # the text itself goes no further: order and hash need a digest of it only
-    slim = turns.select(
-        "conv", piece.alias("piece"), "turn", "role", F.xxhash64(F.lit(1), F.col("text").isNull(), "text").alias("t1"),
-        F.xxhash64(F.lit(2), F.col("text").isNull(), "text").alias("t2"),
+    # the text itself goes no further: a digest of it is hashed, and ties are ranked apart
+    slim = turns.select("conv", piece.alias("piece"), "turn", "role", *text_digests())
+    known = ["conv", "turn", "role", "t1", "t2"]
+    ranks = ranked_ties(turns).select(*(F.col(k).alias(f"tied_{k}") for k in known), "tie")
+    slim = slim.join(ranks, [F.col(k).eqNullSafe(F.col(f"tied_{k}")) for k in known], "left").select(
+        "piece", *known, F.coalesce("tie", F.lit(1)).alias("tie")
     )
     sizes = slim.groupBy("conv", "piece").agg(F.count("*").alias("rows"))
     before = W.partitionBy("conv").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
     sizes = sizes.select("conv", "piece", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("ahead"))
-    inside = W.partitionBy("conv", "piece").orderBy("turn", "role", "t1", "t2")
+    inside = W.partitionBy("conv", "piece").orderBy("turn", "role", "tie")
     placed = (
         slim.withColumn("k", F.row_number().over(inside))
         .join(sizes, ["conv", "piece"])
@@ -92,9 +114,8 @@ def render(turns: DataFrame, chosen: DataFrame) -> DataFrame:
     shown = F.concat(
         F.lit(START), F.coalesce(F.col("role"), empty), F.lit("\n"), F.coalesce(F.col("text"), empty), F.lit(f"{END}\n")
     )
-    digests = [F.xxhash64(F.lit(h), F.col("text").isNull(), "text") for h in (1, 2)]
     kept = turns.join(chosen.select("conv"), "conv", "left_semi").select(
-        "conv", F.struct("turn", "role", digests[0].alias("t1"), digests[1].alias("t2"), shown.alias("shown")).alias("x")
+        "conv", F.struct("turn", "role", "text", shown.alias("shown")).alias("x")
     )
     texts = kept.groupBy("conv").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["shown"]), "").alias("text")

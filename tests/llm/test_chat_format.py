@@ -12,12 +12,12 @@ def collapse(df):
     return {r["conv"]: (r["n_turns"], r["copies"], r["text"]) for r in C.render(turns, chosen).collect()}
 
 
-def plain(rows):
+def plain(rows, order=lambda x: x[:4]):
     convs = {}
     for c, turn, role, text, *_ in set(rows):
         if c is not None:
             convs.setdefault(c, []).append((turn is not None, turn or 0, role is not None, role or "", text is not None, text or ""))
-    lists = {c: [x[2:] for x in sorted(t, key=lambda x: (x[0], x[1], x[2], x[3]))] for c, t in convs.items()}
+    lists = {c: [x[2:] for x in sorted(t, key=order)] for c, t in convs.items()}
     out = {}
     for c, t in lists.items():
         longer = any(len(o) > len(t) and o[: len(t)] == t for o in lists.values())
@@ -48,3 +48,16 @@ def test_odd_rows(spark):
     assert got == plain(rows)
     assert got[5][:2] == (1, 2) and 6 not in got and 1 in got and 2 in got
     assert collapse(spark.createDataFrame([], SCHEMA)) == {}
+
+
+def test_turns_of_equal_number_and_role_are_in_order_of_text(spark):
+    rng = random.Random(5)
+    rows = []
+    for c in range(40):
+        texts = [f"{rng.choice('pqzäÉ')} {k}" for k in range(rng.randint(2, 5))]
+        rng.shuffle(texts)
+        rows += [(c, 0, "user", t, 1, 2) for t in texts] + [(c, rng.choice([None, 1]), None, t, 1, 2) for t in [*texts, None]]
+    # one conversation is a snapshot of another only in the order of the texts
+    rows += [(90, 0, "user", "a", 1, 2), (91, 0, "user", "b", 1, 2), (91, 0, "user", "a", 1, 2), (92, 0, "user", "b", 1, 2)]
+    got = collapse(spark.createDataFrame(rows, SCHEMA))
+    assert got == plain(rows, order=lambda x: x) and 90 not in got and 92 in got
