@@ -4,11 +4,12 @@ The vocabulary is that of a public tokenizer; each language has its own probabil
 each piece. The probability of a word is the sum over all ways to cut it into pieces,
 found by the forward algorithm; a text's is the product over its words. The piece
 probabilities are fitted by expectation-maximisation (forward and backward sums give the
-expected piece counts), on the most frequent words of a bounded sample of labelled texts.
+expected piece counts), on all words of a bounded sample of labelled texts.
 
 The sample takes ``PER_LANGUAGE`` texts of each language in the order of a hash of the id,
-whole, and from their word counts ``TYPES`` words of each language: these bounds are for
-fitting only. Prediction reads every whole text; a task computes a word's probabilities
+whole; that bound is for fitting only (``types`` can bound the words of a language too; by default
+all are taken). The ids are chosen within ``SALTS`` shares of each
+language first, so no task holds those of a frequent one. Prediction reads every whole text; a task computes a word's probabilities
 once and keeps them in a table of bounded size. The model has one number for each piece
 and language, whatever the input, and is broadcast.
 
@@ -41,8 +42,9 @@ from docweft.llm.process import kept
 
 VOCABULARY = "piece_bpe_32k.model"
 UND = "und"
-#: Sampled texts and word types of a language, steps of the fit, characters of a word in the fit, words kept by a task.
-PER_LANGUAGE, TYPES, STEPS, LONGEST, KEPT = 1000, 8000, 4, 24, 400_000
+#: Sampled texts of a language, shares in which they are chosen, steps of the fit, characters of a word in the fit,
+#: words fitted in one go, words kept by a task.
+PER_LANGUAGE, SALTS, STEPS, LONGEST, BATCH, KEPT = 1000, 64, 4, 24, 20_000, 400_000
 #: Pseudo-count of each piece, probability of a character outside the vocabulary, mark of a word's start.
 PSEUDO, UNKNOWN, START = 0.02, 1e-6, "▁"
 LETTERS = regex.compile(r"\p{L}+")
@@ -194,6 +196,18 @@ def with_unknown(chances: np.ndarray) -> np.ndarray:
     return np.vstack([chances, np.full((1, chances.shape[1]), UNKNOWN)])
 
 
+def expected_pieces(words: list[str], seen: np.ndarray, chances: np.ndarray) -> np.ndarray:
+    """How often each piece is expected in each language. ``seen``: occurrences by word and language."""
+    arcs = Arcs.of(words)
+    weights = arcs.weights(chances)
+    alpha, beta = arcs.forward(weights), arcs.backward(weights)
+    whole = alpha[np.arange(len(words)), arcs.lengths]
+    share = alpha[arcs.word, arcs.start] * weights * beta[arcs.word, arcs.end] / whole[arcs.word] * seen[arcs.word]
+    known = arcs.piece >= 0
+    size = len(chances) - 1
+    return np.stack([np.bincount(arcs.piece[known], share[known, k], size) for k in range(seen.shape[1])], 1)
+
+
 def fit_counts(counts: pd.DataFrame, steps: int = STEPS) -> Model:
     """From rows ``lang, word, n``; words as ``parts_of`` gives them."""
     languages = sorted(counts["lang"].unique())
@@ -204,40 +218,36 @@ def fit_counts(counts: pd.DataFrame, steps: int = STEPS) -> Model:
     number = {w: i for i, w in enumerate(words)}
     seen = np.zeros((len(words), len(languages)))
     np.add.at(seen, (counts["word"].map(number), counts["lang"].map(languages.index)), counts["n"])
-    arcs = Arcs.of(words)
     chances = with_unknown(np.full((size, len(languages)), 1 / size))
-    known = arcs.piece >= 0
     for _ in range(steps):
-        weights = arcs.weights(chances)
-        alpha, beta = arcs.forward(weights), arcs.backward(weights)
-        whole = alpha[np.arange(len(words)), arcs.lengths]
-        share = alpha[arcs.word, arcs.start] * weights * beta[arcs.word, arcs.end] / whole[arcs.word] * seen[arcs.word]
-        expected = np.zeros((size, len(languages)))
-        np.add.at(expected, arcs.piece[known], share[known])
-        expected += PSEUDO
+        expected = np.full((size, len(languages)), PSEUDO)
+        for at in range(0, len(words), BATCH):
+            expected += expected_pieces(words[at : at + BATCH], seen[at : at + BATCH], chances)
         chances = with_unknown(expected / expected.sum(0))
     return Model(languages, chances)
 
 
 def fit(
     docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE,
-    types: int = TYPES, steps: int = STEPS,
+    types: int | None = None, steps: int = STEPS, salts: int = SALTS,
 ) -> Model:
     """Fits on the bounded sample. ``docs``: the rows that may be learned from."""
     rows = docs.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).alias("id"), F.col(label).alias("lang"), F.col(text).alias("text")
     )
     # which texts: ids and labels only; the texts of the chosen ids are read again
-    order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language)
+    first = F.xxhash64("id"), F.col("id")
+    share = W.partitionBy("lang", F.pmod(F.xxhash64(F.lit(salts), "id"), F.lit(salts))).orderBy(*first)
+    chosen = rows.select("id", "lang").withColumn("k", F.row_number().over(share)).filter(F.col("k") <= per_language)
+    chosen = chosen.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(*first))).filter(F.col("k") <= per_language)
     # at most PER_LANGUAGE ids for each language
     sample = rows.join(F.broadcast(chosen.select("id", "lang").distinct()), ["id", "lang"], "left_semi")
     runs = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("(\\p{L}+)"), 1)).alias("run"))
-    best = W.partitionBy("lang").orderBy(F.desc("n"), "run")
-    counts = (
-        runs.groupBy("lang", "run").agg(F.count("*").alias("n"))
-        .withColumn("k", F.row_number().over(best)).filter(F.col("k") <= types).select("lang", "run", "n")
-    ).toPandas()  # at most TYPES rows for each language
+    counts = runs.groupBy("lang", "run").agg(F.count("*").alias("n"))
+    if types is not None:
+        best = W.partitionBy("lang").orderBy(F.desc("n"), "run")
+        counts = counts.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= types).drop("k")
+    counts = counts.toPandas()  # the words of at most PER_LANGUAGE texts for each language
     parts = [(lang, w, n) for lang, run, n in counts.itertuples(index=False) for w in parts_of(run)]
     return fit_counts(pd.DataFrame(parts, columns=["lang", "word", "n"]).groupby(["lang", "word"], as_index=False).sum(), steps)
 
