@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from docweft.functions import paths as P
 from docweft.functions.text import all_matches, nonempty, trim_ws
@@ -125,47 +124,124 @@ def read_glossary(files: DataFrame) -> DataFrame:
     )
 
 
-TOC_ENTRY = (
-    "entry_id: int, parent_id: int, ordinal: int, level: int, title: string, "
-    "href: string, linked_title: boolean, child_count: int"
-)
-
+# --- fixed values: the grammar of XML tags, references and comments ----------------------------
+XML_NAME = r"[A-Za-z_:][\w:.\-]*"
+XML_ATTRIBUTE = rf"""\s+{XML_NAME}\s*=\s*(?:"[^"<]*"|'[^'<]*')"""
+XML_SKIPPED = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<!DOCTYPE[^\[>]*(?:\[[^\]]*\])?[^>]*>"
+XML_TAG = rf"<{XML_NAME}(?:{XML_ATTRIBUTE})*\s*/?>|</{XML_NAME}\s*>"
+XML_BARE = r"&(?!(?:lt|gt|amp|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);)"
+# -----------------------------------------------------------------------------------------------
+#: Entries that the fold appends to before it starts the next list.
+LIST_PART = 256
+TOC_OPEN = "array<struct<name: string, id: int, parent: int, ordinal: int, level: int, tag: string, children: int>>"
+TOC_ENTRY = "struct<entry_id: int, parent_id: int, ordinal: int, level: int, tag: string, child_count: int>"
+
+
+def _tag_attribute(tag, *names):
+    """The first non-empty attribute of these names, with its references resolved."""
+    found = []
+    for name in names:
+        raw = F.regexp_extract(tag, rf"""\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)')""", 1)
+        other = F.regexp_extract(tag, rf"""\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)')""", 2)
+        # white space in an attribute counts as a blank
+        plain = F.translate(F.concat(raw, other), "\n\r\t", "   ")
+        pieces = F.split(plain, r"(?=&#(?:[0-9]+|x[0-9A-Fa-f]+);)")
+        found.append(nonempty(F.array_join(F.transform(pieces, _numbered), "")))
+    return F.coalesce(*found)
+
+
+def _numbered(piece):
+    """A text that may start with a numeric reference."""
+    digits = F.regexp_extract(piece, r"^&#(x?[0-9A-Fa-f]+);", 1)
+    code = F.when(digits.startswith("x"), F.conv(F.substr(digits, F.lit(2)), 16, 10)).otherwise(digits).try_cast("int")
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    rest = _decoded(F.regexp_replace(piece, r"^&#x?[0-9A-Fa-f]+;", ""))
+    return F.when(digits != "", F.concat(char, rest)).otherwise(_decoded(piece))
+
+
+def flatten_toc(content):
+    """Nested TOC entries of one file in pre-order; null if the file is not well formed.
+
+    A fold over the tags with a stack of the open ones. An entry counts if its parents are
+    entries up to the root. It is noted when it closes, in lists of bounded length, so no
+    long array is copied at each tag; sorting by number gives the order of the openings.
+    """
+    markup = F.regexp_replace(F.regexp_replace(F.coalesce(content, F.lit("")), "^\ufeff", ""), XML_SKIPPED, "")
+    broken = markup.rlike(XML_BARE) | F.regexp_replace(markup, XML_TAG, "").contains("<")
+    none = f"array<{TOC_ENTRY}>"
+    start = F.struct(
+        F.array().cast(TOC_OPEN).alias("open"), F.array().cast(none).alias("part"), F.array().cast(f"array<{none}>").alias("full"),
+        F.lit(0).alias("next"), F.lit(0).alias("roots"), broken.alias("bad"),
+    )
 
-def toc_reader():
-    """Table function: nested TOC entries of one file in pre-order, as adjacency rows.
+    def opened(s, tag):
+        top = F.try_element_at(s["open"], F.lit(-1))
+        depth = F.size(s["open"])
+        name = F.regexp_extract(tag, rf"^<({XML_NAME})", 1)
+        # the root is numbered -1; what is no entry has no number
+        entry = (depth > 0) & (name == "TocEntry") & top["id"].isNotNull()
+        number = F.when(depth == 0, -1).when(entry, s["next"]).cast("int")
+        held = F.when(
+            entry,
+            F.concat(
+                F.slice(s["open"], F.lit(1), depth - 1),
+                F.array(top.withField("children", top["children"] + 1)),
+            ),
+        ).otherwise(s["open"])
+        new = F.struct(
+            name.alias("name"), number.alias("id"), F.when(top["id"] >= 0, top["id"]).cast("int").alias("parent"),
+            top["children"].alias("ordinal"), (depth - 1).cast("int").alias("level"), tag.alias("tag"), F.lit(0).alias("children"),
+        )
+        return F.struct(
+            F.concat(held, F.array(new)).cast(TOC_OPEN).alias("open"), s["part"].alias("part"), s["full"].alias("full"),
+            (s["next"] + entry.try_cast("int")).cast("int").alias("next"),
+            (s["roots"] + (depth == 0).cast("int")).alias("roots"), (s["bad"] | ((depth == 0) & (s["roots"] > 0))).alias("bad"),
+        )
 
-    Spark's XML reader has no recursive schema, so this is the one Python table
-    function of the library; it sees one file at a time.
-    """
+    def closed(s, name):
+        top = F.try_element_at(s["open"], F.lit(-1))
+        row = F.struct(
+            top["id"].alias("entry_id"), top["parent"].alias("parent_id"), top["ordinal"].alias("ordinal"),
+            top["level"].alias("level"), top["tag"].alias("tag"), top["children"].alias("child_count"),
+        )
+        entry = F.coalesce(top["id"] >= 0, F.lit(False))
+        whole = entry & (F.size(s["part"]) >= LIST_PART)
+        part = F.when(whole, F.array(row)).when(entry, F.concat(s["part"], F.array(row))).otherwise(s["part"])
+        return F.struct(
+            F.slice(s["open"], F.lit(1), F.greatest(F.size(s["open"]) - 1, F.lit(0))).cast(TOC_OPEN).alias("open"),
+            part.cast(none).alias("part"),
+            F.when(whole, F.concat(s["full"], F.array(s["part"]))).otherwise(s["full"]).cast(f"array<{none}>").alias("full"),
+            s["next"].alias("next"), s["roots"].alias("roots"),
+            (s["bad"] | F.coalesce(top["name"] != name, F.lit(True))).alias("bad"),
+        )
 
-    class FlattenToc:
-        def eval(self, content: str):
-            import xml.etree.ElementTree as ET
-
-            try:
-                root = ET.fromstring(content or "")
-            except ET.ParseError:
-                return
-            pending = [(None, 0, i, e) for i, e in enumerate(root.findall("TocEntry"))][::-1]
-            entry_id = 0
-            while pending:
-                parent, level, ordinal, entry = pending.pop()
-                title = entry.get("Title") or entry.get("title") or "Untitled"
-                href = entry.get("Link") or entry.get("href") or None
-                children = entry.findall("TocEntry")
-                linked = title == "[%=System.LinkedTitle%]"
-                yield entry_id, parent, ordinal, level, title, href, linked, len(children)
-                pending.extend([(entry_id, level + 1, i, c) for i, c in enumerate(children)][::-1])
-                entry_id += 1
-
-    return udtf(FlattenToc, returnType=TOC_ENTRY)
+    # an empty tag opens and closes
+    marks = F.flatten(F.transform(
+        all_matches(markup, XML_TAG, 0), lambda t: F.when(t.endswith("/>"), F.array(t, F.concat(F.lit("</"), F.regexp_extract(t, XML_NAME, 0)))).otherwise(F.array(t))
+    ))
+    step = lambda s, t: F.when(t.startswith("</"), closed(s, F.regexp_extract(t, XML_NAME, 0))).otherwise(opened(s, t))
+    return F.aggregate(
+        marks, start, step,
+        lambda s: F.when(
+            ~s["bad"] & (s["roots"] == 1) & (F.size(s["open"]) == 0), F.array_sort(F.concat(F.flatten(s["full"]), s["part"]))
+        ),
+    )
 
 
 def read_toc(files: DataFrame) -> DataFrame:
-    """TOC adjacency rows of every file: ``toc_path`` plus the flattened entry."""
-    source = files.select(F.col("path").alias("toc_path"), "content")
-    rows = source.lateralJoin(toc_reader()(F.col("content").outer()))
-    return rows.drop("content")
+    """TOC adjacency rows of every file: ``toc_path`` plus the flattened entry.
+
+    A file that is not well formed has no rows. Work stays within the row of a file.
+    """
+    rows = files.select(F.col("path").alias("toc_path"), F.explode(flatten_toc(F.col("content"))).alias("e"))
+    title = F.coalesce(_tag_attribute(F.col("e.tag"), "Title", "title"), F.lit("Untitled"))
+    return rows.select(
+        "toc_path", "e.entry_id", "e.parent_id", "e.ordinal", "e.level", title.alias("title"),
+        _tag_attribute(F.col("e.tag"), "Link", "href").alias("href"), "e.child_count",
+    ).select(
+        "toc_path", "entry_id", "parent_id", "ordinal", "level", "title", "href",
+        (F.col("title") == "[%=System.LinkedTitle%]").alias("linked_title"), "child_count",
+    )
 
 
 def toc_titles(toc: DataFrame) -> DataFrame:
