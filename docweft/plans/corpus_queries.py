@@ -27,6 +27,7 @@ from docweft.plans.sqltext import (
     sub,
     trim,
 )
+from docweft.session import new_path
 from docweft.sources import corpus, project_xml
 
 QUERIES, ORACLES, query = registry()
@@ -213,6 +214,50 @@ def file_layout(spark, d):
     )
 
 
+HELD = """select doc_id, lang, text, case doc_id % 4 when 0 then 'txt' when 1 then 'md' when 2 then 'png' else 'htm' end as ext from documents"""
+
+
+@query(
+    "files_with_content",
+    f"""with held as ({HELD}), seen as (select *, 'doc-' || doc_id || '.' || ext as path,
+  cast(len(regexp_extract_all(text, '[\\x00-\\x08\\x0b\\x0e-\\x1f]')) as double) / nullif(length(text), 0) as r from held)
+ select path, {_layout_sql()} as layout, case when ext = 'htm' then null when ext = 'png' then 'Image file - will be copied as resource'
+  when regexp_matches(text, 'data:video/webm|data:video/mp4|data:application/octet-stream|data:audio/') then 'Contains embedded multimedia data'
+  when r > 0.1 then 'Contains binary data (' || printf('%.1f', r * 100) || '% non-printable)' end as binary_reason from seen""",
+)
+def files_with_content(spark, d):
+    """Layout and binary rules over files that hold the documents."""
+    view(spark, d, "documents")
+    held = spark.sql(HELD)
+    name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit("."), F.col("ext"))
+    return held.withColumn("path", name).select(
+        "path", corpus.infer_layout(F.col("path")).alias("layout"),
+        corpus.binary_reason(F.col("text"), F.col("ext"), F.octet_length("text")).alias("binary_reason"),
+    )
+
+
+@query(
+    "corpus_scanned",
+    """select 'Content/source=' || coalesce(source, '__HIVE_DEFAULT_PARTITION__') as dir, doc_id, md5(text) as digest from documents""",
+)
+def corpus_scanned(spark, d):
+    """Documents written as XML files below one folder for each source, found and read by the corpus scan.
+
+    Texts travel in base64, so every character survives the file. A folder that the scan must
+    not enter holds other files.
+    """
+    body = F.concat(F.lit("b"), F.base64(F.encode("text", "UTF-8")))  # the letter tells empty from null
+    docs = view(spark, d, "documents").select("source", "doc_id", body.alias("body"))
+    root = new_path(spark, "corpus")
+    # rows of a file are bounded, so no file grows with its source
+    docs.write.partitionBy("source").options(rowTag="doc", rootTag="docs", maxRecordsPerFile=500).xml(f"{root}/Content")
+    view(spark, d, "region").write.options(rowTag="doc", rootTag="docs").xml(f"{root}/Output")
+    files = corpus.scan_corpus(spark, root, extensions=["xml"])
+    rows = files.select("dir", F.explode(F.from_xml("content", "doc array<struct<doc_id: bigint, body: string>>")["doc"]).alias("x"))
+    text = F.unbase64(F.substr("x.body", F.lit(2)))
+    return rows.select("dir", F.col("x.doc_id").alias("doc_id"), F.md5(text).alias("digest"))
+
+
 @query(
     "binary_texts",
     """select doc_id, case when regexp_matches(text, 'data:video/webm|data:video/mp4|data:application/octet-stream|data:audio/') then 'Contains embedded multimedia data'

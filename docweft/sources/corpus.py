@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,18 +107,23 @@ def junk_name(name: Column) -> Column:
     )
 
 
-def scan_corpus(
-    spark: SparkSession, root: str, recursive: bool = True, glob: str | None = None
-) -> DataFrame:
-    """Files under ``root`` with kept extensions outside excluded folders.
+SCANNED = "path string, modificationTime timestamp, length long, content binary"
 
-    ``content`` is decoded lazily: a plan that does not use it never reads the bytes.
-    """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
+
+def extension_glob(extensions: list[str]) -> str:
+    """A file pattern for these extensions in any case; files it leaves out are never listed as input."""
+    def any_case(ext):
+        return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext)
+
+    return "*.{" + ",".join(any_case(e.lower()) for e in extensions) + "}"
+
+
+def _scanned(located: DataFrame, root: str, max_bytes: int | None) -> DataFrame:
+    """Kept files of a binary read below ``root``."""
+    if max_bytes is not None:
+        located = located.filter(F.col("length") <= max_bytes)  # reaches the scan: larger files are not read
     base = root.rstrip("/") + "/"
-    located = reader.load(root).select(
+    located = located.select(
         F.regexp_replace("path", r"^file:/+", "/").alias("full"), "length", "modificationTime", "content"
     )
     files = located.select(
@@ -131,6 +137,31 @@ def scan_corpus(
     return files.filter(kept & F.col("ext").isin(SUPPORTED) & ~junk_name(F.col("name")))
 
 
+def scan_corpus(
+    spark: SparkSession, root: str, recursive: bool = True, glob: str | None = None,
+    extensions: list[str] | None = None, max_bytes: int | None = None,
+) -> DataFrame:
+    """Files under ``root`` with kept extensions outside excluded folders.
+
+    ``content`` is decoded lazily: a plan that does not use it never reads the bytes. Only files
+    of ``extensions`` (all kept ones by default; or of ``glob``) are planned, and of these no
+    bytes of a file beyond ``max_bytes`` are read. Spark splits the listing into partitions by size.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    reader = reader.option("pathGlobFilter", glob or extension_glob(extensions or SUPPORTED))
+    return _scanned(reader.load(root), re.sub(r"^file:/+", "/", root), max_bytes)
+
+
+def stream_corpus(
+    spark: SparkSession, root: str, extensions: list[str] | None = None, max_bytes: int | None = None,
+    files_per_batch: int = 1000,
+) -> DataFrame:
+    """``scan_corpus`` as a stream: each file once, when it appears; what was read is kept in the query's checkpoint."""
+    reader = spark.readStream.format("binaryFile").schema(SCANNED).option("recursiveFileLookup", "true")
+    reader = reader.option("pathGlobFilter", extension_glob(extensions or SUPPORTED)).option("maxFilesPerTrigger", files_per_batch)
+    return _scanned(reader.load(root), re.sub(r"^file:/+", "/", root), max_bytes)
+
+
 def _matches(name: Column, pattern: str) -> Column:
     return name.endswith(pattern[1:]) if pattern.startswith("*") else name.contains(pattern)
 

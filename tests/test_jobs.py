@@ -41,6 +41,33 @@ def test_scan(spark):
     assert "content" not in plan.split("ReadSchema")[-1]
 
 
+def test_scan_pushes_its_filters(spark):
+    root = folder()
+    write(root, {"a.HTM": "x", "b.xml": "<x/>", "c.htm": "y" * 500, "d.html": "é"})
+    files = corpus.scan_corpus(spark, f"file://{root}", extensions=["htm", "html"], max_bytes=100)
+    assert sorted((r["path"], r["content"]) for r in files.collect()) == [("a.HTM", "x"), ("d.html", "é")]
+    plan = files._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,100)" in plan.split("PushedFilters")[-1]
+    assert sorted(r["path"] for r in corpus.scan_corpus(spark, str(root)).select("path").collect()) == ["a.HTM", "b.xml", "c.htm", "d.html"]
+
+
+def test_scan_as_a_stream(spark):
+    """Each file once, in batches of bounded number; what appears later is found by the next run."""
+    root, out = folder(), folder()
+    write(root, {f"Content/p{k}.htm": f"<p>{k}</p>" for k in range(5)} | {"Output/x.htm": "x", "Content/big.htm": "z" * 500, "Content/n.xml": "<n/>"})
+
+    def run():
+        rows = corpus.stream_corpus(spark, str(root), ["htm"], max_bytes=100, files_per_batch=2).select("path", "content")
+        job = rows.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows")
+        assert job.awaitTermination(120)
+        return sorted((r["path"], r["content"]) for r in spark.read.parquet(f"{out}/rows").collect())
+
+    want = [(f"Content/p{k}.htm", f"<p>{k}</p>") for k in range(5)]
+    assert run() == want
+    write(root, {"Content/q.htm": "new"})
+    assert run() == sorted([*want, ("Content/q.htm", "new")])
+
+
 def test_sinks(spark):
     root = folder()
     vars_df = spark.createDataFrame([(2, "B", "x"), (1, "A.C", "y")], "ord int, name string, value string")
