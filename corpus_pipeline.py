@@ -7,10 +7,10 @@ Parquet and read again, so a failed stage is repeated from its input alone.
 * language ID: texts without a language (``und``) or with a doubtful one go.
 * quality rules: texts whose posterior probability of being good is below one half, or
   that fail the base rule, go.
-* SimHash near-dedup: texts whose sets of five-word shingles have a Jaccard similarity of
-  0.8 or more are linked (``near_copies``; the three bits of ``op6_simhash`` would let most of
-  them stay). Of each group of linked documents the one with the smallest id stays; of rows
-  that repeat an id and its text, one. Rows without id are in no group and stay.
+* SimHash near-dedup: texts whose fingerprints differ in at most three bits are linked (``simhash``).
+  Of each group of linked documents the one with the smallest id stays; of rows that repeat an id
+  and its text, one. Rows without id are in no group and stay. Looser copies (``near_copies``
+  finds those of Jaccard similarity 0.8) mostly differ in more bits and stay.
 * packing: all that is left, in windows of 2048 tokens.
 """
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from docweft.llm import language, near_copies, packing, quality_rules
+from docweft.llm import language, packing, quality_rules, simhash
 from docweft.llm.columns import free_name
 from docweft.session import new_path, stored
 
@@ -44,9 +44,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    found = stored(near_copies.near_copies(docs), "found")
-    kept = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    gone = found.join(kept, "component").filter("doc_id <> first.doc_id or text_hash <> first.text_hash").select(
+    # texts and fingerprints are named by hashes: a repeated id may have several texts
+    rows = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    prints = simhash.fingerprints(rows, key="text_hash").distinct().withColumnRenamed("doc_id", "text_hash")
+    prints = stored(prints, "prints")
+    near = simhash.near_duplicates(stored(prints.select(F.col("print").alias("doc_id"), "print").distinct(), "named"))
+    named = prints.join(near.select("print", "component_id"), "print").select("text_hash", "component_id")
+    found = stored(rows.select("doc_id", "text_hash").join(named, "text_hash"), "found")
+    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    gone = found.join(kept, "component_id").filter("doc_id <> first.doc_id or text_hash <> first.text_hash").select(
         F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")
     ).distinct()
     nth, of = free_name(docs, "nth"), free_name(docs, "text_hash")

@@ -61,3 +61,23 @@ def test_odd_rows(spark):
     assert len(ids) == len(set(ids))
     empty = steps(spark, docs.limit(0))
     assert [t.count() for t in empty] == [0] * 5
+
+
+def test_dedup_by_fingerprint(spark):
+    """Of each set within three bits one row stays, also where an id has several texts."""
+    words = [f"w{n}" for n in range(400)]
+    a, b = " ".join(words), " ".join(reversed(words))
+    close = (a + "".join(f" v{n}" for n in range(m)) for m in range(1, 60))
+    near = next(x for x in close if 0 < (simhash.fingerprint(a) ^ simhash.fingerprint(x)).bit_count())
+    assert 0 < (simhash.fingerprint(a) ^ simhash.fingerprint(near)).bit_count() <= 3
+    data = [(5, a), (5, b), (9, near), (9, b), (None, a), (7, "other words in a text"), (7, "other words in a text"), (8, None), (6, " ")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    left = {(r["doc_id"], r["text"]) for r in corpus_pipeline.dedup_stage(spark, docs, FOLDER).collect()}
+    assert left == {(5, a), (5, b), (None, a), (7, "other words in a text"), (6, " ")}
+
+
+def test_dedup_calls_the_named_method(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(simhash, "near_duplicates", lambda prints, _of=simhash.near_duplicates: asked.append(1) or _of(prints))
+    docs = spark.createDataFrame([(1, "some text"), (2, "some text")], "doc_id long, text string")
+    assert corpus_pipeline.dedup_stage(spark, docs, FOLDER).count() == 1 and asked
