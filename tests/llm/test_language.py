@@ -91,3 +91,11 @@ def test_long_words_are_summed_over_all_segmentations():
             assert abs(got[k] - logs[-1]) < 1e-9 * len(word)
         ((lang, score),) = found.predict([run])
         assert abs(score - 1 / (1 + math.exp(-abs(got[0] - got[1])))) < 1e-9
+
+
+def test_texts_of_a_slice_are_bounded():
+    texts = ["x" * 700_000, "y" * 700_000, None, "", "z" * 3_000_000, *["short"] * 600]
+    runs = list(L.slices(texts))
+    assert [x for run in runs for x in run] == texts and list(L.slices([])) == []
+    assert all(len(run) <= L.TEXTS for run in runs)
+    assert all(len(run) == 1 or sum(len(x or "") for x in run) <= L.CHARACTERS for run in runs)
