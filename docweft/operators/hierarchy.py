@@ -267,6 +267,8 @@ def render_fallback_master(outputs: DataFrame, format: str = "asciidoc") -> Data
 
 def toc_from_files(file_map: DataFrame) -> DataFrame:
     """Fallback TOC: one entry per converted topic, in path order."""
+    # each use of a path, and the sampling of the order, would read its title from the text again
+    file_map = stored(file_map.select("old_path", "new_path"), "file_map")
     name = P.basename(F.col("new_path"))
     stem = F.regexp_replace(name, r"\.md\z", "")
     return (

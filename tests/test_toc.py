@@ -4,7 +4,10 @@ import random
 import xml.etree.ElementTree as ET
 from xml.sax.saxutils import quoteattr
 
-from docweft.sources import project_xml
+from pyspark.sql import functions as F
+
+from docweft.operators import hierarchy, links
+from docweft.sources import corpus, project_xml
 
 NAMES = ["Title", "title", "Link", "href", "conditions"]
 VALUES = ["", "A & B", "a<b", 'say "x"', "it's", "Überblick", "[%=System.LinkedTitle%]", "Content/a.htm", "two\nlines"]
@@ -78,3 +81,20 @@ def test_odd_files(spark):
     want = {p: flattened(x) for p, x in bodies.items()}
     assert rows(spark, list(bodies.items())) == {p: w for p, w in want.items() if w}
     assert project_xml.read_toc(spark.createDataFrame([], "path string, content string")).collect() == []
+
+
+def test_path_order_reads_texts_once(spark):
+    """Titles come from stored paths, so neither the filter nor the sampling of the order parses texts again."""
+    topics = spark.createDataFrame([("a/x.htm", "<h1>One two</h1>"), ("b/y.htm", "<title>Three</title>")], "path string, html string")
+    plan = links.plan_output_paths(topics, "markdown", rename=True)
+    toc = hierarchy.toc_from_files(plan.select(F.col("path").alias("old_path"), F.col("out_path").alias("new_path")))
+    assert "html" not in toc._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["old_path"], r["title"]) for r in toc.collect()] == [("a/x.htm", "One Two"), ("b/y.htm", "Three")]
+
+
+def test_toc_files_are_dealt_out(spark):
+    """A small file of many rows with much work each is not left to one task."""
+    rows = spark.range(50_000).coalesce(1)
+    dealt = corpus.dealt(rows, 20_000)
+    assert dealt.rdd.getNumPartitions() == 3 and dealt.distinct().count() == 50_000
+    assert corpus.dealt(rows.limit(0), 20_000).count() == 0
