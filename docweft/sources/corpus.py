@@ -69,6 +69,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df if least is None or df.rdd.getNumPartitions() >= int(least) else df.repartition(int(least))
 
 
+def dealt(df: DataFrame, per_task: int) -> DataFrame:
+    """Deal rows out to tasks of about ``per_task`` rows.
+
+    For short rows with much work each: their file is small, so by its size Spark would read
+    it in one or two tasks, however many rows it has.
+    """
+    return df.repartition(max(1, -(-df.count() // per_task)))
+
+
 def with_file_parts(files: DataFrame) -> DataFrame:
     """Add name, ext (no dot), dir and depth to a table that has ``path``."""
     return files.select(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweft.functions import paths as P
-from docweft.functions.text import all_matches, nonempty, trim_ws
+from docweft.functions.text import all_matches, let, nonempty, trim_ws
 
 VARIABLE_SCHEMA = (
     "struct<Variable: array<struct<_Name: string, _Definition: string, _EvaluatedDefinition: string, "
@@ -174,10 +174,8 @@ def flatten_toc(content):
         F.lit(0).alias("next"), F.lit(0).alias("roots"), broken.alias("bad"),
     )
 
-    def opened(s, tag):
-        top = F.try_element_at(s["open"], F.lit(-1))
-        depth = F.size(s["open"])
-        name = F.regexp_extract(tag, rf"^<({XML_NAME})", 1)
+    def opened(s, mark, top):
+        depth, name, tag = F.size(s["open"]), mark["name"], mark["tag"]
         # the root is numbered -1; what is no entry has no number
         entry = (depth > 0) & (name == "TocEntry") & top["id"].isNotNull()
         number = F.when(depth == 0, -1).when(entry, s["next"]).cast("int")
@@ -198,8 +196,7 @@ def flatten_toc(content):
             (s["roots"] + (depth == 0).cast("int")).alias("roots"), (s["bad"] | ((depth == 0) & (s["roots"] > 0))).alias("bad"),
         )
 
-    def closed(s, name):
-        top = F.try_element_at(s["open"], F.lit(-1))
+    def closed(s, name, top):
         row = F.struct(
             top["id"].alias("entry_id"), top["parent"].alias("parent_id"), top["ordinal"].alias("ordinal"),
             top["level"].alias("level"), top["tag"].alias("tag"), top["children"].alias("child_count"),
@@ -215,11 +212,18 @@ def flatten_toc(content):
             (s["bad"] | F.coalesce(top["name"] != name, F.lit(True))).alias("bad"),
         )
 
-    # an empty tag opens and closes
+    def marks_of(tag, name):
+        opens, closes = (F.struct(F.lit(x).alias("closes"), name.alias("name"), tag.alias("tag")) for x in (False, True))
+        # an empty tag opens and closes
+        return F.when(tag.endswith("/>"), F.array(opens, closes)).when(tag.startswith("</"), F.array(closes)).otherwise(F.array(opens))
+
+    # names are cut out before the fold, where each expression is evaluated as often as it is used
     marks = F.flatten(F.transform(
-        all_matches(markup, XML_TAG, 0), lambda t: F.when(t.endswith("/>"), F.array(t, F.concat(F.lit("</"), F.regexp_extract(t, XML_NAME, 0)))).otherwise(F.array(t))
+        all_matches(markup, XML_TAG, 0), lambda t: let(F.regexp_extract(t, rf"^</?({XML_NAME})", 1), lambda name: marks_of(t, name))
     ))
-    step = lambda s, t: F.when(t.startswith("</"), closed(s, F.regexp_extract(t, XML_NAME, 0))).otherwise(opened(s, t))
+    step = lambda s, m: let(
+        F.try_element_at(s["open"], F.lit(-1)), lambda top: F.when(m["closes"], closed(s, m["name"], top)).otherwise(opened(s, m, top))
+    )
     return F.aggregate(
         marks, start, step,
         lambda s: F.when(
