@@ -44,9 +44,9 @@ VOCABULARY = "piece_bpe_32k.model"
 UND = "und"
 #: Sampled texts of a language, shares in which they are chosen, steps of the fit, characters of a word in the fit,
 #: words fitted in one go, words kept by a task.
-PER_LANGUAGE, SALTS, STEPS, LONGEST, BATCH, KEPT = 1000, 64, 4, 24, 20_000, 100_000
-#: Texts and characters predicted in one go, words summed in one go: what a task holds beside the words it keeps.
-TEXTS, CHARACTERS, SUMMED = 256, 1 << 20, 4000
+PER_LANGUAGE, SALTS, STEPS, LONGEST, BATCH, KEPT = 1000, 64, 4, 24, 20_000, 400_000
+#: Texts and characters predicted in one go: what a task holds beside the words it keeps.
+TEXTS, CHARACTERS = 256, 1 << 20
 #: Pseudo-count of each piece, probability of a character outside the vocabulary, mark of a word's start.
 PSEUDO, UNKNOWN, START = 0.02, 1e-6, "▁"
 LETTERS = regex.compile(r"\p{L}+")
@@ -260,9 +260,7 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.seen: dict[str, int] = {}
-        #: Row of each word in the log probabilities of words.
-        self.words: dict[str, int] = {}
-        self.sums = np.zeros((0, len(model.languages)))
+        self.words: dict[str, np.ndarray] = {}
         #: Log probability of each thing seen in each language, and whether it has a letter in the last column.
         self.logs = np.zeros((1024, len(model.languages) + 1))
 
@@ -270,26 +268,26 @@ class Scorer:
         parts = [words_of(chunk) for chunk in new]
         fresh = sorted({w for p in parts for w in p}.difference(self.words))
         long = [w for w in fresh if len(w) > LONGEST + 1]
-        short = [w for w in fresh if len(w) <= LONGEST + 1]
-        totals = [self.sums, *(long_total(w, self.model.chances)[None] for w in long)]
-        totals += [Arcs.of(short[at : at + SUMMED]).totals(self.model.chances) for at in range(0, len(short), SUMMED)]
-        self.words.update(zip([*long, *short], range(len(self.words), len(self.words) + len(fresh))))
-        self.sums = np.concatenate(totals)
+        self.words.update((w, long_total(w, self.model.chances)) for w in long)
+        fresh = [w for w in fresh if len(w) <= LONGEST + 1]
+        for at in range(0, len(fresh), 20_000):
+            some = fresh[at : at + 20_000]
+            self.words.update(zip(some, Arcs.of(some).totals(self.model.chances)))
         base, end = len(self.seen), len(self.seen) + len(new)
         while len(self.logs) < end:
             self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
         for n, p in enumerate(parts, base):
-            self.logs[n, :-1] = sum((self.sums[self.words[w]] for w in p), np.zeros(len(self.model.languages)))
+            self.logs[n, :-1] = sum((self.words[w] for w in p), np.zeros(len(self.model.languages)))
             self.logs[n, -1] = bool(p)
         self.seen.update(zip(new, range(base, end)))
 
     def forget(self) -> None:
-        self.seen, self.words, self.sums = {}, {}, self.sums[:0].copy()
+        self.seen, self.words = {}, {}
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         chunks = [x.split() if x else [] for x in texts]
         new = set().union(*chunks).difference(self.seen)
-        if max(len(self.seen), len(self.words)) + len(new) > KEPT:
+        if len(self.seen) + len(new) > KEPT:
             self.forget()
             new = set().union(*chunks)
         self.learn(sorted(new))
