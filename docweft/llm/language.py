@@ -43,10 +43,10 @@ from docweft.llm.process import kept
 VOCABULARY = "piece_bpe_32k.model"
 UND = "und"
 #: Sampled texts of a language, shares in which they are chosen, steps of the fit, characters of a word in the fit,
-#: words fitted in one go, words kept by a task.
-PER_LANGUAGE, SALTS, STEPS, LONGEST, BATCH, KEPT = 1000, 64, 4, 24, 20_000, 400_000
-#: Texts and characters predicted in one go: what a task holds beside the words it keeps.
-TEXTS, CHARACTERS = 256, 1 << 20
+#: words fitted in one go, words kept by a task (as many of the generation before, without what lies between white space).
+PER_LANGUAGE, SALTS, STEPS, LONGEST, BATCH, KEPT = 1000, 64, 4, 24, 4000, 150_000
+#: Texts and characters predicted in one go, words learned in one go: what a task holds beside the words it keeps.
+TEXTS, CHARACTERS, LEARN = 256, 1 << 20, 2000
 #: Pseudo-count of each piece, probability of a character outside the vocabulary, mark of a word's start.
 PSEUDO, UNKNOWN, START = 0.02, 1e-6, "▁"
 LETTERS = regex.compile(r"\p{L}+")
@@ -261,17 +261,21 @@ class Scorer:
         self.model = model
         self.seen: dict[str, int] = {}
         self.words: dict[str, np.ndarray] = {}
+        self.older: dict[str, np.ndarray] = {}
         #: Log probability of each thing seen in each language, and whether it has a letter in the last column.
         self.logs = np.zeros((1024, len(model.languages) + 1))
 
     def learn(self, new: list[str]) -> None:
         parts = [words_of(chunk) for chunk in new]
         fresh = sorted({w for p in parts for w in p}.difference(self.words))
+        # copied, since a row of an array keeps all of it
+        self.words.update((w, self.older[w].copy()) for w in fresh if w in self.older)
+        fresh = [w for w in fresh if w not in self.words]
         long = [w for w in fresh if len(w) > LONGEST + 1]
         self.words.update((w, long_total(w, self.model.chances)) for w in long)
         fresh = [w for w in fresh if len(w) <= LONGEST + 1]
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
+        for at in range(0, len(fresh), LEARN):
+            some = fresh[at : at + LEARN]
             self.words.update(zip(some, Arcs.of(some).totals(self.model.chances)))
         base, end = len(self.seen), len(self.seen) + len(new)
         while len(self.logs) < end:
@@ -282,7 +286,7 @@ class Scorer:
         self.seen.update(zip(new, range(base, end)))
 
     def forget(self) -> None:
-        self.seen, self.words = {}, {}
+        self.seen, self.words, self.older = {}, {}, self.words
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         chunks = [x.split() if x else [] for x in texts]

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 from functools import cache
 
 import pandas as pd
@@ -99,3 +100,24 @@ def test_texts_of_a_slice_are_bounded():
     assert [x for run in runs for x in run] == texts and list(L.slices([])) == []
     assert all(len(run) <= L.TEXTS for run in runs)
     assert all(len(run) == 1 or sum(len(x or "") for x in run) <= L.CHARACTERS for run in runs)
+
+
+def test_known_words_move_over_and_learning_is_bounded(monkeypatch):
+    model = L.fit_counts(pd.DataFrame([("en", L.START + "the", 3), ("de", L.START + "der", 3)], columns=["lang", "word", "n"]))
+    monkeypatch.setattr(L, "KEPT", 3)
+    found, asked, of = L.Scorer(model), [], L.Arcs.of
+    monkeypatch.setattr(L.Arcs, "of", lambda words, *more: (asked.extend(words), of(words, *more))[1])
+    for text in ("the a b", "the c d", "the e f", "der g h"):
+        found.predict([text])
+        assert len(found.seen) <= 3 and len(found.words) <= 3 and len(found.older) <= 3
+        assert all(x.base is None or len(x.base) <= L.LEARN for x in found.words.values())
+    assert asked.count(L.START + "the") == 1
+    monkeypatch.undo()
+    # what is held on the way does not grow with the words that come at once
+    words = ["".join("abcdefghijklmnop"[n >> 4 * k & 15] for k in range(6)) + "und" * 4 for n in range(40_000)]
+    whole = L.Scorer(model)
+    tracemalloc.start()
+    whole.learn(words)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak - held < 12e6
