@@ -17,9 +17,12 @@ from __future__ import annotations
 import re
 from array import array
 from functools import cache
+from string import punctuation
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from docweft.llm.process import kept
@@ -151,8 +154,9 @@ class Encoder(dict):
 class WordEncoder(Encoder):
     """For a tokenizer that drops spaces and line feeds: a piece is a word, perhaps with marks after it.
 
-    One table holds words, marks and pieces. It is bounded by bytes: when a generation is
-    full it becomes the older one, and what is still met moves over from there.
+    Pieces are told apart by Arrow, so each is looked up once for all texts of a call. One table
+    holds words, runs of marks and other pieces, but no word with its marks. It is bounded by bytes:
+    when a generation is full it becomes the older one, and what is still met moves over from there.
     """
 
     def __init__(self, name: str):
@@ -161,15 +165,10 @@ class WordEncoder(Encoder):
         #: What stands for each byte, where that is another letter.
         self.other = {b: c for b, c in self.letters.items() if chr(b) != c}
 
-    def keep(self, key: str, found: bytes) -> bytes:
-        self[key] = found
-        self.held += ENTRY + len(key) + len(found)
-        return found
-
     def word(self, letters: str, space: bool = False) -> bytes | None:
-        if not letters.isalpha():
-            return None
         low = letters.lower()
+        if low != letters and (known := self.get(low)) is not None:
+            return known
         if not low.isascii():
             if max(low) >= BEYOND_LATIN:
                 return None
@@ -178,31 +177,36 @@ class WordEncoder(Encoder):
 
     def __missing__(self, key: str) -> bytes:
         found = self.older.pop(key, None)
-        return self.keep(key, self.fresh(key) if found is None else found)
-
-    def fresh(self, key: str) -> bytes:
-        stem = key.rstrip(MARKS)
-        if len(stem) == len(key):
-            found = self.word(key, False)
-        elif not stem[-1:].isalpha():
-            found = None
-        else:
-            found = self.get(stem) if stem.isascii() and stem.isalpha() else None
-            if found is None and (found := self.word(stem, False)) is not None:
-                self.keep(stem, found)
-            if found is not None:
-                found += self[key[len(stem) :]]
-        return self.whole(key) if found is None else found
+        if found is None:
+            if key.isalpha():
+                found = self.word(key)
+            else:
+                # ASCII marks after a letter are one word of the pre-tokenizer, whatever they are
+                stem = key.rstrip(punctuation)
+                if len(stem) < len(key) and stem.isalpha():
+                    return self[stem] + self[key[len(stem) :]]
+            if found is None:
+                found = self.whole(key)
+        self[key] = found
+        self.held += ENTRY + len(key) + len(found)
+        return found
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for text in texts:
-            out.append(b"".join(map(self.__getitem__, self.pieces(text))) if text else b"")
-            if self.held > GENERATION:
-                self.older = dict(self)
-                self.clear()
-                self.held = 0
-        return out
+        spaced = pc.replace_substring(pa.array([x or "" for x in texts], pa.string()), "\n", " ")
+        pieces = pc.split_pattern(spaced, " ")
+        coded = pieces.values.dictionary_encode()
+        found = list(map(self.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        known, codes = np.frombuffer(b"".join(found), "<u4"), coded.indices.to_numpy()
+        sizes = np.fromiter(map(len, found), "i8", len(found)) // 4
+        starts, lengths = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        out = known[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], lengths)]
+        if self.held > GENERATION:
+            self.older = dict(self)
+            self.clear()
+            self.held = 0
+        bounds = ends[pieces.offsets.to_numpy()].tolist()
+        return [out[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
 
 
 def encoder(name: str) -> Encoder:

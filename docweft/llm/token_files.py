@@ -55,13 +55,13 @@ def key_hash() -> Column:
 
 
 # --- shards ---------------------------------------------------------------------------
-def batches_of(frames: Iterator[pd.DataFrame], text: str) -> Iterator[pd.DataFrame]:
-    """Cuts batches so that no more than ``CHARS`` characters (or one text) are encoded at once."""
+def batches_of(frames: Iterator[pd.DataFrame], text: str, most: int = BATCH) -> Iterator[pd.DataFrame]:
+    """Cuts batches so that no more than ``most`` texts and ``CHARS`` characters (or one text) are encoded at once."""
     for frame in frames:
         sizes = frame[text].map(lambda x: len(x) if isinstance(x, str) else 0).to_numpy()
         at = 0
         while at < len(frame):
-            n = int(np.searchsorted(np.cumsum(sizes[at : at + BATCH]), CHARS, side="right"))
+            n = int(np.searchsorted(np.cumsum(sizes[at : at + most]), CHARS, side="right"))
             yield frame.iloc[at : at + max(1, n)]
             at += max(1, n)
 

@@ -79,3 +79,38 @@ def test_all_tokens_of_long_seeds():
     index.drop(gone)
     for seed in want:
         assert np.allclose(index.neighbours(seed), np.where(gone, 0, want[seed]))
+
+
+def test_common_rows():
+    """Tokens held as rows of weights give the scores of the lists, also after documents are dropped."""
+    rng = np.random.default_rng(5)
+    parts = [np.concatenate([rng.integers(0, 20, 15), rng.integers(20, 5000, 15)]) for _ in range(60)]
+    index = P.Index(parts, np.linspace(1, 2, 5000), 30.0)
+    assert 0 < len(index.rows) < 40 and index.rows.size <= P.COMMON * len(index.docs)
+    for gone in (np.zeros(60, bool), np.arange(60) % 3 == 1):
+        index.drop(gone)
+        for seed in np.flatnonzero(~gone):
+            want = np.zeros(60)
+            for t in set(parts[seed].tolist()):
+                at = slice(index.lists[t], index.lists[t + 1])
+                want[index.docs[at]] += index.weights[at]
+            assert np.allclose(index.neighbours(seed), want, atol=1e-9) and not index.neighbours(seed)[gone].any()
+
+
+def test_pieces_once():
+    """A piece of many texts is looked up once for a call; words with marks are not held; ids are those of whole texts."""
+    from docweft.llm.encode import WordEncoder
+
+    asked = []
+
+    class Counted(WordEncoder):
+        def __missing__(self, key):
+            asked.append(key)
+            return super().__missing__(key)
+
+    marks = ["it's.", "WORD###", "a,b", "É!?", "».", "x_", "_.", "3.", "don't&&&", "ends'", "<|endoftext|>", "<|ENDOFTEXT|>.", "H̱,", "İs.", "a\tb.", "ς.", "ſ,"]
+    texts = [None, "", " ", "\n\n", *marks, " ".join(marks), *(["same words, same words.\nsame"] * 300)]
+    run = Counted("word_bpe_49k.json")
+    got = [np.frombuffer(x, "<u4").tolist() for x in run.ids(texts)]
+    assert got == [library("word_bpe_49k.json").encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert asked.count("words,") == 1 and "words" in run and "words," not in run
