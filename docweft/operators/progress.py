@@ -171,8 +171,14 @@ def remaining_ms(overall: Column, elapsed_ms: Column) -> Column:
     return F.when(running, round_half_up((100 - overall) * elapsed_ms / overall))
 
 
-def step_durations(step_events: DataFrame) -> DataFrame:
-    """Last status and duration per step from its status events."""
+def step_durations(step_events: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Last status and duration per step from its status events.
+
+    Steps have few events each, so hardly any combine before the shuffle, and the memory of a task
+    grows with its steps: ``tasks`` deals the events out to so many tasks, whatever their bytes.
+    """
+    if tasks is not None:
+        step_events = step_events.repartition(tasks, "report_id", "step_id")
     kind = F.col("status")
     closed = kind.isin("completed", "failed", "skipped")
     state = step_events.groupBy("report_id", "step_id").agg(

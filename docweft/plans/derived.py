@@ -214,6 +214,10 @@ VIEWS = {
 }
 NEEDS = {"files": ["topics"]}
 WIDE = ["documents", "pages"]  # tables of long texts, where the work per row is large
+#: Views that group a table by nearly every row: the table is dealt out by this key first, since such groups do not
+#: combine, and Spark gives tasks rows by their bytes, of which these rows have few.
+DEALT = {"step_events": ("lineitem", "l_orderkey")}
+ROWS = 250_000  # rows of a task where rows are dealt out
 
 
 def _tables(name: str) -> set[str]:
@@ -224,10 +228,18 @@ def _tables(name: str) -> set[str]:
     return found
 
 
+def tasks(spark: SparkSession, folder: str, name: str) -> int:
+    """Into how many tasks the rows of a view of ``DEALT`` go; the files' own counts are read."""
+    rows = spark.read.parquet(f"{folder}/{DEALT[name][0]}.parquet").count()
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS))
+
+
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A derived view, or one of the given tables."""
     for table in sorted(_tables(name)):
         rows = spark.read.parquet(f"{folder}/{table}.parquet")
+        if name in DEALT and table == DEALT[name][0]:
+            rows = rows.repartition(tasks(spark, folder, name), DEALT[name][1])
         (spread(rows) if table in WIDE else rows).createOrReplaceTempView(table)
     if name in TABLES:
         return spark.table(name)

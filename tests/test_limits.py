@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from docweft import session
 from docweft.functions import text as T
 from docweft.operators import blocks, conditions, rules, runs, variables
+from docweft.plans import derived
+from docweft.plans.catalog import load
 from docweft.sources import corpus
 
 
@@ -78,3 +80,15 @@ def test_work_folder_must_be_named(spark):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.work_folder(Elsewhere)
     assert session.work_folder(spark)
+
+
+@pytest.mark.parametrize("name", ["step_durations", "recent_reports"])
+def test_tasks_grow_with_step_events(spark, monkeypatch, name):
+    """Rows of a task stay bounded by number, however few bytes they have."""
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(derived, "ROWS", 200)
+    n = -(-spark.read.parquet(f"{folder}/lineitem.parquet").count() // 200)
+    assert n > spark.sparkContext.defaultParallelism
+    found = load()[0][name](spark, folder)
+    sizes = found.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) == n and max(sizes) <= 2 * 200
