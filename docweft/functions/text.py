@@ -7,6 +7,8 @@ than Java's ``\\s``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,6 +97,16 @@ CODE_PATTERNS = [
     r"^[a-f0-9]{6,}\z",
     r"^(true|false|null|undefined|none|auto|default|enabled|disabled|on|off|yes|no|0|1)\z",
 ]
+# The same patterns sorted for the test of every word of a text: those that list whole words
+# as one set, the others as one pattern. That one passes over plain words with a mark behind
+# them early; of its branches only hex digits could hold one.
+CODE_LISTS = [p for p in CODE_PATTERNS if re.fullmatch(r"\^\([a-z0-9 |-]+\)\\z", p)]
+CODE_WORDS = sorted({word for p in CODE_LISTS for word in p[2:-3].split("|")})
+CODE_SHAPES = "|".join(p.removeprefix("^").replace("(", "(?:") for p in CODE_PATTERNS if p not in CODE_LISTS)
+CODE_SHAPE = (
+    r"^(?:[A-Fa-f]{6,}\z|(?![A-Za-z]?[a-z]*+[.,;:!?]?\z)"
+    rf"(?:\[.*\]\z|\(.*\)\z|[A-Z][A-Z0-9_]{{2,}}\z|(?i:{CODE_SHAPES})))"
+)
 # Entities, typographic characters and mojibake handled by text cleaning, in
 # the order they are applied.
 CLEAN_ENTITIES = [
@@ -319,10 +331,11 @@ def step_class(text: Column, css_class: Column | None = None, style: Column | No
 
 
 def is_code_term(text: Column, css_class: Column | None = None) -> Column:
+    """Bracketed terms, constants, interface words, keys, file names, paths, numbers of versions and hex."""
     css_class = F.lit("") if css_class is None else F.coalesce(css_class, F.lit(""))
-    constant = text.rlike(r"^[A-Z][A-Z0-9_]*\z") & (F.length(text) > 2)
-    bracketed = text.rlike(r"^\[.*\]\z") | text.rlike(r"^\(.*\)\z")
-    return contains_any(css_class, CODE_CLASSES) | bracketed | constant | matches_any(text, CODE_PATTERNS)
+    # only A-Z fold, so words with other letters are none of the list
+    listed = F.lower(text).isin(CODE_WORDS) & (F.octet_length(text) == F.length(text))
+    return contains_any(css_class, CODE_CLASSES) | listed | text.rlike(CODE_SHAPE)
 
 
 def element_count(html: Column) -> Column:
