@@ -159,6 +159,8 @@ CLEAN_MOJIBAKE = [
 ]
 MATH_SYMBOLS = "[±×÷≤≥≠≈∞αβγδπσΣΔ∑∫√²³½¼¾]"
 SCIENTIFIC = r"(?i)(\d+(?:\.\d+)?)\s*[×x]\s*10\s*\^?\s*([+-]?\d+)"
+# The same, started once for each run of digits and without trying a shorter run.
+SCIENTIFIC_ONCE = r"(?i)(?<!\d)(\d++(?:\.\d++)?+)\s*+[×x]\s*+10\s*+(?:\^\s*+)?+([+-]?\d++)"
 PARAGRAPH_BREAK = rf"\n{SPACE}*\n|\r\n{SPACE}*\r\n"
 CHUNK_SIZE = 10000
 SIZE_UNITS = ["Bytes", "KB", "MB", "GB"]
@@ -428,33 +430,50 @@ def text_chunks(c: Column, n: int = CHUNK_SIZE) -> Column:
 
 # --- math -------------------------------------------------------------------
 def has_math(c: Column) -> Column:
+    """Each pattern is tried only where the text holds what it cannot do without."""
+    markup = any_of(c.rlike(p) for p in (r"(?is)<math[^>]*>.*?</math>", r"(?i)<sub>.*?</sub>", r"(?i)<sup>.*?</sup>"))
     return any_of(
         [
-            c.rlike(r"\$[^$]+\$"),
-            c.rlike(r"(?is)<math[^>]*>.*?</math>"),
-            c.rlike(SCIENTIFIC),
-            c.rlike(r"(?i)<sub>.*?</sub>"),
-            c.rlike(r"(?i)<sup>.*?</sup>"),
-            c.rlike(MATH_SYMBOLS),
+            c.contains("$") & c.rlike(r"\$[^$]+\$"),
+            c.contains("<") & markup,
+            c.contains("10") & c.rlike(SCIENTIFIC_ONCE),
+            (F.octet_length(c) != F.length(c)) & c.rlike(rf"(?=[^\x00-\x7f]){MATH_SYMBOLS}"),
         ]
     )
 
 
+def rewrite_after(c: Column, head, pairs) -> Column:
+    """Pattern replacements in what follows ``head(c)``, a start of the text that no match reaches into."""
+    def rewrite(whole):
+        def join(start):
+            return F.concat(start, _fold(F.substr(whole, F.length(start) + 1), pairs, regex=True))
+
+        return let(head(whole), join)
+
+    return let(c, rewrite)
+
+
 def rewrite_math(c: Column, markup: str = "asciidoc") -> Column:
     edge = rf"{SPACE}*"
-    display = rf"\$\${edge}([^$]*?[^$\s]){edge}\$\$"
-    inline = rf"\${edge}([^$]*?[^$\s]){edge}\$"
+    close = rf"(?![!-#%-~]){edge}"  # the class of white space is slow: most characters are told by a range
+    display = rf"\$\${edge}([^$]*?[^$\s]){close}\$\$"
+    inline = rf"\${edge}([^$]*?[^$\s]){close}\$"
+
+    def before(mark):
+        return lambda whole: F.substring_index(whole, mark, 1)
+
+    def before_number(whole):  # without the characters that may stand between a match's start and its 10
+        return F.rtrim(F.substring_index(whole, "10", 1), F.lit("0123456789. \t\n\x0b\f\r×xX"))
+
     if markup == "asciidoc":
-        c = F.regexp_replace(c, display, "\n[latexmath]\n++++\n\u0001$1\u0001\n++++\n")
-        c = F.regexp_replace(c, inline, "latexmath:[$1]")
+        marked = "\n[latexmath]\n++++\n\u0001$1\u0001\n++++\n"
+        c = rewrite_after(c, before("$"), [(display, marked), (inline, "latexmath:[$1]")])
         c = F.replace(c, F.lit("\u0001"), F.lit("$$"))
-        c = F.regexp_replace(c, r"(?i)<sub>(.*?)</sub>", "~$1~")
-        c = F.regexp_replace(c, r"(?i)<sup>(.*?)</sup>", "^$1^")
-        return F.regexp_replace(c, SCIENTIFIC, "$1 × 10^$2^")
-    c = F.regexp_replace(c, display, "\n\u0001\n$1\n\u0001\n")
-    c = F.regexp_replace(c, inline, r"\$$1\$")
+        c = rewrite_after(c, before("<"), [(r"(?i)<sub>(.*?)</sub>", "~$1~"), (r"(?i)<sup>(.*?)</sup>", "^$1^")])
+        return rewrite_after(c, before_number, [(SCIENTIFIC_ONCE, "$1 × 10^$2^")])
+    c = rewrite_after(c, before("$"), [(display, "\n\u0001\n$1\n\u0001\n"), (inline, r"\$$1\$")])
     c = F.replace(c, F.lit("\u0001"), F.lit("$$"))
-    return F.regexp_replace(c, SCIENTIFIC, "$1 × 10<sup>$2</sup>")
+    return rewrite_after(c, before_number, [(SCIENTIFIC_ONCE, "$1 × 10<sup>$2</sup>")])
 
 
 # --- names ------------------------------------------------------------------

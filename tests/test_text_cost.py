@@ -35,3 +35,55 @@ def test_code_terms_one_pattern(spark):
     """The planner drops words before they are counted, so each word of a text meets the whole test."""
     plan = load()[0]["code_terms"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") == 1
+
+
+PROSE = "Plain words of a text, x by x. "
+MATH = [
+    None, "", "$", "$$", "$$$", "$a$", "$ a $", "$$a$$", "$$ a\nb $$ c $d$", "$\u00a0$", "$a\u2003$", "$$\u00a0a \u3000$$", "$\u00a0a#$", "$a\ufeff-\u00a0 $", "$ $", "a$b", "a $b$ c$", "$a\x01b$", "\x01", "\x01$x$", "日$本$語",
+    "H<sub>2</sub>O", "<SUB>2</Sub>", "<sub>2\n</sub>", "<sub>", "a<b <sup>3</sup>", "x<sup></sup>$a<sub>b</sub>$", "<math>\n</MATH>", "<math", "<math x>a</math>",
+    "3.0 × 10^8", "3 x 10 8", "3X10^-8", "10 x 10 10", "1.25.5x10^3", "3x105x10^2", "3x10^85x10^2", "3x10", "3 x\n10\n^\n+8", "10. 3x10^8", "a10 b 7 × 10 ^ 2",
+    "x 10 3", "12 x 10 3 10", "é5x10^2", "$3x10^8$ and 10", "2\x0b×\x0b10\x0b4", "1 x 100", ".5x10^6", "9" * 50 + "x10^1", "5x10" + " " * 40, "5x10^ 5",
+    "π", "pi", "ñ", "a²", "½", "日本", "≤", "≥", "α", "Ω", "$π", "1<2", "10", "#$%&|<>",
+]
+
+
+def math_by_pattern(c, markup):
+    edge = rf"{T.SPACE}*"
+    display, inline = rf"\$\${edge}([^$]*?[^$\s]){edge}\$\$", rf"\${edge}([^$]*?[^$\s]){edge}\$"
+    pairs = {
+        "asciidoc": [
+            (display, "\n[latexmath]\n++++\n\u0001$1\u0001\n++++\n"), (inline, "latexmath:[$1]"), ("\u0001", r"\$\$"),
+            (r"(?i)<sub>(.*?)</sub>", "~$1~"), (r"(?i)<sup>(.*?)</sup>", "^$1^"), (T.SCIENTIFIC, "$1 × 10^$2^"),
+        ],
+        "markdown": [
+            (display, "\n\u0001\n$1\n\u0001\n"), (inline, r"\$$1\$"), ("\u0001", r"\$\$"), (T.SCIENTIFIC, "$1 × 10<sup>$2</sup>"),
+        ],
+    }[markup]
+    for pattern, mark in pairs:
+        c = F.regexp_replace(c, pattern, mark)
+    return c
+
+
+def had_by_pattern(c):
+    forms = [r"\$[^$]+\$", r"(?is)<math[^>]*>.*?</math>", T.SCIENTIFIC, "(?i)<sub>.*?</sub>", "(?i)<sup>.*?</sup>", T.MATH_SYMBOLS]
+    return T.any_of(c.rlike(p) for p in forms)
+
+
+def test_math_by_pattern(spark):
+    symbols = [f"a{s}" for s in T.MATH_SYMBOLS[1:-1]]
+    texts = [None, *{t for x in [*MATH, *symbols] if x is not None for y in ("", *MATH) if y is not None for t in (x + y, PROSE + x + " " + y, x + PROSE + y)}]
+    c = F.col("c")
+    rows = spark.createDataFrame([(t,) for t in texts], "c string").repartition(8)
+    for want, got in [
+        (had_by_pattern(c), T.has_math(c)),
+        (math_by_pattern(c, "asciidoc"), T.rewrite_math(c)),
+        (math_by_pattern(c, "markdown"), T.rewrite_math(c, "markdown")),
+    ]:
+        both = rows.select("c", want.alias("want"), got.alias("got"))
+        assert both.filter("not (want <=> got)").take(3) == []
+
+
+def test_math_searches_from_the_first_mark(spark):
+    """No replacement runs over the prose before the first mark that one of its matches can hold."""
+    plan = load()[0]["math_notation"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") > 0 and plan.count("regexp_replace(") == plan.count("regexp_replace(substr") + plan.count("regexp_replace(regexp_replace(")
