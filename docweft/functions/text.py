@@ -161,6 +161,7 @@ MATH_SYMBOLS = "[±×÷≤≥≠≈∞αβγδπσΣΔ∑∫√²³½¼¾]"
 SCIENTIFIC = r"(?i)(\d+(?:\.\d+)?)\s*[×x]\s*10\s*\^?\s*([+-]?\d+)"
 # The same, started once for each run of digits and without trying a shorter run.
 SCIENTIFIC_ONCE = r"(?i)(?<!\d)(\d++(?:\.\d++)?+)\s*+[×x]\s*+10\s*+(?:\^\s*+)?+([+-]?\d++)"
+SENTENCE_BREAK = rf"(?<=[.!?]){SPACE}+(?=[A-Z])"
 PARAGRAPH_BREAK = rf"\n{SPACE}*\n|\r\n{SPACE}*\r\n"
 CHUNK_SIZE = 10000
 SIZE_UNITS = ["Bytes", "KB", "MB", "GB"]
@@ -386,9 +387,13 @@ def sanitize_text(c: Column, limit: int | None = None) -> Column:
 
 
 # --- sentences and tokens ---------------------------------------------------
+def sentence_parts(c: Column, mark: str | None = None) -> Column:
+    """Trimmed parts between sentence ends, blank ones too; ``mark`` is a pattern that parts sentences as well."""
+    return F.transform(F.split(c, SENTENCE_BREAK if mark is None else f"{SENTENCE_BREAK}|{mark}"), trim_ws)
+
+
 def sentences(c: Column) -> Column:
-    parts = F.transform(F.split(c, rf"(?<=[.!?]){SPACE}+(?=[A-Z])"), trim_ws)
-    return F.filter(parts, lambda s: s != "")
+    return F.filter(sentence_parts(c), lambda s: s != "")
 
 
 def paragraphs(c: Column) -> Column:
